@@ -5,16 +5,30 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, simhash, toxicity
+from . import bpe, exact_dedup, langid, mixing, ogg, quality, simhash, token_counts, toxicity, url_filter
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The list that the URL filter is given: domains of gambling and pill spam.
+LISTED_DOMAINS = ["casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com"]
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), LISTED_DOMAINS)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(table(spark, sf_dir, "documents"))
 
@@ -23,6 +37,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -31,4 +53,44 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_exact_dedup, op6_simhash, op9_source_mix, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_byte_bpe, op3_url_filter, op4_quality, op5_exact_dedup,
+        op6_simhash, op7_language_id, op8_ogg_media, op9_source_mix, op10_toxicity,
+    )
+}
+
+#: SQL for what SQL can express; it runs over the same tables.
+ORACLE = {
+    "op3_url_filter": """
+        WITH parts AS (
+          SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), split AS (
+          SELECT page_id,
+                 translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts
+        ), ruled AS (
+          SELECT *, CASE
+              WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+              WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+              WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+            regexp_matches(host, '(^|\\.)(casino-win|cheap-pills|free-bets)\\.example\\.com$') AS listed FROM split
+        )
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+                    WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
+        FROM ruled
+    """,
+    "op5_exact_dedup": """
+        WITH plain AS (
+          SELECT doc_id, length(coalesce(text, '')) AS points,
+                 translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS norm FROM documents
+        ), ranked AS (
+          SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY norm) AS group_size
+          FROM plain WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
+        )
+        SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM ranked
+    """,
+}
