@@ -7,13 +7,14 @@ executor is lost.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import importable, shared_folder, stored
+
+__all__ = ["arrow_pass", "bounded_batches", "id_and_text", "importable", "shared_folder", "stored", "table", "texts_of"]
+
 #: Rows and bytes of one Arrow batch; with these a Python worker holds some tens of MB whatever the partition's size.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -21,29 +22,6 @@ BATCH_BYTES = 16 << 20
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from ``spark.checkpoint.dir``.  Where that is unset, a local session gets a folder of its own; on a
-    cluster this is an error, since a machine-local folder would lose rows.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="landrank-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: cuts lineage, and is computed once."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Limits Arrow batches in rows and bytes, so that long texts do not pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -53,6 +31,7 @@ def bounded_batches(spark: SparkSession) -> None:
 def arrow_pass(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` over bounded batches."""
     bounded_batches(df.sparkSession)
+    importable(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import importable, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of a block, slots of a shard, rows of a bin, sources at most (a source is a dataset; its row has some 100 bytes).
@@ -110,6 +110,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def _taken(rows: DataFrame, weights=WEIGHTS, most: int = 3, block: int = BLOCK, shard: int = SHARD, blocks: bool = False) -> DataFrame:
     spark = rows.sparkSession
+    importable(spark)
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(SOURCES + 1).collect()
     if len(found) > SOURCES:
         raise ValueError(f"over {SOURCES} sources: group them first")
