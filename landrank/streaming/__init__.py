@@ -1,0 +1 @@
+"""Nothing here: the engine's inputs are tables and files that do not change while they are scored."""
