@@ -4,7 +4,7 @@ Terms are words and their prefixes and suffixes of 3 to 6 characters, lower-case
 rows (``EXAMPLES``, by smallest hash) the terms that stand out in toxic rows are counted on the executors and the most
 telling ``TERMS`` of them kept.  Sample rows with any kept term become TF-IDF vectors of length 1 in an inverted index:
 postings by term in blocks of ``BLOCK`` examples with the largest weight of each block.  A document's nearest examples
-are found exactly: blocks go by their upper bound until that cannot pass the k-th cosine found.  Votes are weighted by
+are found exactly: blocks of the largest upper bounds first, then those whose bound reaches the k-th cosine found.  Votes are weighted by
 1 / (distance + 0.1) and shrunk to the rate of rows without kept terms; a monotone map fitted on leave-one-out votes of
 the examples makes them probabilities.  A document without kept terms has the rate of such rows as its score.
 
@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 
 from .common import arrow_pass, id_and_text, texts_of
 
-EXAMPLES, TERMS, BLOCK, NEAREST = 6000, 4096, 64, 15
-#: Bound of the words whose terms a worker keeps.
-WORDS_KEPT = 200_000
+EXAMPLES, TERMS, BLOCK, FIRST_BLOCKS, NEAREST = 6000, 4096, 64, 4, 15
+#: Bounds of the words whose terms, and of the vectors whose scores, a worker keeps.
+WORDS_KEPT, VECTORS_KEPT = 400_000, 20_000
 WORD = re.compile(r"\w+")
 #: Pseudo-votes for the base rate.
 SHRINK = 1.0
@@ -46,6 +46,16 @@ def terms_of(word: str) -> list[str]:
     return [f"={word[:64]}", *(f"^{word[:k]}" for k in range(3, min(6, n) + 1)), *(f"${word[-k:]}" for k in range(3, min(6, n) + 1))]
 
 
+def found_terms(word: str, terms: dict[str, int]) -> list[int]:
+    """Those of a word's terms that are kept."""
+    out = [terms["=" + word[:64]]] if "=" + word[:64] in terms else []
+    for k in range(3, min(6, len(word)) + 1):
+        for t in ("^" + word[:k], "$" + word[-k:]):
+            if t in terms:
+                out.append(terms[t])
+    return out
+
+
 def held_out() -> F.Column:
     """Rows that take no part in learning: crc32 of the decimal doc_id, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -79,7 +89,7 @@ class Model:
         for t, entries in enumerate(listed):
             e = np.array([x for x, _ in entries], np.int64)
             w = np.array([x for _, x in entries], np.float64)
-            self.postings.append((e, w, np.searchsorted(e, np.arange(self.blocks + 1) * BLOCK)))
+            self.postings.append((e, w, e // BLOCK))
             np.maximum.at(self.tops[t], e // BLOCK, w)
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -88,24 +98,32 @@ class Model:
         norm = math.sqrt(float(w @ w)) if len(w) else 0.0
         return ids, w / norm if norm else w
 
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k examples of largest cosine, ties by place: (cosine, place). Exact."""
         if not len(ids) or not self.blocks:
             return []
         bounds = weights @ self.tops[ids]
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(found) == k and bounds[b] < -found[-1][0] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
+        order = np.argsort(-bounds, kind="stable")
+        places, cosines = np.empty(0, np.int64), np.empty(0)
+        for blocks in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            # of the rest, only blocks whose bound reaches the k-th cosine of the first
+            least = float(cosines[-1]) if len(places) == k else 0.0
+            blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least - 1e-12)]
+            if not len(blocks):
+                continue
+            wanted = np.zeros(self.blocks, bool)
+            wanted[blocks] = True
+            score = np.zeros(self.blocks * BLOCK)
             for t, w in zip(ids.tolist(), weights.tolist(), strict=True):
-                e, x, cut = self.postings[t]
-                lo, hi = cut[b], cut[b + 1]
-                if lo < hi:
-                    score[e[lo:hi] - b * BLOCK] += w * x[lo:hi]
-            some = np.nonzero(score > 0)[0]
-            found = sorted(found + [(-round(float(score[i]), 12), b * BLOCK + i) for i in some.tolist() if b * BLOCK + i != skip])[:k]
-        return [(-c, e) for c, e in found]
+                e, x, block = self.postings[t]
+                held = wanted[block]
+                score[e[held]] += w * x[held]
+            score = np.round(score, 12)
+            some = np.nonzero(score >= least if least else score > 0)[0]
+            places, cosines = np.concatenate([places, some]), np.concatenate([cosines, score[some]])
+            best = np.lexsort((places, -cosines))[:k]
+            places, cosines = places[best], cosines[best]
+        return list(zip(cosines.tolist(), places.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weights = [1 / (1 - min(c, 1.0) + 0.1) for c, _ in near]
@@ -113,7 +131,12 @@ class Model:
 
     def calibrate(self, vectors) -> None:
         """Isotonic fit (pool adjacent violators) of labels on leave-one-out votes, one pseudo-row at either end."""
-        votes = [(self.vote(self.nearest(*v, NEAREST, skip=e)), float(self.labels[e])) for e, v in enumerate(vectors)]
+        votes, known = [], {}
+        for e, v in enumerate(vectors):
+            key = (v[0].tobytes(), v[1].tobytes())
+            if key not in known:  # one more than counts, as the example itself may be among them
+                known[key] = self.nearest(*v, NEAREST + 1)
+            votes.append((self.vote([x for x in known[key] if x[1] != e][:NEAREST]), float(self.labels[e])))
         pools: list[list[float]] = []  # weight, sum of labels, sum of votes
         for x, y in sorted([*votes, (0.0, 0.0), (1.0, 1.0)]):
             pools.append([1.0, y, x])
@@ -122,11 +145,17 @@ class Model:
                 pools[-1] = [pools[-1][0] + w, pools[-1][1] + y2, pools[-1][2] + x2]
         self.knots = (np.array([p[2] / p[0] for p in pools]), np.array([p[1] / p[0] for p in pools]))
 
-    def score(self, counts: Counter) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(*self.vector(counts), NEAREST)
-        if not near:
-            return self.base, []
-        return float(min(1.0, max(0.0, np.interp(self.vote(near), *self.knots)))), near
+    def score(self, counts: Counter, known: dict) -> tuple[float, list[tuple[float, int]]]:
+        """Score and nearest examples; equal vectors (as all of one term are) are looked up once."""
+        ids, weights = self.vector(counts)
+        weights = np.round(weights, 12)
+        key = (ids.tobytes(), weights.tobytes())
+        if key not in known:
+            if len(known) >= VECTORS_KEPT:
+                known.clear()
+            near = self.nearest(ids, weights, NEAREST)
+            known[key] = (float(min(1.0, max(0.0, np.interp(self.vote(near), *self.knots)))) if near else self.base, near)
+        return known[key]
 
 
 def _counts(text: str, terms: dict[str, int], kept: dict[str, list[int]]) -> Counter:
@@ -135,7 +164,7 @@ def _counts(text: str, terms: dict[str, int], kept: dict[str, list[int]]) -> Cou
     for word, n in Counter(WORD.findall(text.lower())).items():
         ids = kept.get(word)
         if ids is None:
-            ids = [terms[t] for t in terms_of(word) if t in terms]
+            ids = found_terms(word, terms)
             if len(kept) >= WORDS_KEPT:
                 kept.clear()
             kept[word] = ids
@@ -211,11 +240,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _scoring(model: Model, at: int, evidence: bool):
     def run(batches):
-        kept: dict = {}
+        kept, known = {}, {}
         for batch in batches:
             scores, near = [], []
             for text in texts_of(batch, at):
-                score, found = model.score(_counts(text, model.terms, kept))
+                score, found = model.score(_counts(text, model.terms, kept), known)
                 scores.append(score)
                 near.append(" ".join(f"{model.ids[e]}:{c:.4f}:{int(model.labels[e])}" for c, e in found[:3]))
             more = [pa.array(scores, pa.float64()), *([pa.array(near, pa.string())] if evidence else [])]
