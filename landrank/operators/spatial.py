@@ -7,13 +7,14 @@ hot.  A feature that spans buckets has a row in each; where a sum follows, pairs
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import geometry as g
 
 BUCKET = 500.0
+DOT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 
 
 def _floor(x: Column, size: float) -> Column:
@@ -103,22 +104,22 @@ def _points(ring) -> list[tuple[float, float]]:
     return out[:-1] if len(out) > 1 and out[0] == out[-1] else out
 
 
-@F.pandas_udf("double")
-def clipped_area(geom, xmin, ymin, xmax, ymax):
+def clipped_area(geom, xmin, ymin, xmax, ymax) -> Column:
     """Area of (multi)polygons within rectangles."""
-    import pandas as pd
 
     def area(polygons, box):
         rings = [[ring_area(clip_ring(_points(ring), box)) for ring in polygon] for polygon in polygons]
         return sum(r[0] - sum(r[1:]) for r in rings if r)
 
-    return pd.Series([area(p, box) for p, *box in zip(geom, xmin, ymin, xmax, ymax, strict=True)], dtype=float)
+    def run(geom: pa.Array, xmin: pa.Array, ymin: pa.Array, xmax: pa.Array, ymax: pa.Array) -> pa.Array:
+        columns = (c.to_pylist() for c in (geom, xmin, ymin, xmax, ymax))
+        return pa.array([area(p, box) for p, *box in zip(*columns, strict=True)], pa.float64())
 
+    return F.arrow_udf(run, "double")(*map(g.c, (geom, xmin, ymin, xmax, ymax)))
 
-@F.pandas_udf(g.POLYGONS)
-def clipped_polygons(geom, xmin, ymin, xmax, ymax):
+
+def clipped_polygons(geom, xmin, ymin, xmax, ymax) -> Column:
     """(Multi)polygons cut to rectangles; polygons without a part inside go."""
-    import pandas as pd
 
     def cut(polygons, box):
         out = []
@@ -128,7 +129,11 @@ def clipped_polygons(geom, xmin, ymin, xmax, ymax):
                 out.append([[{"x": x, "y": y} for x, y in [*r, r[0]]] for r in rings])
         return out
 
-    return pd.Series([cut(p, box) for p, *box in zip(geom, xmin, ymin, xmax, ymax, strict=True)])
+    def run(geom: pa.Array, xmin: pa.Array, ymin: pa.Array, xmax: pa.Array, ymax: pa.Array) -> pa.Array:
+        columns = (c.to_pylist() for c in (geom, xmin, ymin, xmax, ymax))
+        return pa.array([cut(p, box) for p, *box in zip(*columns, strict=True)], pa.list_(pa.list_(pa.list_(DOT))))
+
+    return F.arrow_udf(run, g.POLYGONS)(*map(g.c, (geom, xmin, ymin, xmax, ymax)))
 
 
 def segments(lines: DataFrame, key: str = "line_id", parts: str = "parts") -> DataFrame:
@@ -214,9 +219,6 @@ def lines_near_cells(cells: DataFrame, rows: DataFrame, reach: float, key: str =
     return left.join(right, ["__bx", "__by"]).where(near).select("cell_id", key).distinct()
 
 
-SIMPLE = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
-
-
 def simplified_points(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
     """Douglas-Peucker without recursion: points farther than the tolerance from their chord stay."""
     if len(points) < 3:
@@ -243,13 +245,10 @@ def simplified_points(points: list[tuple[float, float]], tolerance: float) -> li
 def simplify(parts: Column, tolerance: float) -> Column:
     """Each part of a line, or ring of a polygon, with fewer points."""
 
-    @F.pandas_udf(SIMPLE)
-    def run(values):
-        import pandas as pd
-
+    def run(values: pa.Array) -> pa.Array:
         def one(part):
             return [{"x": x, "y": y} for x, y in simplified_points([(p["x"], p["y"]) for p in part], tolerance)]
 
-        return pd.Series([None if v is None else [one(p) for p in v] for v in values])
+        return pa.array([None if v is None else [one(p) for p in v] for v in values.to_pylist()], pa.list_(pa.list_(DOT)))
 
-    return run(parts)
+    return F.arrow_udf(run, g.PARTS)(parts)
