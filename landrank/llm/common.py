@@ -1,19 +1,20 @@
 """What the operators of this folder share: tables in the shared folder, Arrow passes, batches of bounded size.
 
-Identity of rows.  ``doc_id`` may be null or repeated, so operators that must tell rows apart number them with
-``row_id`` once, in the same job that writes them to the shared folder; later reads see the same numbers even if an
-executor is lost.
+Identity of rows.  ``doc_id`` may be null or repeated, so operators that must tell rows apart name them by file and place
+in the file (``placed``), which every later read of the files sees again, even if an executor is lost.  Rows that do not
+come straight from files are first written to the shared folder.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import importable, shared_folder, stored
 
-__all__ = ["arrow_pass", "bounded_batches", "id_and_text", "importable", "shared_folder", "stored", "table", "texts_of"]
+__all__ = ["arrow_pass", "bounded_batches", "id_and_text", "importable", "placed", "shared_folder", "stored", "table", "texts_of"]
 
 #: Rows and bytes of one Arrow batch; with these a Python worker holds some tens of MB whatever the partition's size.
 BATCH_ROWS = 1000
@@ -29,10 +30,17 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def arrow_pass(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` over bounded batches."""
+    """``mapInArrow`` over bounded batches; a worker gives back what its batches took when the task ends."""
     bounded_batches(df.sparkSession)
     importable(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, at: int):
@@ -48,3 +56,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns that an operator reads, so that extra ones, whatever their names, neither clash nor move."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+PLACE = ["__file", "__row"]
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns ``__file`` (hash of the file's path) and ``__row`` (place in it) that name a row."""
+    at = {"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
+    try:
+        return docs.select(*[docs[f"`{c}`"] for c in docs.columns], *(v.alias(k) for k, v in at.items()))
+    except AnalysisException:
+        kept = stored(docs, "documents")
+        return kept.select(*[kept[f"`{c}`"] for c in docs.columns], *(v.alias(k) for k, v in at.items()))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pass, stored, texts_of
+from .common import PLACE, arrow_pass, placed, stored, texts_of
 
 SEED = 42
 #: Fingerprints to a tile, and to a band value before it is dealt out again.
@@ -84,20 +84,17 @@ def _names(wide: int) -> list[str]:
     return [f"__f{k}" for k in range(wide)]
 
 
-def with_fingerprints(docs: DataFrame, words: int, wide: int) -> DataFrame:
-    """``docs`` with row numbers and fingerprint words, stored once."""
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in _names(wide))])
-    at = rows.columns.index("text")
+def fingerprints(docs: DataFrame, words: int, wide: int) -> DataFrame:
+    """doc_id, place and fingerprint words of every row, stored; the texts stay in the worker."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *PLACE, F.col("text").cast("string").alias("text"))
+    names = ["doc_id", *PLACE, *_names(wide)]
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, words, wide) for t in texts_of(batch, at)], np.uint64).reshape(-1, wide).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(found[:, k]) for k in range(wide))], names=[*batch.schema.names, *_names(wide)]
-            )
+            found = np.array([fingerprint(t, words, wide) for t in texts_of(batch, 3)], np.uint64).reshape(-1, wide).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, k]) for k in range(wide))], names=names)
 
-    return arrow_pass(rows, run, schema)
+    return stored(arrow_pass(rows, run, ", ".join(f"{n} long" for n in names)), "simhash-rows")
 
 
 def exact_bands(bits: int, radius: int) -> list[list[int]]:
@@ -286,10 +283,11 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, wide: int, radius: int, differ: int, recall: float) -> DataFrame:
-    """Fingerprint words with the smallest doc_id (__low) and its row number (__first) in their component."""
+    """Fingerprint words with the smallest doc_id of their component (__low) and the place of its row."""
     names, bits = _names(wide), 64 * wide
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__rid").alias("r"))
-    prints = stored(rows.groupBy(*names).agg(F.min("__rid").alias("__node"), F.min(order).alias("__best")), "simhash-prints")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), *PLACE)
+    prints = rows.groupBy(*names).agg(F.min(order).alias("__best"))
+    prints = stored(prints.withColumn("__node", F.monotonically_increasing_id()), "simhash-prints")  # stored, so numbered once
     if radius <= 3:
         bands, finer = exact_bands(bits, radius), striped_bands(bits, radius)
     else:  # a band value is to hold about 1,000 fingerprints at most, so bands widen as these grow; recall stays
@@ -300,7 +298,7 @@ def _grouped(rows: DataFrame, wide: int, radius: int, differ: int, recall: float
     best = named.groupBy("component").agg(F.min("__best").alias("__top"))
     tops = named.join(best, "component").select("__node", "__top")
     joined = prints.join(tops, "__node", "left").withColumn("__top", F.coalesce("__top", "__best"))
-    return stored(joined.select(*names, F.col("__top.d").alias("__low"), F.col("__top.r").alias("__first")), "simhash-groups")
+    return joined.select(*names, F.col("__top.d").alias("__low"), *(F.col(f"__top.{p}").alias(p) for p in PLACE))
 
 
 def components(docs: DataFrame, words: int = 3, radius: int = 2, wide: int = 1) -> DataFrame:
@@ -308,9 +306,8 @@ def components(docs: DataFrame, words: int = 3, radius: int = 2, wide: int = 1)
     if radius > 3:
         raise ValueError("exact bands are for a radius of 3 at most")
     names = _names(wide)
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(with_fingerprints(thin, words, wide).drop("text"), "simhash-rows")
-    groups = _grouped(rows, wide, radius, radius, 1)
+    rows = fingerprints(placed(docs), words, wide)
+    groups = _grouped(rows, wide, radius, radius, 1).drop(*PLACE)
     hexed = F.lower(F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names)))
     return rows.join(groups, names).select("doc_id", hexed.alias("fingerprint"), F.col("__low").alias("component_id"))
 
@@ -323,8 +320,7 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     nine standard deviations beyond it.
     """
     bits, share = 64 * wide, expected_share(similarity)
-    names, radius = _names(wide), int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
-    rows = stored(with_fingerprints(docs, words, wide), "simhash-documents")
-    thin = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "__rid", *names)
-    stay = _grouped(thin, wide, radius, round(bits * share), recall).select(F.col("__first").alias("__rid"))
-    return rows.join(stay, "__rid", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    radius = int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    rows = placed(docs)
+    stay = _grouped(fingerprints(rows, words, wide), wide, radius, round(bits * share), recall).select(*PLACE).distinct()
+    return rows.join(stay, PLACE, "left_semi").select(*[f"`{c}`" for c in docs.columns])
