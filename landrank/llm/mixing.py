@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import importable, stored
+from .common import PLACE, importable, placed, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of a block, slots of a shard, rows of a bin, sources at most (a source is a dataset; its row has some 100 bytes).
-BLOCK, SHARD, BIN_ROWS, SOURCES = 32, 4096, 5000, 1_000_000
+BLOCK, SHARD, BIN_ROWS, SOURCES = 32, 4096, 500, 1_000_000
 SEED = 7
 
 
@@ -40,7 +40,7 @@ def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
     left, weight = total, float(sum(weights))
     for i in order:  # those that reach their limit first come first; the rest share by weight what is left
         share = left * weights[i] / weight if weight > 0 else 0.0
-        out[i] = min(most * sizes[i], share)
+        out[i] = float(min(most * sizes[i], share))
         left -= out[i]
         weight -= weights[i]
     return out
@@ -73,23 +73,21 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _with_size(docs: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, number of words and place of every row; one pass over the texts, stored without them."""
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.withColumns({"__rid": F.monotonically_increasing_id(), "__size": words})
-
-
-def _thin(rows: DataFrame) -> DataFrame:
-    return rows.select("__rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("__size").alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), *PLACE)
+    return stored(rows, "mix-sizes")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Per document doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
-    return _taken(stored(_thin(_with_size(docs)), "mix-sizes"), **options).drop("__rid")
+    return _taken(_sized(placed(docs)), **options).drop(*PLACE)
 
 
 def mix_blocks(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, a row for each slot: shard, slot (of its source), source, block, pass."""
-    return _taken(stored(_thin(_with_size(docs)), "mix-sizes"), blocks=True, **options)
+    return _taken(_sized(placed(docs)), blocks=True, **options)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -99,13 +97,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rest, as a share of its size, exceeds a number hashed from its doc_id.  Documents without words take part in no draw;
     they stay once.
     """
-    rows = stored(_with_size(docs), "mix-documents")
+    rows = placed(docs)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rest = F.expr("(taken % size) / size") > drawn
     times = F.when(F.col("size") == 0, 1).otherwise(F.expr("taken div size").cast("int") + rest.cast("int"))
-    copies = _taken(_thin(rows), **options).select("__rid", times.alias("__times")).where("__times > 0")
+    copies = _taken(_sized(rows), **options).select(*PLACE, times.alias("__times")).where("__times > 0")
     every = F.explode(F.sequence(F.lit(1), F.col("__times")))
-    return rows.join(copies, "__rid").withColumn("__copy", every).select(*[f"`{c}`" for c in docs.columns])
+    return rows.join(copies, PLACE).withColumn("__copy", every).select(*[f"`{c}`" for c in docs.columns])
 
 
 def _taken(rows: DataFrame, weights=WEIGHTS, most: int = 3, block: int = BLOCK, shard: int = SHARD, blocks: bool = False) -> DataFrame:
@@ -125,20 +123,19 @@ def _taken(rows: DataFrame, weights=WEIGHTS, most: int = 3, block: int = BLOCK,
     if total:
         chances = chances / chances.sum()
     known = spark.createDataFrame(
-        [(i, r["source"], s, t) for i, (r, s, t) in enumerate(zip(found, sizes, wanted, strict=True))],
-        "__s int, __name string, source_size long, target double",
+        [(i, r["source"], max(1, r["n"] // BIN_ROWS), s, t) for i, (r, s, t) in enumerate(zip(found, sizes, wanted, strict=True))],
+        "__s int, __name string, __bins long, source_size long, target double",
     )
 
     # where each document's words begin in its source
-    bins = max(1, sum(r["n"] for r in found) // BIN_ROWS)
     named = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("__name")))
-    named = named.withColumn("__bin", F.pmod(F.xxhash64("doc_id"), F.lit(bins)))
+    named = named.withColumn("__bin", F.pmod(F.xxhash64("doc_id"), "__bins"))
     sums = named.groupBy("__s", "__bin").agg(F.sum("size").alias("__sum"))
     before = Window.partitionBy("__s").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("__s", "__bin", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("__s", "__bin").orderBy("doc_id", "size", "__rid").rowsBetween(Window.unboundedPreceding, -1)
-    placed = named.withColumn("__within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["__s", "__bin"])
-    placed = placed.select("__rid", "doc_id", "size", "source_size", "target", "__s", (F.col("__start") + F.col("__within")).alias("__at"))
+    within = Window.partitionBy("__s", "__bin").orderBy("doc_id", "size", *PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = named.withColumn("__within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["__s", "__bin"])
+    offsets = offsets.select(*PLACE, "doc_id", "size", "source_size", "target", "__s", (F.col("__start") + F.col("__within")).alias("__at"))
 
     # slots: counts of each shard, their place among the source's slots, the blocks that they map to
     def draws(batches):
@@ -179,8 +176,8 @@ def _taken(rows: DataFrame, weights=WEIGHTS, most: int = 3, block: int = BLOCK,
     times = slots.groupBy("__s", "__block").agg(F.count("*").alias("__times"))
 
     first, last = F.expr(f"__at div {block}"), F.expr(f"greatest(__at, __at + size - 1) div {block}")
-    parts = placed.withColumn("__block", F.explode(F.sequence(first, last)))
+    parts = offsets.withColumn("__block", F.explode(F.sequence(first, last)))
     overlap = F.least(F.col("__at") + F.col("size"), (F.col("__block") + 1) * block) - F.greatest(F.col("__at"), F.col("__block") * block)
     hit = parts.withColumn("__words", overlap).join(times, ["__s", "__block"], "left")
     whole = F.sum(F.col("__words") * F.coalesce("__times", F.lit(0))).cast("long")
-    return hit.groupBy("__rid", "doc_id", "size", "source_size", "target").agg(whole.alias("taken"))
+    return hit.groupBy(*PLACE, "doc_id", "size", "source_size", "target").agg(whole.alias("taken"))
