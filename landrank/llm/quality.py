@@ -88,7 +88,7 @@ def fit_labels(patterns: list[list[int]], counts: list[int]) -> tuple[np.ndarray
 
     EM from votes by majority; rates are smoothed by one vote each, so a labeller that never votes stays harmless.
     """
-    v, c = np.array(patterns).reshape(-1, len(LABELLERS)), np.array(counts, float)
+    v, c = np.array(patterns, np.int64).reshape(-1, len(LABELLERS)), np.array(counts, float)
     good, bad = (v == GOOD).sum(1), (v == BAD).sum(1)
     post = np.clip(0.5 + 0.4 * np.sign(good - 3.0 * bad + 0.5), 0.05, 0.95)
     rates, share = np.zeros((2, len(LABELLERS), 3)), 0.5

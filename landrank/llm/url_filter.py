@@ -27,7 +27,7 @@ from .common import arrow_pass, stored
 
 #: (host, path, verdict); the text of a rule is host and path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: False positive rate of a level; bytes of all levels together; bits of a bitmap piece (as bitmap_construct_agg has them).
+#: False positive rate of a level, at most; bytes of all levels together; bits of a bitmap piece (as bitmap_construct_agg has them).
 RATE, CASCADE_BYTES, PIECE = 0.05, 128 << 20, 32768
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOSTS_KEPT = 200_000
@@ -108,14 +108,17 @@ def universe(hosts: DataFrame, listed: list[str]) -> DataFrame:
 def build(keys: DataFrame) -> Cascade:
     """The cascade of a universe (key, listed)."""
     keys, cascade = stored(keys, "url-keys"), Cascade()
+    listed, others = (keys.where(F.col("listed") == F.lit(b)).count() for b in (True, False))
     while True:
         level = len(cascade.levels)
+        # the first level lets through about as many other keys as there are listed ones, so later ones stay small
+        rate = min(RATE, max(listed, 1) / max(others, 1)) if not level else RATE
         own = arrow_pass(keys.where(F.col("listed") == F.lit(level % 2 == 0)).select("key"), _let_through(cascade), "key string")
         own = stored(own, "url-level")
         n = own.count()
         if not n:
             return cascade
-        bits = -(-int(max(64, -n * math.log(RATE) / math.log(2) ** 2)) // 64) * 64
+        bits = -(-int(max(64, -n * math.log(rate) / math.log(2) ** 2)) // 64) * 64
         hashes = max(1, round(bits / n * math.log(2))) if n > 8 else 5
         if cascade.size() + bits // 8 > CASCADE_BYTES:
             raise ValueError(f"{n} keys take a level beyond {CASCADE_BYTES} bytes: split the list by host")
