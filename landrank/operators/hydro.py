@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import styles
 from ..functions import thresholds as t
-from . import spatial, terrain, zonal
+from . import spatial, terrain
 
 AREA_COLUMNS = ["drainage_area_km2", "drain_area", "wsarea"]
 #: Columns that streams may lack.
@@ -104,8 +104,7 @@ def powers(cells: DataFrame, context) -> DataFrame:
     rows = found.join(lines, "line_id").withColumn("area", drainage_area(F.col("length"))).where(F.col("area") >= t.LEAST_DRAINAGE)
     if context.pixels is not None:
         along = heads(rows.select("cell_id", "line_id", "length", "start", "stop"), segments, context.pixels, context.origin, context.resolution, context.nodata)
-        ranges = zonal.heights(context.pixels, context.bbox, context.size, context.nodata).select("cell_id", (F.col("most") - F.col("least")).alias("range"))
-        rows = rows.join(along, ["cell_id", "line_id"], "left").join(ranges, "cell_id", "left")
+        rows = rows.join(along, ["cell_id", "line_id"], "left").join(context.ranges(), "cell_id", "left")
     else:
         rows = rows.withColumns({"head": F.lit(None).cast("double"), "range": F.lit(None).cast("double")})
     # without heights along the stream: the cell's range, then the stream's own heights, then a slope of 2 %

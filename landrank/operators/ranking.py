@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import thresholds as t
+from ..functions.storage import stored
 from . import spatial
 
 
@@ -44,8 +45,9 @@ def ranked(cells: DataFrame) -> DataFrame:
     """Adds ``rank``: 1 + the number of eligible cells with a higher score; null for excluded cells and null scores.
 
     Scores are weighted sums of step values, so they take few values: counts by score are ranked instead of cells, and no
-    task gets all cells.
+    task gets all cells.  The cells are stored first, as they are read twice.
     """
+    cells = stored(cells, "scored")
     open_ = F.col("status") != "excluded"
     counts = cells.where(open_ & F.col("score").isNotNull()).groupBy("score").agg(F.count("*").alias("__n"))
     above = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)

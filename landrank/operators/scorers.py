@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import styles
 from ..functions import thresholds as t
+from ..functions.storage import stored
 from . import hydro, spatial, zonal
 
 
@@ -37,11 +38,19 @@ class Context:
     shared: dict = field(default_factory=dict)
 
     def measures(self) -> DataFrame:
-        """Zonal sums, defined once: scorers that are computed together share its scan."""
+        """Zonal sums, a row a cell, stored once: all scorers share one scan of the raster, which is by far the largest layer."""
         if "measures" not in self.shared:
-            self.shared["measures"] = zonal.all_measures(self.terrain, self.bbox, self.size, self.nodata)
+            self.shared["measures"] = stored(zonal.all_measures(self.terrain, self.bbox, self.size, self.nodata), "measures")
         return self.shared["measures"]
 
+    def ranges(self) -> DataFrame:
+        """cell_id, range: height difference within each cell."""
+        if self.terrain is None:
+            found = zonal.heights(self.pixels, self.bbox, self.size, self.nodata)
+        else:
+            found = self.measures().where("n > 0")
+        return found.select("cell_id", (F.col("most") - F.col("least")).alias("range"))
+
 
 Scorer = Callable[[DataFrame, Context], DataFrame]
 _known: dict[str, Scorer] = {}
@@ -131,13 +140,15 @@ def hydro_power(cells: DataFrame, context: Context) -> DataFrame:
     return joined.select("cell_id", t.lookup(F.coalesce("power", F.lit(0.0)), t.HYDRO_POWER).alias("score"))
 
 
-def composite(cells: DataFrame, context: Context, weights: dict[str, float], enabled: list[str]) -> DataFrame:
+def composite(cells: DataFrame, context: Context, weights: dict[str, float], enabled: list[str], grid: DataFrame | None = None) -> DataFrame:
     """Adds score_<name> for each enabled criterion and their weighted sum ``score``; all null for excluded cells.
 
-    Excluded cells are not scored.  Terms are added in the order of the weights.  A criterion whose plan does not resolve
-    against the layers scores 0 and does not stop the others; an unknown name does.
+    Terms are added in the order of the weights.  A criterion whose plan does not resolve against the layers scores 0 and
+    does not stop the others; an unknown name does.  Criteria work on ``grid``, the same cells without what was joined to
+    them, where it is given: reading those anew costs nothing, while the exclusions would be worked out once for each
+    criterion.  Without it they work on the cells that are not excluded.
     """
-    eligible = cells.where("status <> 'excluded'") if "status" in cells.columns else cells
+    eligible = grid if grid is not None else cells.where("status <> 'excluded'") if "status" in cells.columns else cells
     scaled = t.scaled_weights(weights, enabled)
     found, out = {}, cells
     for name in enabled:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,5 +47,5 @@ def band_counts(cells: DataFrame) -> DataFrame:
     seen = cells.where("confidence_band is not null")
     names = ["high", "medium", "low"]
     sums = seen.agg(*(F.count_if(F.col("confidence_band") == b).alias(b) for b in names), F.count("*").alias("__all"))
-    rows = [sums.select(F.lit(b).alias("band"), F.col(b).alias("n"), (F.col(b) * 100.0 / F.when(F.col("__all") > 0, F.col("__all"))).alias("percent")) for b in names]
-    return reduce(DataFrame.unionByName, rows)
+    each = F.inline(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).alias("n")) for b in names)))
+    return sums.select("__all", each).select("band", "n", (F.col("n") * 100.0 / F.when(F.col("__all") > 0, F.col("__all"))).alias("percent"))

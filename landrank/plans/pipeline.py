@@ -66,7 +66,7 @@ def scored(spark: SparkSession, config: Config, cells: DataFrame) -> DataFrame:
     load = lambda name: ingest.load(spark, config, name)
     zones = exclusions.load(spark, load("protected_areas"), load("flood"), config.bbox)
     found = exclusions.apply(cells, zones, config.overlap_threshold)
-    found = scorers.composite(found, context(spark, config), config.weights, config.enabled)
+    found = scorers.composite(found, context(spark, config), config.weights, config.enabled, cells)
     return ranking.ranked(ranking.confidence(found, data_flags(config), config.deductions))
 
 
