@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from .common import arrow_pass, id_and_text, texts_of
 from .pretoken import pretokens
 
-#: Bounds of the tables that a worker keeps: pre-tokens, prefixes, pairs. A full table is emptied, results stay exact.
-WORDS_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 300_000, 500_000, 500_000
+#: Bounds of the tables that a worker keeps: pre-tokens (two generations), prefixes, pairs. What goes is worked out again.
+WORDS_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 200_000, 150_000, 250_000
 #: Pre-tokens longer than this many bytes take a table of their own.
 LONG = 48
 
@@ -38,6 +38,7 @@ class Encoder:
         self.apart: dict[tuple[int, int], bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a single byte."""
@@ -106,16 +107,17 @@ class Encoder:
                 table.append(self._tail(data, end, table.__getitem__))
             last_at = table.__getitem__
         else:
-            last = self.last
+            last, row = self.last, [-1] * (n + 1)
             if len(last) + n > PREFIXES_KEPT:
                 last.clear()
             known = n
             while known and data[:known] not in last:
                 known -= 1
-            at = lambda end: last[data[:end]]
+            for end in range(1, known + 1):
+                row[end] = last[data[:end]]
             for end in range(known + 1, n + 1):
-                last[data[:end]] = self._tail(data, end, at)
-            last_at = at
+                row[end] = last[data[:end]] = self._tail(data, end, row.__getitem__)
+            last_at = row.__getitem__
         ids, end = [], n
         while end:
             token = last_at(end)
@@ -126,14 +128,14 @@ class Encoder:
 
     def word(self, word: str) -> tuple[tuple[int, ...], str]:
         """Ids of a pre-token, and the same as decimals joined by spaces."""
-        found = self.words.get(word)
+        found = self.words.get(word) or self.older.get(word)
         if found is None:
             ids = tuple(self.encode_bytes(word.encode()))
             found = (ids, " ".join(map(str, ids)))
-            if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            if len(word) <= 256:
-                self.words[word] = found
+        if len(word) <= 256:
+            if len(self.words) >= WORDS_KEPT // 2:  # words in use pass on to the next generation, others go with theirs
+                self.words, self.older = {}, self.words
+            self.words[word] = found
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -186,7 +188,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             counts, ids_hex, bytes_hex = [], [], []
             for text in texts_of(batch, 1):
-                words = list(map(enc.word, pretokens(text)))
+                words = [enc.words.get(w) or enc.word(w) for w in pretokens(text)]
                 ids = list(chain.from_iterable(w[0] for w in words))
                 counts.append(len(ids))
                 ids_hex.append(hashlib.sha256(" ".join([w[1] for w in words]).encode()).hexdigest())

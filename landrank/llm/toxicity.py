@@ -13,7 +13,8 @@ shuffle.
 
 Cases.  Null or empty text: no terms, the rate of rows without terms.  No labelled rows, or of one class only: every
 score is the smoothed rate.  Ties between neighbours: the example with the smaller place in the sample order.  Rows
-repeated: same score each.  Labels repeated for one doc_id: the largest counts; null labels do not.  Null doc_id: scored,
+repeated: same score each.  Labels repeated for one doc_id: the largest counts; null labels do not.  Texts repeated for
+one labelled doc_id: the first in order is learned from.  Null doc_id: scored,
 held_out false.  Empty table: empty result.  Extra columns are handed on by ``accepted``, ignored by ``scored``.
 """
 
@@ -34,7 +35,7 @@ from .common import arrow_pass, id_and_text, texts_of
 
 EXAMPLES, TERMS, BLOCK, FIRST_BLOCKS, NEAREST = 6000, 4096, 64, 4, 15
 #: Bounds of the words whose terms, and of the vectors whose scores, a worker keeps.
-WORDS_KEPT, VECTORS_KEPT = 400_000, 20_000
+WORDS_KEPT, VECTORS_KEPT = 150_000, 20_000
 WORD = re.compile(r"\w+")
 #: Pseudo-votes for the base rate.
 SHRINK = 1.0
@@ -183,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = {r["doc_id"]: r["__y"] for r in picked.collect()}
     spark = docs.sparkSession
     few = spark.createDataFrame(list(chosen.items()), "doc_id long, __y int")
-    sample = rows.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "__y")
+    sample = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id", "__y").agg(F.min("text").alias("text")).select("doc_id", "text", "__y")
     toxic, seen = sum(chosen.values()), len(chosen)
 
     def term_rows(batches):
