@@ -24,7 +24,7 @@ from .common import arrow_pass, id_and_text, texts_of
 from .pretoken import pretokens
 
 #: Bounds of the tables that a worker keeps: pre-tokens (two generations), prefixes, pairs. What goes is worked out again.
-WORDS_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 200_000, 150_000, 250_000
+WORDS_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 300_000, 300_000, 250_000
 #: Pre-tokens longer than this many bytes take a table of their own.
 LONG = 48
 
@@ -35,7 +35,7 @@ class Encoder:
         self.spelled = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self.last: dict[bytes, int] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.words: dict[str, tuple[tuple[int, ...], str]] = {}
         self.older: dict[str, tuple[tuple[int, ...], str]] = {}
@@ -60,7 +60,7 @@ class Encoder:
         Both tokens are undone merge by merge, latest merge first; a pair that meets at the border and could have
         merged earlier than the merge undone last shows that the border does not survive.
         """
-        key = (left, right)
+        key = left << 32 | right
         if key in self.apart:
             return self.apart[key]
         undone, good = 1 << 60, True
@@ -92,7 +92,7 @@ class Encoder:
             if size == end:
                 return token
             left = last_at(end - size)
-            good = apart.get((left, token))
+            good = apart.get(left << 32 | token)
             if good is None:
                 good = self.stays_apart(left, token)
             if good:
@@ -100,29 +100,43 @@ class Encoder:
         raise ValueError("the vocabulary lacks a single byte")
 
     def encode_bytes(self, data: bytes) -> list[int]:
-        n = len(data)
-        if n > LONG:
-            table = [-1]
-            for end in range(1, n + 1):
-                table.append(self._tail(data, end, table.__getitem__))
-            last_at = table.__getitem__
-        else:
-            last, row = self.last, [-1] * (n + 1)
+        """Last tokens of the prefixes that are not stored yet, shortest first, then the ids from the end on."""
+        n, row, last, known = len(data), [-1] * (len(data) + 1), self.last, 0
+        shared = n <= LONG
+        if shared:
             if len(last) + n > PREFIXES_KEPT:
                 last.clear()
             known = n
             while known and data[:known] not in last:
                 known -= 1
-            for end in range(1, known + 1):
-                row[end] = last[data[:end]]
-            for end in range(known + 1, n + 1):
-                row[end] = last[data[:end]] = self._tail(data, end, row.__getitem__)
-            last_at = row.__getitem__
-        ids, end = [], n
+        token_of, apart, longest = self.ranks.get, self.apart, self.longest
+        for end in range(known + 1, n + 1):
+            for start in range(end - 1, max(-1, end - longest - 1), -1):  # only one token fits, so any order will do
+                token = token_of(data[start:end])
+                if token is None:
+                    continue
+                if not start:
+                    break
+                left = row[start]
+                if left < 0:
+                    left = row[start] = last[data[:start]]
+                good = apart.get(left << 32 | token)
+                if good is None:
+                    good = self.stays_apart(left, token)
+                if good:
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a single byte")
+            row[end] = token
+            if shared:
+                last[data[:end]] = token
+        ids, end, spelled = [], n, self.spelled
         while end:
-            token = last_at(end)
+            token = row[end]
+            if token < 0:
+                token = last[data[:end]]
             ids.append(token)
-            end -= len(self.spelled[token])
+            end -= len(spelled[token])
         ids.reverse()
         return ids
 
