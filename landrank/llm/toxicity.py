@@ -1,11 +1,11 @@
 """Operator 10: toxicity by nearest labelled examples, exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their prefixes and suffixes of 3 to 6 characters, lower-cased.  From a bounded sample of labelled
-rows (``EXAMPLES``, by smallest hash) the terms that stand out in toxic rows are counted on the executors and the most
-telling ``TERMS`` of them kept.  Sample rows with any kept term become TF-IDF vectors of length 1 in an inverted index:
+rows (``EXAMPLES``, by smallest hash; of near copies, which share the least hash of their five-word shingles, one) the
+terms that stand out in toxic rows are counted on the executors and the most telling ``TERMS`` of them kept.  Sample rows with any kept term become TF-IDF vectors of length 1 in an inverted index:
 postings by term in blocks of ``BLOCK`` examples with the largest weight of each block.  A document's nearest examples
-are found exactly: blocks of the largest upper bounds first, then those whose bound reaches the k-th cosine found.  Votes are weighted by
-1 / (distance + 0.1) and shrunk to the rate of rows without kept terms; a monotone map fitted on leave-one-out votes of
+are found exactly: blocks of the largest upper bounds first, then those whose bound reaches the k-th cosine found.  Votes
+are weighted by cosine squared / (distance + 0.1) and shrunk to the rate of rows without kept terms; a monotone map fitted on leave-one-out votes of
 the examples makes them probabilities.  A document without kept terms has the rate of such rows as its score.
 
 The index is bounded by ``EXAMPLES`` and ``TERMS`` whatever the corpus; every text is read whole, in one pass without a
@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pass, id_and_text, texts_of
+from .common import arrow_pass, id_and_text, stored, texts_of
+from .simhash import shingle_hashes
 
 EXAMPLES, TERMS, BLOCK, FIRST_BLOCKS, NEAREST = 6000, 4096, 64, 4, 15
 #: Bounds of the words whose terms, and of the vectors whose scores, a worker keeps.
@@ -127,7 +128,7 @@ class Model:
         return list(zip(cosines.tolist(), places.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        weights = [1 / (1 - min(c, 1.0) + 0.1) for c, _ in near]
+        weights = [c * c / (1 - min(c, 1.0) + 0.1) for c, _ in near]
         return (sum(w * self.labels[e] for w, (_, e) in zip(weights, near, strict=True)) + SHRINK * self.base) / (sum(weights) + SHRINK)
 
     def calibrate(self, vectors) -> None:
@@ -185,7 +186,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     few = spark.createDataFrame(list(chosen.items()), "doc_id long, __y int")
     sample = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id", "__y").agg(F.min("text").alias("text")).select("doc_id", "text", "__y")
-    toxic, seen = sum(chosen.values()), len(chosen)
+
+    def marks(batches):
+        for batch in batches:
+            found = [shingle_hashes(t, 5) for t in texts_of(batch, 1)]
+            least = pa.array([int(h.min() >> np.uint64(1)) if len(h) else 0 for h in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, least], names=["doc_id", "text", "__y", "mark"])
+
+    # the words of one toxic text and its copies would all seem toxic; both classes keep a row of a mark
+    marked_rows = arrow_pass(sample, marks, "doc_id long, text string, __y int, mark long")
+    alone = marked_rows.groupBy("mark", "__y").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    sample = stored(alone.select("r.doc_id", "r.text", "__y"), "toxicity-examples")
+    counts = {r["__y"]: r["count"] for r in sample.groupBy("__y").count().collect()}
+    toxic, seen = counts.get(1, 0), sum(counts.values())
 
     def term_rows(batches):
         for batch in batches:
@@ -227,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         examples = [(r["doc_id"], r["__y"], Counter(pickle.loads(r["counts"]))) for r in arrow_pass(sample, vectors, "doc_id long, __y int, counts binary").collect()]
         place = {d: i for i, d in enumerate(chosen)}
         examples.sort(key=lambda x: place[x[0]])
-    bare = [y for _, y, c in examples if not c] if examples else list(chosen.values())
+    bare = [y for _, y, c in examples if not c] if examples else [1] * toxic + [0] * (seen - toxic)
     rate0 = (sum(bare) + 0.5) / (len(bare) + 1)
     held = [(d, y, c) for d, y, c in examples if c]
     model = Model(terms, idf, [], np.array([y for _, y, _ in held], float), rate0)
