@@ -178,6 +178,7 @@ def _taken(rows: DataFrame, weights=WEIGHTS, most: int = 3, block: int = BLOCK,
     first, last = F.expr(f"__at div {block}"), F.expr(f"greatest(__at, __at + size - 1) div {block}")
     parts = offsets.withColumn("__block", F.explode(F.sequence(first, last)))
     overlap = F.least(F.col("__at") + F.col("size"), (F.col("__block") + 1) * block) - F.greatest(F.col("__at"), F.col("__block") * block)
-    hit = parts.withColumn("__words", overlap).join(times, ["__s", "__block"], "left")
+    # slots are made in Python of a few rows, so their size is not seen when the join is planned: it must not be broadcast
+    hit = parts.withColumn("__words", overlap).join(times.hint("merge"), ["__s", "__block"], "left")
     whole = F.sum(F.col("__words") * F.coalesce("__times", F.lit(0))).cast("long")
     return hit.groupBy(*PLACE, "doc_id", "size", "source_size", "target").agg(whole.alias("taken"))
