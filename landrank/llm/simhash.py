@@ -6,6 +6,7 @@ bands, sorted by band value and population count, and cut into tiles; a tile is
 it by exclusive-or and bit counts, except where the band values part or the population counts differ by more than the
 radius.  A task emits the forest of its links, at most one row a fingerprint, so a group of many near copies never
 becomes all its pairs; components of the forests are found by star contraction with tables in the shared folder.
+``representatives`` goes on to hold the links of its forests against the texts' shingle sets.
 
 Bands.  With more bands than the radius, two linked fingerprints agree on one band at least, so no link is lost (the
 64-bit, radius-2 case: three bands).  For wide radii the bands are random bit positions, as many as find two texts of
@@ -146,7 +147,7 @@ def _banded(bands, names: list[str], into: str):
 
 
 def tile_links(key: np.ndarray, words: np.ndarray, radius: int):
-    """Index pairs (i, j) within the radius, tile by tile; rows are sorted by key and population count.
+    """Index pairs (i, j) within the radius and their distances, tile by tile; rows are sorted by key and population count.
 
     Tiles whose keys part, or whose population counts differ by more than the radius, are skipped.
     """
@@ -167,7 +168,7 @@ def tile_links(key: np.ndarray, words: np.ndarray, radius: int):
             if a == b:
                 later = j > i
                 i, j = i[later], j[later]
-            yield i + a, j + b
+            yield i + a, j + b, far[i, j]
 
 
 def _forest(nodes: np.ndarray, found) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +181,7 @@ def _forest(nodes: np.ndarray, found) -> tuple[np.ndarray, np.ndarray]:
             x = parent[x]
         return x
 
-    for i, j in found:
+    for i, j, _ in found:
         if not len(i):
             continue
         rows = np.unique(np.concatenate([i, j]))
@@ -197,11 +198,59 @@ def _forest(nodes: np.ndarray, found) -> tuple[np.ndarray, np.ndarray]:
     return nodes[below], least[below]
 
 
+#: Links that are held before they are thinned, and edges of a component to a task.
+HELD_LINKS, TASK_EDGES = 4_000_000, 20_000
+
+
+def spanning(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of links that join whatever all of them join, nearest first: a minimum spanning forest, to the bit.
+
+    Distance by distance, every part takes one link to a part before it, until no link of that distance joins two parts.
+    """
+    nodes, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j, label, kept = ends[: len(i)], ends[len(i) :], np.arange(len(nodes)), []
+    for d in np.unique(far):
+        at = np.nonzero(far == d)[0]
+        while len(at):
+            a, b = label[i[at]], label[j[at]]
+            at, a, b = at[a != b], a[a != b], b[a != b]
+            if not len(at):
+                break
+            upper, first = np.unique(np.maximum(a, b), return_index=True)
+            kept.append(at[first])
+            parent = np.arange(len(nodes))
+            parent[upper] = np.minimum(a, b)[first]
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            label = parent[label]
+    return np.concatenate(kept) if kept else np.empty(0, np.int64)
+
+
+def _thinned(found):
+    """(i, j, distance) of a spanning forest of all links, which are thinned whenever many are held."""
+    held, n = [], 0
+
+    def thin():
+        i, j, d = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = spanning(i, j, d)
+        return i[at], j[at], d[at]
+
+    for links_of_tile in found:
+        if len(links_of_tile[0]):
+            held.append(links_of_tile)
+            n += len(links_of_tile[0])
+            if n > HELD_LINKS:
+                held = [thin()]
+                n = len(held[0][0])
+    return thin() if held else (np.empty(0, np.int64),) * 3
+
+
 #: Rows that a task compares at a time, unless one band value has more; such values are dealt out again before.
 RUN_ROWS = 200_000
 
 
-def _linked(radius: int, wide: int, by: list[str]):
+def _linked(radius: int, wide: int, by: list[str], stars: bool):
+    """Rows (u, v, far) of a forest of each run's links: stars around the smallest node, or links as they are, nearest first."""
     names = _names(wide)
 
     def flush(table: pa.Table):
@@ -210,8 +259,15 @@ def _linked(radius: int, wide: int, by: list[str]):
             v = table.column(c).to_numpy()
             key = key + np.concatenate([[0], np.cumsum(v[1:] != v[:-1])]) if len(v) else key
         words = np.stack([table.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
-        below, top = _forest(table.column("__node").to_numpy(), tile_links(key, words, radius))
-        return pa.RecordBatch.from_arrays([pa.array(below, pa.int64()), pa.array(top, pa.int64())], names=["u", "v"])
+        nodes, found = table.column("__node").to_numpy(), tile_links(key, words, radius)
+        if stars:
+            u, v = _forest(nodes, found)
+            far = np.zeros(len(u), np.int64)
+        else:
+            i, j, far = _thinned(found)
+            u, v = nodes[i], nodes[j]
+            u, v, far = (x[u != v] for x in (np.maximum(u, v), np.minimum(u, v), far))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, far)], names=["u", "v", "far"])
 
     def run(batches):
         held, rows = [], 0
@@ -234,8 +290,8 @@ def _linked(radius: int, wide: int, by: list[str]):
     return run
 
 
-def links(prints: DataFrame, wide: int, radius: int, bands, finer) -> DataFrame:
-    """Forest rows (u, v) that join every two fingerprints within the radius; ``prints``: __node and the words, distinct."""
+def links(prints: DataFrame, wide: int, radius: int, bands, finer, stars: bool = True) -> DataFrame:
+    """Rows (u, v, far) that join every two fingerprints within the radius; ``prints``: __node and the words, distinct."""
     names = _names(wide)
     fields = [T.StructField(n, T.LongType()) for n in ("__node", *names)]
     key, sub = T.StructField("__key", T.LongType()), T.StructField("__sub", T.LongType())
@@ -244,7 +300,7 @@ def links(prints: DataFrame, wide: int, radius: int, bands, finer) -> DataFrame:
 
     def compared(rows: DataFrame, by: list[str]) -> DataFrame:
         pops = sum((F.bit_count(n) for n in names), F.lit(0))
-        return arrow_pass(rows.repartition(*by).sortWithinPartitions(*by, pops), _linked(radius, wide, by), "u long, v long")
+        return arrow_pass(rows.repartition(*by).sortWithinPartitions(*by, pops), _linked(radius, wide, by, stars), "u long, v long, far long")
 
     if crowds.isEmpty():
         return compared(keyed, ["__key"])
@@ -282,45 +338,98 @@ def connected(edges: DataFrame) -> DataFrame:
     )
 
 
-def _grouped(rows: DataFrame, wide: int, radius: int, differ: int, recall: float) -> DataFrame:
-    """Fingerprint words with the smallest doc_id of their component (__low) and the place of its row."""
-    names, bits = _names(wide), 64 * wide
+def _prints(rows: DataFrame, wide: int) -> DataFrame:
+    """Distinct fingerprints, numbered (__node), with the smallest doc_id of their rows and its place (__best)."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), *PLACE)
-    prints = rows.groupBy(*names).agg(F.min(order).alias("__best"))
-    prints = stored(prints.withColumn("__node", F.monotonically_increasing_id()), "simhash-prints")  # stored, so numbered once
-    if radius <= 3:
-        bands, finer = exact_bands(bits, radius), striped_bands(bits, radius)
-    else:  # a band value is to hold about 1,000 fingerprints at most, so bands widen as these grow; recall stays
-        width = max(14, math.ceil(math.log2(max(prints.count(), 1) / 1000)))
-        bands, finer = random_bands(bits, differ, recall, width), random_bands(bits, differ, recall, 10, SEED + 1)
-    parts = connected(links(prints, wide, radius, bands, finer))
+    found = rows.groupBy(*_names(wide)).agg(F.min(order).alias("__best"))
+    return stored(found.withColumn("__node", F.monotonically_increasing_id()), "simhash-prints")  # stored, so numbered once
+
+
+def _groups(prints: DataFrame, wide: int, edges: DataFrame) -> DataFrame:
+    """Fingerprint words with the smallest doc_id of their component (__low) and the place of its row."""
+    parts = connected(edges)
     named = prints.join(parts.withColumnRenamed("node", "__node"), "__node").select("__node", "__best", "component")
     best = named.groupBy("component").agg(F.min("__best").alias("__top"))
     tops = named.join(best, "component").select("__node", "__top")
     joined = prints.join(tops, "__node", "left").withColumn("__top", F.coalesce("__top", "__best"))
-    return joined.select(*names, F.col("__top.d").alias("__low"), *(F.col(f"__top.{p}").alias(p) for p in PLACE))
+    return joined.select(*_names(wide), F.col("__top.d").alias("__low"), *(F.col(f"__top.{p}").alias(p) for p in PLACE))
 
 
 def components(docs: DataFrame, words: int = 3, radius: int = 2, wide: int = 1) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits for each word), component_id. Finds every link, radius to 3."""
     if radius > 3:
         raise ValueError("exact bands are for a radius of 3 at most")
-    names = _names(wide)
+    names, bits = _names(wide), 64 * wide
     rows = fingerprints(placed(docs), words, wide)
-    groups = _grouped(rows, wide, radius, radius, 1).drop(*PLACE)
+    prints = _prints(rows, wide)
+    groups = _groups(prints, wide, links(prints, wide, radius, exact_bands(bits, radius), striped_bands(bits, radius))).drop(*PLACE)
     hexed = F.lower(F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names)))
     return rows.join(groups, names).select("doc_id", hexed.alias("fingerprint"), F.col("__low").alias("component_id"))
 
 
+def _nearest_edges(edges: DataFrame) -> DataFrame:
+    """A spanning forest, nearest links first, of each component of the edges; very large components are dealt over tasks."""
+    edges = stored(edges.groupBy("u", "v").agg(F.min("far").alias("far")), "simhash-edges")
+    parts = connected(edges).withColumnRenamed("node", "u")
+    sizes = edges.join(parts, "u").groupBy("component").agg(F.count("*").alias("n"))
+    named = edges.join(parts, "u").join(sizes, "component")
+    dealt = named.withColumn("__salt", F.pmod(F.xxhash64("u", "v"), 1 + F.expr(f"n div {TASK_EDGES}")))
+
+    def thin(batches):
+        found = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if found:
+            u, v, far = (np.concatenate(x) for x in zip(*found, strict=True))
+            at = spanning(u, v, far)
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (u, v, far)], names=["u", "v", "far"])
+
+    # components and salts meet in a task by chance only, which does no harm: a forest of several components is one of each
+    return arrow_pass(dealt.repartition("component", "__salt").select("u", "v", "far"), thin, "u long, v long, far long")
+
+
+def _similar(rows: DataFrame, prints: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The edges whose texts' shingle sets have the Jaccard similarity; sets are made once for each text with an edge."""
+    edges = stored(edges, "simhash-candidates")
+    nodes = edges.select(F.col("u").alias("__node")).unionByName(edges.select(F.col("v").alias("__node"))).distinct()
+    places = nodes.join(prints.select("__node", *(F.col(f"__best.{p}").alias(p) for p in PLACE)), "__node")
+    texts = rows.select(*PLACE, F.col("text").cast("string").alias("text")).join(places, PLACE).select("__node", "text")
+
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts_of(batch, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
+
+    known = stored(arrow_pass(texts, sets, "node long, shingles binary"), "simhash-sets")
+    pairs = edges.select("u", "v").join(known.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    pairs = pairs.join(known.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
+
+    def verified(batches):
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return arrow_pass(pairs, verified, "u long, v long")
+
+
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, wide: int = 4, recall: float = 0.99) -> DataFrame:
     """The rows of ``docs``, all columns, of which each component keeps the one with the smallest doc_id.
 
     ``similarity`` is the Jaccard similarity of shingle sets.  Texts that have it differ in some share of bits on average;
-    the radius is that share and two standard deviations.  At 256 bits unrelated texts, which differ in half the bits, lie
-    nine standard deviations beyond it.
+    the radius is that share and three standard deviations, at which unrelated texts, which differ in half the bits, still
+    lie nine standard deviations beyond it.  Links within the radius are thinned to spanning forests, nearest first, and
+    those that remain are verified on the shingle sets themselves; verified links make the components.
     """
     bits, share = 64 * wide, expected_share(similarity)
-    radius = int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    radius = int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     rows = placed(docs)
-    stay = _grouped(fingerprints(rows, words, wide), wide, radius, round(bits * share), recall).select(*PLACE).distinct()
+    prints = _prints(fingerprints(rows, words, wide), wide)
+    # a band value is to hold about 1,000 fingerprints at most, so bands widen as these grow; recall stays
+    width = max(14, math.ceil(math.log2(max(prints.count(), 1) / 1000)))
+    differ = round(bits * share)
+    bands, finer = random_bands(bits, differ, recall, width), random_bands(bits, differ, recall, 10, SEED + 1)
+    near = _nearest_edges(links(prints, wide, radius, bands, finer, stars=False))
+    stay = _groups(prints, wide, _similar(rows, prints, near, words, similarity)).select(*PLACE).distinct()
     return rows.join(stay, PLACE, "left_semi").select(*[f"`{c}`" for c in docs.columns])

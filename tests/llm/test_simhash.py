@@ -121,7 +121,7 @@ def test_tiles_skip_only_what_is_far():
     key = np.sort(r.integers(0, 3, 700))
     order = np.lexsort((pops, key))
     words, key = words[order], np.sort(key)
-    got = {(int(min(i, j)), int(max(i, j))) for a, b in simhash.tile_links(key, words, 2) for i, j in zip(a, b, strict=True)}
+    got = {(int(min(i, j)), int(max(i, j))) for a, b, _ in simhash.tile_links(key, words, 2) for i, j in zip(a, b, strict=True)}
     want = {(i, j) for i in range(700) for j in range(i + 1, 700) if key[i] == key[j] and int(words[i, 0] ^ words[j, 0]).bit_count() <= 2}
     assert want <= got and all(int(words[i, 0] ^ words[j, 0]).bit_count() <= 2 for i, j in got)
 
@@ -149,6 +149,52 @@ def test_representatives(spark, words):
     assert got.columns == df.columns and sorted(x["doc_id"] for x in got.collect()) == list(range(60))
 
 
+def test_spanning_forest_is_minimal():
+    r = random.Random(4)
+    for n in (1, 2, 30, 200):
+        i, j = (np.array([r.randrange(n) for _ in range(4 * n)]) for _ in range(2))
+        far = np.array([r.randrange(6) for _ in range(4 * n)])
+        at = simhash.spanning(i, j, far)
+
+        def weight(order):
+            part, total, count = list(range(n)), 0, 0
+
+            def root(x):
+                while part[x] != x:
+                    x = part[x]
+                return x
+
+            for k in order:
+                a, b = root(int(i[k])), root(int(j[k]))
+                if a != b:
+                    part[a], total, count = b, total + int(far[k]), count + 1
+            return total, count
+
+        assert (int(far[at].sum()), len(at)) == weight(np.argsort(far, kind="stable"))
+
+
+def test_only_similar_texts_go(spark, words):
+    """Copies are dropped by the Jaccard similarity of their five-word shingles, whatever their fingerprints say."""
+    r = random.Random(16)
+    rows, kept = [], []
+    for k in range(40):
+        base = [r.choice(words) for _ in range(200)]
+        rows.append((100 * k, " ".join(base)))
+        kept.append(100 * k)
+        for n in range(1, 7):
+            t = list(base)
+            for at in range(n):
+                t[10 + 30 * at] = f"changed{k}x{at}"
+            rows.append((100 * k + n, " ".join(t)))  # one more change than the one before: similar to that one at least
+        far = list(base)
+        for at in range(0, 200, 18):
+            far[at] = f"far{k}x{at}"  # 12 words: some 60 of 196 shingles change, similarity 0.53
+        rows.append((100 * k + 50, " ".join(far)))
+        kept.append(100 * k + 50)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.representatives(df).collect()) == sorted(kept)
+
+
 def test_bands_have_the_recall_asked_for():
     share = simhash.expected_share(0.8)
     bands = simhash.random_bands(256, round(256 * share), 0.99, 14)
