@@ -24,7 +24,7 @@ from .common import arrow_pass, id_and_text, texts_of
 from .pretoken import pretokens
 
 #: Bounds of the tables that a worker keeps: pre-tokens (two generations), prefixes, pairs. What goes is worked out again.
-WORDS_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 300_000, 300_000, 250_000
+WORDS_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 260_000, 220_000, 250_000
 #: Pre-tokens longer than this many bytes take a table of their own.
 LONG = 48
 

@@ -7,6 +7,8 @@ come straight from files are first written to the shared folder.
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,15 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again by later stages, and freed text would stay with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it does without
+        pass
+
+
 def arrow_pass(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` over bounded batches; a worker gives back what its batches took when the task ends."""
     bounded_batches(df.sparkSession)
@@ -38,7 +49,7 @@ def arrow_pass(df: DataFrame, function, schema: str) -> DataFrame:
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

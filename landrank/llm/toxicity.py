@@ -36,7 +36,7 @@ from .simhash import shingle_hashes
 
 EXAMPLES, TERMS, BLOCK, FIRST_BLOCKS, NEAREST = 6000, 4096, 64, 4, 15
 #: Bounds of the words whose terms, and of the vectors whose scores, a worker keeps.
-WORDS_KEPT, VECTORS_KEPT = 150_000, 20_000
+WORDS_KEPT, VECTORS_KEPT = 150_000, 5_000
 WORD = re.compile(r"\w+")
 #: Pseudo-votes for the base rate.
 SHRINK = 1.0
