@@ -197,3 +197,20 @@ def test_command_line(capsys):
             cli.main([name, "--help"])
         assert e.value.code == 0
     assert cli.main(["--config", "/nowhere/config.yaml", "check-data"]) == 1
+
+
+def test_dem_in_degrees_is_turned(spark, tmp_path):
+    """A plane given in longitude and latitude comes out as the same plane at the turned centres."""
+    from landrank.functions import projection
+
+    (tmp_path / "raw/hrdem").mkdir(parents=True)
+    step, left, top = 0.0005, -64.52, 44.27
+    z = (100 + 1000 * ((left + (np.arange(160) + 0.5) * step) + 64.5)[None, :] + 500 * ((top - (np.arange(160) + 0.5) * step) - 44.2)[:, None]).astype("f8")
+    (tmp_path / "raw/hrdem/a.tif").write_bytes(raster.encode(z, left, top, step, -9999, 4326))
+    config = configuration.Config(bbox=(X0, Y0, X0 + 1000, Y0 + 1000), raw=tmp_path / "raw", processed=tmp_path / "processed")
+    assert ingest.dem(spark, config) == ingest.dem(spark, config)  # the second time it is there already
+    lat, lon = projection.to_geographic(F.col("x"), F.col("y"))
+    rows = ingest.load(spark, config, "dem").select("row", "col", "z", lat.alias("lat"), lon.alias("lon")).collect()
+    head = ingest.dem_header(config)
+    assert len(rows) == int(-(-1000 // head["resolution"])) ** 2 and min(r["row"] for r in rows) == 0
+    assert all(r["z"] == pytest.approx(100 + 1000 * (r["lon"] + 64.5) + 500 * (r["lat"] - 44.2), abs=1e-6) for r in rows)
