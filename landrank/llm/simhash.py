@@ -6,7 +6,7 @@ bands, sorted by band value and population count, and cut into tiles; a tile is
 it by exclusive-or and bit counts, except where the band values part or the population counts differ by more than the
 radius.  A task emits the forest of its links, at most one row a fingerprint, so a group of many near copies never
 becomes all its pairs; components of the forests are found by star contraction with tables in the shared folder.
-``representatives`` goes on to hold the links of its forests against the texts' shingle sets.
+``representatives`` goes on to hold the texts of each component against each other by their shingle sets.
 
 Bands.  With more bands than the radius, two linked fingerprints agree on one band at least, so no link is lost (the
 64-bit, radius-2 case: three bands).  For wide radii the bands are random bit positions, as many as find two texts of
@@ -198,10 +198,6 @@ def _forest(nodes: np.ndarray, found) -> tuple[np.ndarray, np.ndarray]:
     return nodes[below], least[below]
 
 
-#: Links that are held before they are thinned, and edges of a component to a task.
-HELD_LINKS, TASK_EDGES = 4_000_000, 20_000
-
-
 def spanning(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
     """Places of links that join whatever all of them join, nearest first: a minimum spanning forest, to the bit.
 
@@ -226,31 +222,12 @@ def spanning(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else np.empty(0, np.int64)
 
 
-def _thinned(found):
-    """(i, j, distance) of a spanning forest of all links, which are thinned whenever many are held."""
-    held, n = [], 0
-
-    def thin():
-        i, j, d = (np.concatenate(x) for x in zip(*held, strict=True))
-        at = spanning(i, j, d)
-        return i[at], j[at], d[at]
-
-    for links_of_tile in found:
-        if len(links_of_tile[0]):
-            held.append(links_of_tile)
-            n += len(links_of_tile[0])
-            if n > HELD_LINKS:
-                held = [thin()]
-                n = len(held[0][0])
-    return thin() if held else (np.empty(0, np.int64),) * 3
-
-
 #: Rows that a task compares at a time, unless one band value has more; such values are dealt out again before.
 RUN_ROWS = 200_000
 
 
-def _linked(radius: int, wide: int, by: list[str], stars: bool):
-    """Rows (u, v, far) of a forest of each run's links: stars around the smallest node, or links as they are, nearest first."""
+def _linked(radius: int, wide: int, by: list[str]):
+    """Rows (u, v) of a forest of each run's links: stars around the smallest node."""
     names = _names(wide)
 
     def flush(table: pa.Table):
@@ -260,14 +237,7 @@ def _linked(radius: int, wide: int, by: list[str], stars: bool):
             key = key + np.concatenate([[0], np.cumsum(v[1:] != v[:-1])]) if len(v) else key
         words = np.stack([table.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
         nodes, found = table.column("__node").to_numpy(), tile_links(key, words, radius)
-        if stars:
-            u, v = _forest(nodes, found)
-            far = np.zeros(len(u), np.int64)
-        else:
-            i, j, far = _thinned(found)
-            u, v = nodes[i], nodes[j]
-            u, v, far = (x[u != v] for x in (np.maximum(u, v), np.minimum(u, v), far))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, far)], names=["u", "v", "far"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _forest(nodes, found)], names=["u", "v"])
 
     def run(batches):
         held, rows = [], 0
@@ -290,8 +260,8 @@ def _linked(radius: int, wide: int, by: list[str], stars: bool):
     return run
 
 
-def links(prints: DataFrame, wide: int, radius: int, bands, finer, stars: bool = True) -> DataFrame:
-    """Rows (u, v, far) that join every two fingerprints within the radius; ``prints``: __node and the words, distinct."""
+def links(prints: DataFrame, wide: int, radius: int, bands, finer) -> DataFrame:
+    """Rows (u, v) that join every two fingerprints within the radius; ``prints``: __node and the words, distinct."""
     names = _names(wide)
     fields = [T.StructField(n, T.LongType()) for n in ("__node", *names)]
     key, sub = T.StructField("__key", T.LongType()), T.StructField("__sub", T.LongType())
@@ -300,7 +270,7 @@ def links(prints: DataFrame, wide: int, radius: int, bands, finer, stars: bool =
 
     def compared(rows: DataFrame, by: list[str]) -> DataFrame:
         pops = sum((F.bit_count(n) for n in names), F.lit(0))
-        return arrow_pass(rows.repartition(*by).sortWithinPartitions(*by, pops), _linked(radius, wide, by, stars), "u long, v long, far long")
+        return arrow_pass(rows.repartition(*by).sortWithinPartitions(*by, pops), _linked(radius, wide, by), "u long, v long")
 
     if crowds.isEmpty():
         return compared(keyed, ["__key"])
@@ -367,51 +337,104 @@ def components(docs: DataFrame, words: int = 3, radius: int = 2, wide: int = 1)
     return rows.join(groups, names).select("doc_id", hexed.alias("fingerprint"), F.col("__low").alias("component_id"))
 
 
-def _nearest_edges(edges: DataFrame) -> DataFrame:
-    """A spanning forest, nearest links first, of each component of the edges; very large components are dealt over tasks."""
-    edges = stored(edges.groupBy("u", "v").agg(F.min("far").alias("far")), "simhash-edges")
-    parts = connected(edges).withColumnRenamed("node", "u")
-    sizes = edges.join(parts, "u").groupBy("component").agg(F.count("*").alias("n"))
-    named = edges.join(parts, "u").join(sizes, "component")
-    dealt = named.withColumn("__salt", F.pmod(F.xxhash64("u", "v"), 1 + F.expr(f"n div {TASK_EDGES}")))
+#: Members of a candidate component, and shingles of theirs, to a block; larger components are compared block with block.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 5_000, 2_000_000
+#: Shingles that are looked up at a time.
+LOOKED_UP = 1_000_000
 
-    def thin(batches):
-        found = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
-        if found:
-            u, v, far = (np.concatenate(x) for x in zip(*found, strict=True))
-            at = spanning(u, v, far)
-            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (u, v, far)], names=["u", "v", "far"])
 
-    # components and salts meet in a task by chance only, which does no harm: a forest of several components is one of each
-    return arrow_pass(dealt.repartition("component", "__salt").select("u", "v", "far"), thin, "u long, v long, far long")
+def similar_pairs(words: list[np.ndarray], sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Index pairs that join whatever all pairs within the radius and of the similarity join, all of them such pairs.
 
+    A pair is left out only if verified pairs join it already, so no link is lost to one that fails.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    seen, label, out = np.zeros(len(names), bool), np.arange(n), []
+    for i in range(n - 1):
+        far = np.zeros(n - i - 1, np.uint16)
+        for w in words:
+            far += np.bitwise_count(w[i + 1 :] ^ w[i])
+        later, size = sizes[i + 1 :], sizes[i]
+        near = (far <= radius) & (label[i + 1 :] != label[i]) & (np.minimum(later, size) >= similarity * np.maximum(later, size) - 1e-9) & (later > 0)
+        todo = np.nonzero(near)[0]
+        todo = todo[np.argsort(far[todo], kind="stable")] + i + 1
+        mine, step = flat[starts[i] : starts[i + 1]], 16
+        seen[mine] = True
+        while len(todo):
+            at = todo[: max(1, min(step, int(np.searchsorted(np.cumsum(sizes[todo[:step]]), LOOKED_UP))))]
+            todo, step, counts = todo[len(at) :], step * 2, sizes[at]
+            firsts = np.cumsum(counts) - counts
+            places = np.repeat(starts[at] - firsts, counts) + np.arange(int(counts.sum()))
+            both = np.add.reduceat(seen[flat[places]], firsts, dtype=np.int64)
+            good = at[both >= similarity * (size + counts - both) - 1e-9]
+            if len(good):
+                parts, one = np.unique(label[good], return_index=True)
+                out += [(i, int(j)) for j in good[one]]
+                label[np.isin(label, parts)] = label[i]
+                todo = todo[label[todo] != label[i]]
+        seen[mine] = False
+    return out
 
-def _similar(rows: DataFrame, prints: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The edges whose texts' shingle sets have the Jaccard similarity; sets are made once for each text with an edge."""
-    edges = stored(edges, "simhash-candidates")
-    nodes = edges.select(F.col("u").alias("__node")).unionByName(edges.select(F.col("v").alias("__node"))).distinct()
-    places = nodes.join(prints.select("__node", *(F.col(f"__best.{p}").alias(p) for p in PLACE)), "__node")
-    texts = rows.select(*PLACE, F.col("text").cast("string").alias("text")).join(places, PLACE).select("__node", "text")
 
-    def sets(batches):
+def _compared(wide: int, radius: int, similarity: float):
+    """Rows (u, v) of verified links for rows of __group, __member, fingerprint words and shingles, sorted by __group."""
+
+    def flush(rows: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(rows)
+        member = table.column(1).to_numpy()
+        words = [table.column(2 + k).to_numpy().view(np.uint64) for k in range(wide)]
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column(2 + wide)]
+        pairs = np.array(similar_pairs(words, sets, radius, similarity), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(member[pairs[:, k]]) for k in range(2)], names=["u", "v"])
+
+    def run(batches):
+        held, group = [], None
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts_of(batch, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
+            key = batch.column(0).to_numpy()
+            cuts = [0, *(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist(), len(key)]
+            for a, b in itertools.pairwise(cuts):
+                if a == b:
+                    continue
+                if held and key[a] != group:
+                    yield flush(held)
+                    held = []
+                group = key[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield flush(held)
+
+    return run
+
 
-    known = stored(arrow_pass(texts, sets, "node long, shingles binary"), "simhash-sets")
-    pairs = edges.select("u", "v").join(known.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    pairs = pairs.join(known.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
+def _similar(rows: DataFrame, members: DataFrame, edges: DataFrame, words: int, wide: int, radius: int, similarity: float) -> DataFrame:
+    """Rows (u, v) of members that join all whose texts' shingle sets have the similarity, among those that the edges join.
 
-    def verified(batches):
+    Edges only say which members to hold against each other: every pair of their components within the radius is a
+    candidate, and is verified unless verified links join it.  Sets are made once for each text of a component.
+    """
+    names = _names(wide)
+    named = members.join(connected(edges).withColumnRenamed("node", "__node"), "__node", "left").withColumn("component", F.coalesce("component", "__node"))
+    several = named.groupBy("component").count().where("count > 1").select("component")
+    places = named.join(several, "component").select("component", "__member", *names, *(F.col(f"__best.{p}").alias(p) for p in PLACE))
+    texts = rows.select(*PLACE, F.col("text").cast("string").alias("text")).join(places, PLACE).select("component", "__member", *names, "text")
+
+    def sets(batches):
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+            found = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts_of(batch, 2 + wide)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 2 + wide], pa.array(found, pa.binary())], names=[*batch.schema.names[: 2 + wide], "shingles"])
 
-    return arrow_pass(pairs, verified, "u long, v long")
+    known = stored(arrow_pass(texts, sets, ", ".join(f"{n} long" for n in ["component", "__member", *names]) + ", shingles binary"), "simhash-sets")
+    sizes = known.groupBy("component").agg(F.count("*").alias("n"), (F.sum(F.length("shingles")) / 8).cast("long").alias("s"))
+    sizes = sizes.select("component", F.expr(f"1 + greatest(n div {BLOCK_MEMBERS}, s div {BLOCK_SHINGLES})").alias("__blocks"))
+    dealt = known.join(sizes, "component").withColumn("__block", F.pmod(F.xxhash64("__member"), "__blocks"))
+    # every two blocks meet in one group; members of a block meet in all of its groups
+    others = F.expr("if(__blocks = 1, array(__block), filter(sequence(0L, __blocks - 1), x -> x <> __block))")
+    dealt = dealt.withColumn("__other", F.explode(others))
+    # groups of equal hash would be compared as one, which does no harm
+    dealt = dealt.select(F.xxhash64("component", F.least("__block", "__other"), F.greatest("__block", "__other")).alias("__group"), "__member", *names, "shingles")
+    return arrow_pass(dealt.repartition("__group").sortWithinPartitions("__group"), _compared(wide, radius, similarity), "u long, v long")
 
 
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, wide: int = 4, recall: float = 0.99) -> DataFrame:
@@ -419,8 +442,8 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
 
     ``similarity`` is the Jaccard similarity of shingle sets.  Texts that have it differ in some share of bits on average;
     the radius is that share and three standard deviations, at which unrelated texts, which differ in half the bits, still
-    lie nine standard deviations beyond it.  Links within the radius are thinned to spanning forests, nearest first, and
-    those that remain are verified on the shingle sets themselves; verified links make the components.
+    lie nine standard deviations beyond it.  Links within the radius only say which texts to hold against each other; they
+    are verified on the shingle sets themselves before any is left out, and verified links alone make the components.
     """
     bits, share = 64 * wide, expected_share(similarity)
     radius = int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
@@ -430,6 +453,9 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     width = max(14, math.ceil(math.log2(max(prints.count(), 1) / 1000)))
     differ = round(bits * share)
     bands, finer = random_bands(bits, differ, recall, width), random_bands(bits, differ, recall, 10, SEED + 1)
-    near = _nearest_edges(links(prints, wide, radius, bands, finer, stars=False))
-    stay = _groups(prints, wide, _similar(rows, prints, near, words, similarity)).select(*PLACE).distinct()
+    near = links(prints, wide, radius, bands, finer)
+    members = prints.withColumn("__member", F.col("__node"))
+    parts = connected(_similar(rows, members, near, words, wide, radius, similarity)).withColumnRenamed("node", "__member")
+    named = members.join(parts, "__member", "left").groupBy(F.coalesce("component", "__member")).agg(F.min("__best").alias("__top"))
+    stay = named.select(*(F.col(f"__top.{p}").alias(p) for p in PLACE))
     return rows.join(stay, PLACE, "left_semi").select(*[f"`{c}`" for c in docs.columns])
