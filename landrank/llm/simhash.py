@@ -76,8 +76,11 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(counts.reshape(-1) * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: str, words: int, wide: int = 1) -> list[int]:
+def fingerprint(text: str, words: int, wide: int = 1, distinct: bool = False) -> list[int]:
+    """Of all shingles as often as they come, or of the distinct ones."""
     h = shingle_hashes(text, words)
+    if distinct:
+        h = np.unique(h)
     return [majority(mixed(h, k)) for k in range(wide)]
 
 
@@ -85,14 +88,14 @@ def _names(wide: int) -> list[str]:
     return [f"__f{k}" for k in range(wide)]
 
 
-def fingerprints(docs: DataFrame, words: int, wide: int) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int, wide: int, distinct: bool = False) -> DataFrame:
     """doc_id, place and fingerprint words of every row, stored; the texts stay in the worker."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *PLACE, F.col("text").cast("string").alias("text"))
     names = ["doc_id", *PLACE, *_names(wide)]
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, words, wide) for t in texts_of(batch, 3)], np.uint64).reshape(-1, wide).view(np.int64)
+            found = np.array([fingerprint(t, words, wide, distinct) for t in texts_of(batch, 3)], np.uint64).reshape(-1, wide).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, k]) for k in range(wide))], names=names)
 
     return stored(arrow_pass(rows, run, ", ".join(f"{n} long" for n in names)), "simhash-rows")
@@ -440,7 +443,7 @@ def _similar(rows: DataFrame, members: DataFrame, edges: DataFrame, words: int,
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, wide: int = 4, recall: float = 0.99) -> DataFrame:
     """The rows of ``docs``, all columns, of which each component keeps the one with the smallest doc_id.
 
-    ``similarity`` is the Jaccard similarity of shingle sets.  Texts that have it differ in some share of bits on average;
+    ``similarity`` is the Jaccard similarity of shingle sets, so the fingerprints are of distinct shingles.  Texts that have it differ in some share of bits on average;
     the radius is that share and three standard deviations, at which unrelated texts, which differ in half the bits, still
     lie nine standard deviations beyond it.  Links within the radius only say which texts to hold against each other; they
     are verified on the shingle sets themselves before any is left out, and verified links alone make the components.
@@ -448,7 +451,7 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     bits, share = 64 * wide, expected_share(similarity)
     radius = int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     rows = placed(docs)
-    prints = _prints(fingerprints(rows, words, wide), wide)
+    prints = _prints(fingerprints(rows, words, wide, distinct=True), wide)
     # a band value is to hold about 1,000 fingerprints at most, so bands widen as these grow; recall stays
     width = max(14, math.ceil(math.log2(max(prints.count(), 1) / 1000)))
     differ = round(bits * share)

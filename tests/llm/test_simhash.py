@@ -233,3 +233,12 @@ def test_links_that_fail_hide_no_other(spark, words, monkeypatch, blocks):
     want = _plain_kept(rows)
     got = sorted(x["doc_id"] for x in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert set(want) <= set(got) and len(got) <= len(want) + 2, (len(got), len(want))  # a pair may lie beyond the radius
+
+
+def test_repeats_do_not_part_copies(spark, words):
+    """A text and the same with its first 20 words repeated: shingle sets of similarity 0.98."""
+    r = random.Random(21)
+    base = [r.choice(words) for _ in range(200)]
+    rows = [(0, " ".join(base))] + [(n, " ".join(base[:20] * n + base)) for n in (5, 8, 15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert _plain_kept(rows) == [0] == [x["doc_id"] for x in simhash.representatives(df).collect()]
