@@ -76,11 +76,8 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(counts.reshape(-1) * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: str, words: int, wide: int = 1, distinct: bool = False) -> list[int]:
-    """Of all shingles as often as they come, or of the distinct ones."""
+def fingerprint(text: str, words: int, wide: int = 1) -> list[int]:
     h = shingle_hashes(text, words)
-    if distinct:
-        h = np.unique(h)
     return [majority(mixed(h, k)) for k in range(wide)]
 
 
@@ -88,19 +85,41 @@ def _names(wide: int) -> list[str]:
     return [f"__f{k}" for k in range(wide)]
 
 
-def fingerprints(docs: DataFrame, words: int, wide: int, distinct: bool = False) -> DataFrame:
+#: Digest of a text's shingle set.
+SET = ["__d0", "__d1"]
+
+
+def fingerprints(docs: DataFrame, words: int, wide: int) -> DataFrame:
     """doc_id, place and fingerprint words of every row, stored; the texts stay in the worker."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *PLACE, F.col("text").cast("string").alias("text"))
     names = ["doc_id", *PLACE, *_names(wide)]
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, words, wide, distinct) for t in texts_of(batch, 3)], np.uint64).reshape(-1, wide).view(np.int64)
+            found = np.array([fingerprint(t, words, wide) for t in texts_of(batch, 3)], np.uint64).reshape(-1, wide).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, k]) for k in range(wide))], names=names)
 
     return stored(arrow_pass(rows, run, ", ".join(f"{n} long" for n in names)), "simhash-rows")
 
 
+def set_fingerprints(docs: DataFrame, words: int, wide: int) -> DataFrame:
+    """The same of distinct shingles, with a digest of their set (128 bits), which tells texts of equal fingerprint apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *PLACE, F.col("text").cast("string").alias("text"))
+    names = ["doc_id", *PLACE, *_names(wide), *SET]
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for t in texts_of(batch, 3):
+                h = np.unique(shingle_hashes(t, words))
+                digest = xxhash.xxh3_128_intdigest(h.tobytes(), SEED)
+                found.append([*(majority(mixed(h, k)) for k in range(wide)), digest & (2**64 - 1), digest >> 64])
+            found = np.array(found, np.uint64).reshape(-1, wide + 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, k]) for k in range(wide + 2))], names=names)
+
+    return stored(arrow_pass(rows, run, ", ".join(f"{n} long" for n in names)), "simhash-rows")
+
+
 def exact_bands(bits: int, radius: int) -> list[list[int]]:
     """radius + 1 bands that share out the bits: fingerprints within the radius agree on one of them."""
     return [list(range(bits * k // (radius + 1), bits * (k + 1) // (radius + 1))) for k in range(radius + 1)]
@@ -318,6 +337,14 @@ def _prints(rows: DataFrame, wide: int) -> DataFrame:
     return stored(found.withColumn("__node", F.monotonically_increasing_id()), "simhash-prints")  # stored, so numbered once
 
 
+def _members(rows: DataFrame, prints: DataFrame, wide: int) -> DataFrame:
+    """Distinct shingle sets, numbered (__member), with their fingerprint's number (__node) and __best as of fingerprints."""
+    names = _names(wide)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), *PLACE)
+    found = rows.groupBy(*names, *SET).agg(F.min(order).alias("__best")).join(prints.select("__node", *names), names)
+    return stored(found.withColumn("__member", F.monotonically_increasing_id()), "simhash-members")
+
+
 def _groups(prints: DataFrame, wide: int, edges: DataFrame) -> DataFrame:
     """Fingerprint words with the smallest doc_id of their component (__low) and the place of its row."""
     parts = connected(edges)
@@ -451,13 +478,14 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     bits, share = 64 * wide, expected_share(similarity)
     radius = int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     rows = placed(docs)
-    prints = _prints(fingerprints(rows, words, wide, distinct=True), wide)
+    found = set_fingerprints(rows, words, wide)
+    prints = _prints(found, wide)
     # a band value is to hold about 1,000 fingerprints at most, so bands widen as these grow; recall stays
     width = max(14, math.ceil(math.log2(max(prints.count(), 1) / 1000)))
     differ = round(bits * share)
     bands, finer = random_bands(bits, differ, recall, width), random_bands(bits, differ, recall, 10, SEED + 1)
     near = links(prints, wide, radius, bands, finer)
-    members = prints.withColumn("__member", F.col("__node"))
+    members = _members(found, prints, wide)  # texts of equal fingerprint are held against each other like any others
     parts = connected(_similar(rows, members, near, words, wide, radius, similarity)).withColumnRenamed("node", "__member")
     named = members.join(parts, "__member", "left").groupBy(F.coalesce("component", "__member")).agg(F.min("__best").alias("__top"))
     stay = named.select(*(F.col(f"__top.{p}").alias(p) for p in PLACE))

@@ -242,3 +242,19 @@ def test_repeats_do_not_part_copies(spark, words):
     rows = [(0, " ".join(base))] + [(n, " ".join(base[:20] * n + base)) for n in (5, 8, 15)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert _plain_kept(rows) == [0] == [x["doc_id"] for x in simhash.representatives(df).collect()]
+
+
+def test_equal_fingerprints_are_verified(spark, words):
+    """Two texts of unrelated words with the same long filler have one fingerprint; they are no copies."""
+    r = random.Random(22)
+    filler = " -" * 200
+    rows = [(i, " ".join(r.choice(words) + str(i) for _ in range(100)) + filler) for i in range(2)]
+    rows += [(2, rows[1][1]), (3, rows[1][1] + filler)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.representatives(df).collect()) == _plain_kept(rows) == [0, 1]
+
+
+def test_one_fingerprint_of_many_sets(spark):
+    """Members of one fingerprint, as of texts that one shingle decides, part by their sets."""
+    sets = [np.arange(10 * i, 10 * i + 10, dtype=np.uint64) for i in range(5)] + [np.arange(9, dtype=np.uint64)]
+    assert simhash.similar_pairs([np.zeros(6, np.uint64)] * 4, sets, 55, 0.8) == [(0, 5)]
