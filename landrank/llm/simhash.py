@@ -10,7 +10,8 @@ becomes all its pairs; components of the forests are found by star contraction w
 
 Bands.  With more bands than the radius, two linked fingerprints agree on one band at least, so no link is lost (the
 64-bit, radius-2 case: three bands).  For wide radii the bands are random bit positions, as many as find two texts of
-just the similarity asked for with the recall asked for, and nearer texts practically always.  A band value that very
+just the similarity asked for with the recall asked for, over all distances that such texts may have, and nearer texts
+practically always.  Texts of up to ``SHORT`` shingles meet by shared shingles besides, which loses none.  A band value that very
 many fingerprints share is dealt out again by bands over all bits, by the same rule, so it is neither compared in one
 task nor dropped.
 
@@ -103,9 +104,9 @@ def fingerprints(docs: DataFrame, words: int, wide: int) -> DataFrame:
 
 
 def set_fingerprints(docs: DataFrame, words: int, wide: int) -> DataFrame:
-    """The same of distinct shingles, with a digest of their set (128 bits), which tells texts of equal fingerprint apart."""
+    """The same of distinct shingles, with a digest of their set (128 bits), which tells texts of equal fingerprint apart, and its size."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *PLACE, F.col("text").cast("string").alias("text"))
-    names = ["doc_id", *PLACE, *_names(wide), *SET]
+    names = ["doc_id", *PLACE, *_names(wide), *SET, "__n"]
 
     def run(batches):
         for batch in batches:
@@ -113,9 +114,9 @@ def set_fingerprints(docs: DataFrame, words: int, wide: int) -> DataFrame:
             for t in texts_of(batch, 3):
                 h = np.unique(shingle_hashes(t, words))
                 digest = xxhash.xxh3_128_intdigest(h.tobytes(), SEED)
-                found.append([*(majority(mixed(h, k)) for k in range(wide)), digest & (2**64 - 1), digest >> 64])
-            found = np.array(found, np.uint64).reshape(-1, wide + 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, k]) for k in range(wide + 2))], names=names)
+                found.append([*(majority(mixed(h, k)) for k in range(wide)), digest & (2**64 - 1), digest >> 64, len(h)])
+            found = np.array(found, np.uint64).reshape(-1, wide + 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, k]) for k in range(wide + 3))], names=names)
 
     return stored(arrow_pass(rows, run, ", ".join(f"{n} long" for n in names)), "simhash-rows")
 
@@ -137,6 +138,26 @@ def random_bands(bits: int, differ: int, recall: float, width: int, seed: int =
     return [sorted(rng.sample(range(bits), width)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
 
 
+def spread_bands(bits: int, share: float, radius: int, recall: float, width: int, seed: int = SEED) -> list[list[int]]:
+    """Bands of ``width`` random bits, as many as find a pair with probability ``recall`` over all distances that it may have.
+
+    Each bit differs with probability ``share``; distances beyond the radius count as lost.
+    """
+    chance = [math.comb(bits, d) * share**d * (1 - share) ** (bits - d) for d in range(radius + 1)]
+    missed = [1 - math.comb(bits - d, width) / math.comb(bits, width) for d in range(radius + 1)]
+    if sum(chance) <= recall:
+        raise ValueError("the radius is too small for this recall")
+    found = lambda n: sum(c * (1 - m**n) for c, m in zip(chance, missed, strict=True))
+    low, high = 0, 1
+    while found(high) < recall:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if found(middle) >= recall else (middle, high)
+    rng = random.Random(seed)
+    return [sorted(rng.sample(range(bits), width)) for _ in range(high)]
+
+
 def expected_share(similarity: float) -> float:
     """Share of bits in which two texts of this Jaccard similarity of shingles are expected to differ."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -341,7 +362,7 @@ def _members(rows: DataFrame, prints: DataFrame, wide: int) -> DataFrame:
     """Distinct shingle sets, numbered (__member), with their fingerprint's number (__node) and __best as of fingerprints."""
     names = _names(wide)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), *PLACE)
-    found = rows.groupBy(*names, *SET).agg(F.min(order).alias("__best")).join(prints.select("__node", *names), names)
+    found = rows.groupBy(*names, *SET, "__n").agg(F.min(order).alias("__best")).join(prints.select("__node", *names), names)
     return stored(found.withColumn("__member", F.monotonically_increasing_id()), "simhash-members")
 
 
@@ -456,17 +477,50 @@ def _similar(rows: DataFrame, members: DataFrame, edges: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([*batch.columns[: 2 + wide], pa.array(found, pa.binary())], names=[*batch.schema.names[: 2 + wide], "shingles"])
 
     known = stored(arrow_pass(texts, sets, ", ".join(f"{n} long" for n in ["component", "__member", *names]) + ", shingles binary"), "simhash-sets")
-    sizes = known.groupBy("component").agg(F.count("*").alias("n"), (F.sum(F.length("shingles")) / 8).cast("long").alias("s"))
-    sizes = sizes.select("component", F.expr(f"1 + greatest(n div {BLOCK_MEMBERS}, s div {BLOCK_SHINGLES})").alias("__blocks"))
-    dealt = known.join(sizes, "component").withColumn("__block", F.pmod(F.xxhash64("__member"), "__blocks"))
+    return _held(known, "component", wide, radius, similarity)
+
+
+def _held(known: DataFrame, by: str, wide: int, radius: int, similarity: float) -> DataFrame:
+    """Rows (u, v) of verified links within each group of rows of equal ``by``; large groups are dealt out by blocks."""
+    names = _names(wide)
+    sizes = known.groupBy(by).agg(F.count("*").alias("n"), (F.sum(F.length("shingles")) / 8).cast("long").alias("s")).where("n > 1")
+    sizes = sizes.select(by, F.expr(f"1 + greatest(n div {BLOCK_MEMBERS}, s div {BLOCK_SHINGLES})").alias("__blocks"))
+    dealt = known.join(sizes, by).withColumn("__block", F.pmod(F.xxhash64("__member"), "__blocks"))
     # every two blocks meet in one group; members of a block meet in all of its groups
     others = F.expr("if(__blocks = 1, array(__block), filter(sequence(0L, __blocks - 1), x -> x <> __block))")
     dealt = dealt.withColumn("__other", F.explode(others))
     # groups of equal hash would be compared as one, which does no harm
-    dealt = dealt.select(F.xxhash64("component", F.least("__block", "__other"), F.greatest("__block", "__other")).alias("__group"), "__member", *names, "shingles")
+    dealt = dealt.select(F.xxhash64(by, F.least("__block", "__other"), F.greatest("__block", "__other")).alias("__group"), "__member", *names, "shingles")
     return arrow_pass(dealt.repartition("__group").sortWithinPartitions("__group"), _compared(wide, radius, similarity), "u long, v long")
 
 
+#: Texts of up to so many shingles are held against all others without regard to fingerprints, which are coarse for them.
+SHORT = 32
+
+
+def _short_links(rows: DataFrame, members: DataFrame, words: int, wide: int, similarity: float) -> DataFrame:
+    """Rows (u, v) that join all members of the similarity of which one is short: none is lost.
+
+    Similar sets share one at least of their least shingles, as many as may differ and one more (prefix filter), so sets
+    meet by these.
+    """
+    names, longest = _names(wide), int(SHORT / similarity + 1e-9)
+    places = members.where(F.col("__n").between(1, longest)).select("__member", *names, *(F.col(f"__best.{p}").alias(p) for p in PLACE))
+    texts = rows.select(*PLACE, F.col("text").cast("string").alias("text")).join(places, PLACE).select("__member", *names, "text")
+
+    def prefixes(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in texts_of(batch, 1 + wide)]
+            counts = [len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 for h in sets]
+            at = pa.array(np.repeat(np.arange(len(sets)), counts))
+            keys = np.concatenate([h[:n] for h, n in zip(sets, counts, strict=True)]) if sets else np.empty(0, np.uint64)
+            columns = [c.take(at) for c in (*batch.columns[: 1 + wide], pa.array([h.tobytes() for h in sets], pa.binary()))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *columns], names=["shingle", "__member", *names, "shingles"])
+
+    kinds = ", ".join(f"{n} long" for n in ["shingle", "__member", *names]) + ", shingles binary"
+    return _held(stored(arrow_pass(texts, prefixes, kinds), "simhash-prefixes"), "shingle", wide, 64 * wide, similarity)
+
+
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, wide: int = 4, recall: float = 0.99) -> DataFrame:
     """The rows of ``docs``, all columns, of which each component keeps the one with the smallest doc_id.
 
@@ -482,11 +536,11 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     prints = _prints(found, wide)
     # a band value is to hold about 1,000 fingerprints at most, so bands widen as these grow; recall stays
     width = max(14, math.ceil(math.log2(max(prints.count(), 1) / 1000)))
-    differ = round(bits * share)
-    bands, finer = random_bands(bits, differ, recall, width), random_bands(bits, differ, recall, 10, SEED + 1)
+    bands, finer = spread_bands(bits, share, radius, recall, width), spread_bands(bits, share, radius, recall, 10, SEED + 1)
     near = links(prints, wide, radius, bands, finer)
     members = _members(found, prints, wide)  # texts of equal fingerprint are held against each other like any others
-    parts = connected(_similar(rows, members, near, words, wide, radius, similarity)).withColumnRenamed("node", "__member")
+    same = _similar(rows, members, near, words, wide, radius, similarity).unionByName(_short_links(rows, members, words, wide, similarity))
+    parts = connected(same).withColumnRenamed("node", "__member")
     named = members.join(parts, "__member", "left").groupBy(F.coalesce("component", "__member")).agg(F.min("__best").alias("__top"))
     stay = named.select(*(F.col(f"__top.{p}").alias(p) for p in PLACE))
     return rows.join(stay, PLACE, "left_semi").select(*[f"`{c}`" for c in docs.columns])

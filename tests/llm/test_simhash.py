@@ -258,3 +258,24 @@ def test_one_fingerprint_of_many_sets(spark):
     """Members of one fingerprint, as of texts that one shingle decides, part by their sets."""
     sets = [np.arange(10 * i, 10 * i + 10, dtype=np.uint64) for i in range(5)] + [np.arange(9, dtype=np.uint64)]
     assert simhash.similar_pairs([np.zeros(6, np.uint64)] * 4, sets, 55, 0.8) == [(0, 5)]
+
+
+def test_bands_have_the_recall_over_all_distances():
+    share, r = simhash.expected_share(0.8), random.Random(2)
+    radius = int(256 * share + 3 * (256 * share * (1 - share)) ** 0.5)
+    for width in (14, 24):
+        bands, found = [sum(1 << b for b in band) for band in simhash.spread_bands(256, share, radius, 0.99, width)], 0
+        for _ in range(2000):
+            flipped = sum(1 << b for b in range(256) if r.random() < share)
+            found += flipped.bit_count() <= radius and any(not flipped & band for band in bands)
+        assert found >= 1970, (width, found)
+
+
+def test_short_copies_are_all_found(spark):
+    """Eight words against the same and one more: four shingles of five, a similarity of just 0.8."""
+    rows = []
+    for i in range(300):
+        text = " ".join(f"w{i}x{k}" for k in range(8))
+        rows += [(2 * i, text), (2 * i + 1, text + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.representatives(df).collect()) == list(range(0, 600, 2))
