@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import importable, shared_folder, stored
 
-__all__ = ["arrow_pass", "bounded_batches", "id_and_text", "importable", "placed", "shared_folder", "stored", "table", "texts_of"]
+__all__ = [
+    "arrow_pass", "bounded_batches", "carried", "field_of", "handed_on", "id_and_text", "importable", "placed", "shared_folder", "stored", "table", "texts_of",
+]
 
 #: Rows and bytes of one Arrow batch; with these a Python worker holds some tens of MB whatever the partition's size.
 BATCH_ROWS = 1000
@@ -26,7 +28,10 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Limits Arrow batches in rows and bytes, so that long texts do not pile up in a worker."""
+    """Limits Arrow batches in rows and bytes, so that long texts do not pile up in a worker.
+
+    The settings hold when a plan runs, after the operator has returned it, so they stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -72,11 +77,54 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
 PLACE = ["__file", "__row"]
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """One column ``row``, a struct of the caller's columns under names of our own: whatever theirs are, none clashes."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names).select(F.struct(*names).alias("row"))
+
+
+def field_of(docs: DataFrame, name: str) -> str:
+    """The field of ``row`` that holds the caller's column ``name``."""
+    exact = [i for i, c in enumerate(docs.columns) if c == name]
+    alike = exact or [i for i, c in enumerate(docs.columns) if c.lower() == name]
+    if not alike:
+        raise ValueError(f"documents have no column {name}")
+    return f"c{alike[0]}"
+
+
+def handed_on(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The caller's columns again, from ``row``."""
+    return found.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def plain_scan(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is one row of a file, the same in every run: a scan, perhaps with columns or rows left out."""
+    todo = [docs._jdf.queryExecution().analyzed()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias", "LogicalRelation") or not plan.deterministic():
+            return False
+        below = plan.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    return True
+
+
 def placed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns ``__file`` (hash of the file's path) and ``__row`` (place in it) that name a row."""
-    at = {"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")}
-    try:
-        return docs.select(*[docs[f"`{c}`"] for c in docs.columns], *(v.alias(k) for k, v in at.items()))
-    except AnalysisException:
-        kept = stored(docs, "documents")
-        return kept.select(*[kept[f"`{c}`"] for c in docs.columns], *(v.alias(k) for k, v in at.items()))
+    """``row`` (as ``carried``) with ``__file`` (hash of the file's path) and ``__row`` (place in it), which name a row.
+
+    Places are taken from plain scans only; what comes of joins, generators or random choices is stored first, since
+    there several rows may stand at one place, or other rows in the next run.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+
+    def at(plain: DataFrame) -> DataFrame:
+        meta = plain.metadataColumn("_metadata")
+        return plain.select(F.struct(*names).alias("row"), F.xxhash64(meta.getField("file_path")).alias("__file"), meta.getField("row_index").alias("__row"))
+
+    plain = docs.toDF(*names)
+    if plain_scan(docs):
+        try:
+            return at(plain)
+        except AnalysisException:  # files of a format that does not number its rows
+            pass
+    return at(stored(plain, "documents"))

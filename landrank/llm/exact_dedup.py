@@ -5,8 +5,9 @@ normalised bytes; each part inserts whole byte strings into compressed radix tri
 most code points in the original text, then smallest doc_id (null last), then smallest row number.  Equality is thus
 decided on the bytes themselves, never on a digest.
 
-Skew.  Every Arrow batch first runs its own small trie, so that of equal texts one row a batch travels; a text that a
-third of all rows share reaches its part as one row a batch, and streams through it: a part is sorted by length, hash
+Skew.  Every Arrow batch first runs its own small trie, so that of equal texts one row a batch travels (of ``survivors``,
+few a task: its trie goes on over the batches); a text that a third of all rows share reaches its part as these, and streams
+through it: a part is sorted by length, hash
 and order of preference (Spark's sort spills), so the first row of a text is its owner, nothing of a group is gathered,
 and the trie of one length and hash is dropped before the next begins.  Should different texts meet under one length and
 hash, and outgrow ``TRIE_BYTES``, the largest subtrees go to unnamed scratch files of the task, which take all later rows
@@ -14,7 +15,7 @@ of theirs and are merged at the end, one at a time.
 
 Cases.  Null text counts as empty.  Empty and all-space texts are equal to each other.  Rows repeated in full: the
 first numbered one stays.  Null doc_id: sorts after all others, is kept in the result.  Empty table: empty result.
-Extra columns: ``membership`` ignores them, ``survivors`` hands them on.
+Extra columns, whatever their names: ``membership`` ignores them, ``survivors`` hands them on.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow_pass, stored
+from .common import SPACES, arrow_pass, carried, field_of, handed_on, stored
 
 #: Bytes of labels that one trie keeps in memory.
 TRIE_BYTES = 64 << 20
+#: Bytes of labels that a task keeps to leave out copies before the shuffle.
+THIN_BYTES = 16 << 20
 DELETED = SPACES.encode()
 
 
@@ -130,10 +133,14 @@ class PatriciaTrie:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Row numbers and what rows are dealt by; all in the JVM."""
-    plain = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACES, "")
-    return docs.withColumns(
-        {"__rid": F.monotonically_increasing_id(), "__points": F.coalesce(F.length("text"), F.lit(0)), "__plain": plain.cast("binary")}
+    """Row numbers and what rows are dealt by; all in the JVM. The row itself stays as ``row``."""
+    text, doc_id = (F.col(f"row.{field_of(docs, n)}") for n in ("text", "doc_id"))
+    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), SPACES, "")
+    return carried(docs).withColumns(
+        {
+            "doc_id": doc_id.cast("long"), "__rid": F.monotonically_increasing_id(), "__points": F.coalesce(F.length(text.cast("string")), F.lit(0)),
+            "__plain": plain.cast("binary"),
+        }
     ).withColumns({"__len": F.octet_length("__plain"), "__hash": F.xxhash64("__plain")})
 
 
@@ -233,7 +240,7 @@ def membership(docs: DataFrame) -> DataFrame:
     Texts are shuffled once, one a batch; members find their owner by the row that stands for them in their batch, so
     the join that carries every document has no key with more rows than a batch.
     """
-    rows = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
+    rows = _numbered(docs).drop("row")
     first = stored(arrow_pass(rows, _members, MEMBERS_DDL), "dedup-members")
     owned = stored(arrow_pass(_dealt(first.where(F.col("__plain").isNotNull())), _owned, OWNED_DDL), "dedup-owners")
     sizes = owned.groupBy("__owner").agg(F.sum("__rows").alias("group_size"), F.max("text_sha256").alias("text_sha256"))
@@ -245,36 +252,53 @@ def membership(docs: DataFrame) -> DataFrame:
     )
 
 
-def _text_bytes(batch):
-    column = _columns(batch, "text")[0]
-    return lambda i: (column[i].as_py() or "").encode().translate(None, DELETED)
+def _text_bytes(text: str):
+    def of(batch):
+        column = _columns(batch, "row")[0].field(text).cast(pa.string())
+        return lambda i: (column[i].as_py() or "").encode().translate(None, DELETED)
 
+    return of
 
-def _thinned(batches):
-    for batch in batches:
-        owner = _owners_in(batch, _text_bytes(batch))
-        yield batch.take(pa.array([i for i, o in enumerate(owner) if i == o], pa.int64()))
+
+def _thinned(text: str):
+    """Leaves out rows that an earlier one of the task owns, as far as a trie of ``THIN_BYTES`` knows; a better one still goes on."""
+
+    def run(batches):
+        trie = PatriciaTrie(1 << 62)
+        for batch in batches:
+            plain = _text_bytes(text)(batch)
+            if trie.held > THIN_BYTES:
+                trie = PatriciaTrie(1 << 62)
+            keys = zip(*(c.to_pylist() for c in _columns(batch, "__points", "doc_id", "__rid")), range(batch.num_rows), strict=True)
+            stay = [row[3] for row in sorted(keys, key=preference) if trie.place(plain(row[3]), row[:3]) == row[:3]]
+            yield batch.take(pa.array(sorted(stay), pa.int64()))
+
+    return run
 
 
-def _first_rows(batches):
+def _first_rows(text: str):
     """The rows of a sorted part that own their text, in batches as they come."""
-    now, stay = None, []
-    for batch, i, row, owner in _placed(batches, _text_bytes, lambda b, i: b.slice(i, 1)):
-        if batch is not now:
-            if stay:
-                yield now.take(pa.array(stay, pa.int64()))
-            now, stay = batch, []
-        if row[2] == owner[2]:
-            if batch is None:
-                yield row[3]
-            else:
-                stay.append(i)
-    if stay:
-        yield now.take(pa.array(stay, pa.int64()))
+
+    def run(batches):
+        now, stay = None, []
+        for batch, i, row, owner in _placed(batches, _text_bytes(text), lambda b, i: b.slice(i, 1)):
+            if batch is not now:
+                if stay:
+                    yield now.take(pa.array(stay, pa.int64()))
+                now, stay = batch, []
+            if row[2] == owner[2]:
+                if batch is None:
+                    yield row[3]
+                else:
+                    stay.append(i)
+        if stay:
+            yield now.take(pa.array(stay, pa.int64()))
+
+    return run
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all columns of ``docs``; one shuffle of what each batch leaves, no join."""
-    rows = _numbered(docs).drop("__plain")
-    thin = arrow_pass(rows, _thinned, rows.schema)
-    return arrow_pass(_dealt(thin), _first_rows, rows.schema).select(*[f"`{c}`" for c in docs.columns])
+    rows, text = _numbered(docs).drop("__plain"), field_of(docs, "text")
+    thin = arrow_pass(rows, _thinned(text), rows.schema)
+    return handed_on(arrow_pass(_dealt(thin), _first_rows(text), rows.schema), docs)

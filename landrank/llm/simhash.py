@@ -2,22 +2,27 @@
 
 A fingerprint has one bit for each bit of the shingles' 64-bit hashes, set where over half the hashes have it set; wider
 fingerprints use further hashes mixed from the first.  Only distinct fingerprints are compared.  They are dealt out by
-bands, sorted by band value and population count, and cut into tiles; a tile is compared with itself and with those after
-it by exclusive-or and bit counts, except where the band values part or the population counts differ by more than the
-radius.  A task emits the forest of its links, at most one row a fingerprint, so a group of many near copies never
-becomes all its pairs; components of the forests are found by star contraction with tables in the shared folder.
-``representatives`` goes on to hold the texts of each component against each other by their shingle sets.
-
-Bands.  With more bands than the radius, two linked fingerprints agree on one band at least, so no link is lost (the
-64-bit, radius-2 case: three bands).  For wide radii the bands are random bit positions, as many as find two texts of
-just the similarity asked for with the recall asked for, over all distances that such texts may have, and nearer texts
-practically always.  Texts of up to ``SHORT`` shingles meet by shared shingles besides, which loses none.  A band value that very
-many fingerprints share is dealt out again by bands over all bits, by the same rule, so it is neither compared in one
-task nor dropped.
-
-Cases.  Null text: as empty.  Texts without words: fingerprint zero, linked like any other.  Fewer words than a shingle
-has: the whole sequence is the one shingle.  Ties: exactly half the bits leave the bit 0; of a component the smallest
-doc_id names it (null last).  Rows repeated: same component.  Empty table: empty result.  Extra columns are handed on by
+keys, sorted by key and population count, and cut into tiles; a tile is compared with itself and with those after it by
+exclusive-or and bit counts, except where the keys part or the population counts differ by more than the radius.  A task
+emits the forest of its links, at most one row a fingerprint, so a group of many near copies never becomes all its pairs;
+components of the forests are found by star contraction with tables in the shared folder.
+
+``components`` (the contract's query) takes the fingerprints themselves as the texts' likeness.  Its keys are bands of the
+bits, one more than the radius, so linked fingerprints agree on one and no link is lost.  A band value that very many
+fingerprints share is dealt out again by bands over all bits, by the same rule.
+
+``representatives`` (the pipeline's stage) links texts by the Jaccard similarity of their shingle sets.  Its keys are
+min-hash bands: two sets of similarity s agree on a band with probability s ** ``ROWS``, so a pair of just 0.8 shares one
+of ``BANDS`` with probability 0.9996, whatever the size of the corpus.  Tiles then leave out what the fingerprints put
+beyond the radius.  The links found only say which texts to hold against each other: each component of them is verified
+on the shingle sets, where a pair is left out only if verified links join it already.  A large component is cut into
+blocks, each with a few pivots of the component: what the pivots join to its main part, as in a family of copies of any
+size, is not compared any further with that part, and only the rest is held against all other members.
+
+Cases.  Null text: as empty.  Texts without words: fingerprint zero, linked like any other; for ``representatives`` their
+empty sets are equal.  Fewer words than a shingle has: the whole sequence is the one shingle.  Ties: exactly half the bits
+leave the bit 0; of a component the smallest doc_id names it or stays (null last, then the place in the files).  Rows
+repeated: same component.  Empty table: empty result.  Extra columns, whatever their names, are handed on by
 ``representatives`` and ignored by ``components``.
 """
 
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PLACE, arrow_pass, placed, stored, texts_of
+from .common import PLACE, arrow_pass, field_of, handed_on, placed, stored, texts_of
 
 SEED = 42
 #: Fingerprints to a tile, and to a band value before it is dealt out again.
@@ -86,13 +91,18 @@ def _names(wide: int) -> list[str]:
     return [f"__f{k}" for k in range(wide)]
 
 
+def _texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, place and text of the placed rows of ``docs``."""
+    doc_id, text = (F.col(f"row.{field_of(docs, n)}") for n in ("doc_id", "text"))
+    return rows.select(doc_id.cast("long").alias("doc_id"), *PLACE, text.cast("string").alias("text"))
+
+
 #: Digest of a text's shingle set.
 SET = ["__d0", "__d1"]
 
 
-def fingerprints(docs: DataFrame, words: int, wide: int) -> DataFrame:
-    """doc_id, place and fingerprint words of every row, stored; the texts stay in the worker."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *PLACE, F.col("text").cast("string").alias("text"))
+def fingerprints(rows: DataFrame, words: int, wide: int) -> DataFrame:
+    """doc_id, place and fingerprint words of every row of doc_id, place and text, stored; the texts stay in the worker."""
     names = ["doc_id", *PLACE, *_names(wide)]
 
     def run(batches):
@@ -103,22 +113,37 @@ def fingerprints(docs: DataFrame, words: int, wide: int) -> DataFrame:
     return stored(arrow_pass(rows, run, ", ".join(f"{n} long" for n in names)), "simhash-rows")
 
 
-def set_fingerprints(docs: DataFrame, words: int, wide: int) -> DataFrame:
-    """The same of distinct shingles, with a digest of their set (128 bits), which tells texts of equal fingerprint apart, and its size."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *PLACE, F.col("text").cast("string").alias("text"))
+#: Min-hash rows to a band, and bands: a pair of similarity 0.8 shares a band with probability 0.9996.
+ROWS, BANDS = 5, 20
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> list[int]:
+    """A key for each min-hash band of a set of hashes, which is not empty. A hash function multiplies by an odd number."""
+    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 2048):
+        least = np.minimum(least, (MULTIPLIERS[:, None] * h[None, at : at + 2048]).min(axis=1))
+    raw, size = least.tobytes(), 8 * ROWS
+    return [xxhash.xxh3_64_intdigest(raw[b * size : (b + 1) * size], b) for b in range(BANDS)]
+
+
+def set_fingerprints(rows: DataFrame, words: int, wide: int) -> DataFrame:
+    """The same of distinct shingles, with a digest of their set (128 bits), which names it, its size and min-hash keys (none of an empty set)."""
     names = ["doc_id", *PLACE, *_names(wide), *SET, "__n"]
 
     def run(batches):
         for batch in batches:
-            found = []
+            found, keys = [], []
             for t in texts_of(batch, 3):
                 h = np.unique(shingle_hashes(t, words))
                 digest = xxhash.xxh3_128_intdigest(h.tobytes(), SEED)
                 found.append([*(majority(mixed(h, k)) for k in range(wide)), digest & (2**64 - 1), digest >> 64, len(h)])
+                keys.append(np.array(band_keys(h), np.uint64).view(np.int64) if len(h) else np.empty(0, np.int64))
             found = np.array(found, np.uint64).reshape(-1, wide + 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(found[:, k]) for k in range(wide + 3))], names=names)
+            columns = [*batch.columns[:3], *(pa.array(found[:, k]) for k in range(wide + 3)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "__keys"])
 
-    return stored(arrow_pass(rows, run, ", ".join(f"{n} long" for n in names)), "simhash-rows")
+    return stored(arrow_pass(rows, run, ", ".join(f"{n} long" for n in names) + ", __keys array<long>"), "simhash-rows")
 
 
 def exact_bands(bits: int, radius: int) -> list[list[int]]:
@@ -131,33 +156,6 @@ def striped_bands(bits: int, radius: int) -> list[list[int]]:
     return [list(range(k, bits, radius + 1)) for k in range(radius + 1)]
 
 
-def random_bands(bits: int, differ: int, recall: float, width: int, seed: int = SEED) -> list[list[int]]:
-    """Bands of ``width`` random bits, as many as find a pair that differs in ``differ`` bits with probability ``recall``."""
-    agree = math.comb(bits - differ, width) / math.comb(bits, width)
-    rng = random.Random(seed)
-    return [sorted(rng.sample(range(bits), width)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
-
-
-def spread_bands(bits: int, share: float, radius: int, recall: float, width: int, seed: int = SEED) -> list[list[int]]:
-    """Bands of ``width`` random bits, as many as find a pair with probability ``recall`` over all distances that it may have.
-
-    Each bit differs with probability ``share``; distances beyond the radius count as lost.
-    """
-    chance = [math.comb(bits, d) * share**d * (1 - share) ** (bits - d) for d in range(radius + 1)]
-    missed = [1 - math.comb(bits - d, width) / math.comb(bits, width) for d in range(radius + 1)]
-    if sum(chance) <= recall:
-        raise ValueError("the radius is too small for this recall")
-    found = lambda n: sum(c * (1 - m**n) for c, m in zip(chance, missed, strict=True))
-    low, high = 0, 1
-    while found(high) < recall:
-        low, high = high, 2 * high
-    while high - low > 1:
-        middle = (low + high) // 2
-        low, high = (low, middle) if found(middle) >= recall else (middle, high)
-    rng = random.Random(seed)
-    return [sorted(rng.sample(range(bits), width)) for _ in range(high)]
-
-
 def expected_share(similarity: float) -> float:
     """Share of bits in which two texts of this Jaccard similarity of shingles are expected to differ."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -241,30 +239,6 @@ def _forest(nodes: np.ndarray, found) -> tuple[np.ndarray, np.ndarray]:
     return nodes[below], least[below]
 
 
-def spanning(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Places of links that join whatever all of them join, nearest first: a minimum spanning forest, to the bit.
-
-    Distance by distance, every part takes one link to a part before it, until no link of that distance joins two parts.
-    """
-    nodes, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
-    i, j, label, kept = ends[: len(i)], ends[len(i) :], np.arange(len(nodes)), []
-    for d in np.unique(far):
-        at = np.nonzero(far == d)[0]
-        while len(at):
-            a, b = label[i[at]], label[j[at]]
-            at, a, b = at[a != b], a[a != b], b[a != b]
-            if not len(at):
-                break
-            upper, first = np.unique(np.maximum(a, b), return_index=True)
-            kept.append(at[first])
-            parent = np.arange(len(nodes))
-            parent[upper] = np.minimum(a, b)[first]
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-            label = parent[label]
-    return np.concatenate(kept) if kept else np.empty(0, np.int64)
-
-
 #: Rows that a task compares at a time, unless one band value has more; such values are dealt out again before.
 RUN_ROWS = 200_000
 
@@ -358,14 +332,6 @@ def _prints(rows: DataFrame, wide: int) -> DataFrame:
     return stored(found.withColumn("__node", F.monotonically_increasing_id()), "simhash-prints")  # stored, so numbered once
 
 
-def _members(rows: DataFrame, prints: DataFrame, wide: int) -> DataFrame:
-    """Distinct shingle sets, numbered (__member), with their fingerprint's number (__node) and __best as of fingerprints."""
-    names = _names(wide)
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), *PLACE)
-    found = rows.groupBy(*names, *SET, "__n").agg(F.min(order).alias("__best")).join(prints.select("__node", *names), names)
-    return stored(found.withColumn("__member", F.monotonically_increasing_id()), "simhash-members")
-
-
 def _groups(prints: DataFrame, wide: int, edges: DataFrame) -> DataFrame:
     """Fingerprint words with the smallest doc_id of their component (__low) and the place of its row."""
     parts = connected(edges)
@@ -381,36 +347,85 @@ def components(docs: DataFrame, words: int = 3, radius: int = 2, wide: int = 1)
     if radius > 3:
         raise ValueError("exact bands are for a radius of 3 at most")
     names, bits = _names(wide), 64 * wide
-    rows = fingerprints(placed(docs), words, wide)
+    rows = fingerprints(_texts(placed(docs), docs), words, wide)
     prints = _prints(rows, wide)
     groups = _groups(prints, wide, links(prints, wide, radius, exact_bands(bits, radius), striped_bands(bits, radius))).drop(*PLACE)
     hexed = F.lower(F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names)))
     return rows.join(groups, names).select("doc_id", hexed.alias("fingerprint"), F.col("__low").alias("component_id"))
 
 
-#: Members of a candidate component, and shingles of theirs, to a block; larger components are compared block with block.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 5_000, 2_000_000
+def _members(rows: DataFrame, wide: int) -> DataFrame:
+    """Distinct shingle sets, numbered (__member), with fingerprint, size, min-hash keys, smallest doc_id and its place (__best)."""
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), *PLACE)
+    found = rows.groupBy(*SET).agg(F.min(order).alias("__best"), *(F.first(n).alias(n) for n in (*_names(wide), "__n", "__keys")))
+    return stored(found.withColumn("__member", F.monotonically_increasing_id()), "simhash-members")  # stored, so numbered once
+
+
+#: Texts of up to so many shingles are held against each other whatever their fingerprints, which are coarse for them.
+SHORT = 32
+#: Crowded keys that are sent to all tasks; beyond, they are joined.
+CROWDS_SENT = 50_000
+
+
+def candidates(members: DataFrame, wide: int, radius: int, similarity: float) -> DataFrame:
+    """Rows (u, v) that join all members which share a min-hash key and lie within the radius.
+
+    Members that share a crowded key (over ``HOT``), and short ones that share any, are joined to the first of them
+    without a look at their fingerprints; this joins more, never less.
+    """
+    names, longest = _names(wide), int(SHORT / similarity + 1e-9)
+    keyed = members.select(F.explode("__keys").alias("__key"), "__member", "__n", *names)
+    crowds = stored(keyed.groupBy("__key").agg(F.count("*").alias("n"), F.min("__member").alias("v")).where(F.col("n") > HOT).select("__key", "v"), "simhash-crowds")
+    few = crowds.count()
+    known = F.broadcast(crowds) if few <= CROWDS_SENT else crowds
+    short = keyed.where(F.col("__n") <= longest).select("__key", "__member")
+    short = short.join(known, "__key", "left_anti") if few else short
+    first = short.groupBy("__key").agg(F.min("__member").alias("v"), F.count("*").alias("n")).where("n > 1").select("__key", "v")
+    near = short.join(first, "__key").select(F.col("__member").alias("u"), "v")
+    long = keyed.where(F.col("__n") > SHORT)
+    if few:
+        near = near.unionByName(keyed.join(known, "__key").select(F.col("__member").alias("u"), "v"))
+        long = long.join(known, "__key", "left_anti")
+    pops = sum((F.bit_count(n) for n in names), F.lit(0))
+    dealt = long.select("__key", F.col("__member").alias("__node"), *names).repartition("__key").sortWithinPartitions("__key", pops)
+    return near.where("u <> v").unionByName(arrow_pass(dealt, _linked(radius, wide, ["__key"]), "u long, v long"))
+
+
+#: Members of a candidate component, and shingles of theirs, to a block; larger components are cut into blocks.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 4_000, 2_000_000
+#: Pivots of a large component, about.
+PIVOTS = 16
 #: Shingles that are looked up at a time.
 LOOKED_UP = 1_000_000
 
 
-def similar_pairs(words: list[np.ndarray], sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+def similar_pairs(
+    words: list[np.ndarray], sets: list[np.ndarray], radius: int, similarity: float, label: np.ndarray | None = None, asks: np.ndarray | None = None
+) -> list[tuple[int, int]]:
     """Index pairs that join whatever all pairs within the radius and of the similarity join, all of them such pairs.
 
-    A pair is left out only if verified pairs join it already, so no link is lost to one that fails.
+    A pair is left out only if verified pairs join it already, so no link is lost to one that fails.  ``label``: parts
+    that are joined from the start; ``asks``: rows that are held against all that do not ask (default: all against all).
+    The radius does not hold where one set is short.
     """
     n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    seen, label, out = np.zeros(len(names), bool), np.arange(n), []
-    for i in range(n - 1):
-        far = np.zeros(n - i - 1, np.uint16)
+    seen, label, out = np.zeros(len(names), bool), np.arange(n) if label is None else np.unique(label, return_inverse=True)[1], []
+    small, told = sizes <= SHORT, None if asks is None else np.nonzero(~asks)[0]
+    for i in range(n - 1) if asks is None else np.nonzero(asks)[0].tolist():
+        later, size = np.arange(i + 1, n) if told is None else told, sizes[i]
+        others = sizes[later]
+        near = (label[later] != label[i]) & (np.minimum(others, size) >= similarity * np.maximum(others, size) - 1e-9) & (others > 0)
+        todo = later[near]
+        if not len(todo):
+            continue
+        far = np.zeros(len(todo), np.uint16)
         for w in words:
-            far += np.bitwise_count(w[i + 1 :] ^ w[i])
-        later, size = sizes[i + 1 :], sizes[i]
-        near = (far <= radius) & (label[i + 1 :] != label[i]) & (np.minimum(later, size) >= similarity * np.maximum(later, size) - 1e-9) & (later > 0)
-        todo = np.nonzero(near)[0]
-        todo = todo[np.argsort(far[todo], kind="stable")] + i + 1
+            far += np.bitwise_count(w[todo] ^ w[i])
+        near = (far <= radius) | small[todo] | small[i]
+        todo, far = todo[near], far[near]
+        todo = todo[np.argsort(far, kind="stable")]
         mine, step = flat[starts[i] : starts[i + 1]], 16
         seen[mine] = True
         while len(todo):
@@ -429,15 +444,19 @@ def similar_pairs(words: list[np.ndarray], sets: list[np.ndarray], radius: int,
     return out
 
 
-def _compared(wide: int, radius: int, similarity: float):
-    """Rows (u, v) of verified links for rows of __group, __member, fingerprint words and shingles, sorted by __group."""
+def _compared(wide: int, radius: int, similarity: float, asking: bool = False):
+    """Rows (u, v) of verified links for rows of __group, __member, fingerprint words and shingles, sorted by __group.
+
+    ``asking``: two more columns, the part that the row is in and whether it asks; other pairs are known not to matter.
+    """
 
     def flush(rows: list[pa.RecordBatch]):
         table = pa.Table.from_batches(rows)
         member = table.column(1).to_numpy()
         words = [table.column(2 + k).to_numpy().view(np.uint64) for k in range(wide)]
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column(2 + wide)]
-        pairs = np.array(similar_pairs(words, sets, radius, similarity), np.int64).reshape(-1, 2)
+        part, asks = (table.column(3 + wide).to_numpy(), table.column(4 + wide).to_numpy(zero_copy_only=False)) if asking else (None, None)
+        pairs = np.array(similar_pairs(words, sets, radius, similarity, part, asks), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(member[pairs[:, k]]) for k in range(2)], names=["u", "v"])
 
     def run(batches):
@@ -459,88 +478,83 @@ def _compared(wide: int, radius: int, similarity: float):
     return run
 
 
-def _similar(rows: DataFrame, members: DataFrame, edges: DataFrame, words: int, wide: int, radius: int, similarity: float) -> DataFrame:
-    """Rows (u, v) of members that join all whose texts' shingle sets have the similarity, among those that the edges join.
-
-    Edges only say which members to hold against each other: every pair of their components within the radius is a
-    candidate, and is verified unless verified links join it.  Sets are made once for each text of a component.
-    """
+def shingle_sets(rows: DataFrame, members: DataFrame, edges: DataFrame, words: int, wide: int) -> DataFrame:
+    """component, __member, fingerprint words and shingles of every member of a candidate component, stored; made once for each set."""
     names = _names(wide)
-    named = members.join(connected(edges).withColumnRenamed("node", "__node"), "__node", "left").withColumn("component", F.coalesce("component", "__node"))
-    several = named.groupBy("component").count().where("count > 1").select("component")
-    places = named.join(several, "component").select("component", "__member", *names, *(F.col(f"__best.{p}").alias(p) for p in PLACE))
-    texts = rows.select(*PLACE, F.col("text").cast("string").alias("text")).join(places, PLACE).select("component", "__member", *names, "text")
+    places = members.join(connected(edges).withColumnRenamed("node", "__member"), "__member")
+    places = places.select("component", "__member", *names, *(F.col(f"__best.{p}").alias(p) for p in PLACE))
+    texts = rows.select(*PLACE, "text").join(places, PLACE).select("component", "__member", *names, "text")
 
     def sets(batches):
         for batch in batches:
             found = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts_of(batch, 2 + wide)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: 2 + wide], pa.array(found, pa.binary())], names=[*batch.schema.names[: 2 + wide], "shingles"])
 
-    known = stored(arrow_pass(texts, sets, ", ".join(f"{n} long" for n in ["component", "__member", *names]) + ", shingles binary"), "simhash-sets")
-    return _held(known, "component", wide, radius, similarity)
+    return stored(arrow_pass(texts, sets, ", ".join(f"{n} long" for n in ["component", "__member", *names]) + ", shingles binary"), "simhash-sets")
 
 
-def _held(known: DataFrame, by: str, wide: int, radius: int, similarity: float) -> DataFrame:
-    """Rows (u, v) of verified links within each group of rows of equal ``by``; large groups are dealt out by blocks."""
-    names = _names(wide)
-    sizes = known.groupBy(by).agg(F.count("*").alias("n"), (F.sum(F.length("shingles")) / 8).cast("long").alias("s")).where("n > 1")
-    sizes = sizes.select(by, F.expr(f"1 + greatest(n div {BLOCK_MEMBERS}, s div {BLOCK_SHINGLES})").alias("__blocks"))
-    dealt = known.join(sizes, by).withColumn("__block", F.pmod(F.xxhash64("__member"), "__blocks"))
-    # every two blocks meet in one group; members of a block meet in all of its groups
-    others = F.expr("if(__blocks = 1, array(__block), filter(sequence(0L, __blocks - 1), x -> x <> __block))")
-    dealt = dealt.withColumn("__other", F.explode(others))
-    # groups of equal hash would be compared as one, which does no harm
-    dealt = dealt.select(F.xxhash64(by, F.least("__block", "__other"), F.greatest("__block", "__other")).alias("__group"), "__member", *names, "shingles")
-    return arrow_pass(dealt.repartition("__group").sortWithinPartitions("__group"), _compared(wide, radius, similarity), "u long, v long")
-
-
-#: Texts of up to so many shingles are held against all others without regard to fingerprints, which are coarse for them.
-SHORT = 32
-
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("__group").sortWithinPartitions("__group")
 
-def _short_links(rows: DataFrame, members: DataFrame, words: int, wide: int, similarity: float) -> DataFrame:
-    """Rows (u, v) that join all members of the similarity of which one is short: none is lost.
-
-    Similar sets share one at least of their least shingles, as many as may differ and one more (prefix filter), so sets
-    meet by these.
-    """
-    names, longest = _names(wide), int(SHORT / similarity + 1e-9)
-    places = members.where(F.col("__n").between(1, longest)).select("__member", *names, *(F.col(f"__best.{p}").alias(p) for p in PLACE))
-    texts = rows.select(*PLACE, F.col("text").cast("string").alias("text")).join(places, PLACE).select("__member", *names, "text")
 
-    def prefixes(batches):
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, words)) for t in texts_of(batch, 1 + wide)]
-            counts = [len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 for h in sets]
-            at = pa.array(np.repeat(np.arange(len(sets)), counts))
-            keys = np.concatenate([h[:n] for h, n in zip(sets, counts, strict=True)]) if sets else np.empty(0, np.uint64)
-            columns = [c.take(at) for c in (*batch.columns[: 1 + wide], pa.array([h.tobytes() for h in sets], pa.binary()))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *columns], names=["shingle", "__member", *names, "shingles"])
-
-    kinds = ", ".join(f"{n} long" for n in ["shingle", "__member", *names]) + ", shingles binary"
-    return _held(stored(arrow_pass(texts, prefixes, kinds), "simhash-prefixes"), "shingle", wide, 64 * wide, similarity)
-
-
-def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, wide: int = 4, recall: float = 0.99) -> DataFrame:
+def verified(known: DataFrame, wide: int, radius: int, similarity: float) -> DataFrame:
+    """Rows (u, v) of links between members, all of the similarity, that join whatever all such pairs of one component join."""
+    names = _names(wide)
+    columns = ["__group", "__member", *names, "shingles"]
+    sizes = known.groupBy("component").agg(F.count("*").alias("n"), (F.sum(F.length("shingles")) / 8).cast("long").alias("s"))
+    # a block of a large component is a group; pivots, a part of the members chosen by hash, are in all its blocks
+    blocks = F.expr(f"1 + greatest(n div {BLOCK_MEMBERS}, s div {BLOCK_SHINGLES})").alias("__blocks")
+    large = stored(sizes.select("component", "n", blocks).where("__blocks > 1"), "simhash-large")
+    few = large.count()
+    if not few:
+        return arrow_pass(_dealt(known.withColumnRenamed("component", "__group").select(*columns)), _compared(wide, radius, similarity), "u long, v long")
+    big = F.broadcast(large) if few <= CROWDS_SENT else large
+    block = F.pmod(F.xxhash64("__member"), "__blocks")
+    cut = known.join(big, "component").withColumn("__block", block)
+    pivot = F.pmod(F.xxhash64("__member", F.lit("pivot")), F.greatest(F.lit(1).cast("long"), F.expr(f"n div {PIVOTS}"))) == 0
+    others = cut.where(pivot).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))).where("__other <> __block")
+    grouped = lambda other: F.xxhash64("component", F.lit(-1).cast("long"), other).alias("__group")
+    first = cut.select(grouped(F.col("__block")), *columns[1:]).unionByName(others.select(grouped(F.col("__other")), *columns[1:]))
+    small = known.join(big, "component", "left_anti").select(F.xxhash64("component").alias("__group"), *columns[1:])
+    found = stored(arrow_pass(_dealt(small.unionByName(first)), _compared(wide, radius, similarity), "u long, v long"), "simhash-verified")
+
+    # the main part of each large component, and what is outside of it
+    parts = connected(found).withColumnRenamed("node", "__member").withColumnRenamed("component", "__part")
+    named = stored(cut.join(parts, "__member", "left").withColumn("__part", F.coalesce("__part", "__member")), "simhash-parts")
+    sums = named.groupBy("component", "__part").agg(F.count("*").alias("m"))
+    main = sums.groupBy("component").agg(F.max(F.struct("m", "__part")).alias("top"), F.sum("m").alias("n"))
+    loose = main.select("component", F.col("top.__part").alias("__main"), F.expr("n - top.m").alias("__loose")).where("__loose > 0")
+    if loose.isEmpty():
+        return found
+    rest = named.join(F.broadcast(loose) if few <= CROWDS_SENT else loose, "component").withColumn("__asks", F.col("__part") != F.col("__main"))
+    # every block of the rest meets every block of the component
+    asked = F.expr(f"1 + __loose div {BLOCK_MEMBERS}")
+    turn = F.pmod(F.xxhash64("__member", F.lit("turn")), asked)
+    asks = rest.where("__asks").withColumn("__a", turn).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
+    told = rest.withColumn("__a", F.explode(F.sequence(F.lit(0).cast("long"), asked - 1))).withColumn("__b", F.col("__block"))
+    met = lambda rows, ask: rows.select(F.xxhash64("component", "__a", "__b").alias("__group"), *columns[1:], "__part", ask.alias("__asks"))
+    # a member that asks and stands in the block asked is there twice, of one part, so it does not meet itself
+    second = met(asks, F.lit(True)).unionByName(met(told, F.lit(False)))
+    return found.unionByName(arrow_pass(_dealt(second), _compared(wide, radius, similarity, asking=True), "u long, v long"))
+
+
+def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, wide: int = 4) -> DataFrame:
     """The rows of ``docs``, all columns, of which each component keeps the one with the smallest doc_id.
 
     ``similarity`` is the Jaccard similarity of shingle sets, so the fingerprints are of distinct shingles.  Texts that have it differ in some share of bits on average;
     the radius is that share and three standard deviations, at which unrelated texts, which differ in half the bits, still
-    lie nine standard deviations beyond it.  Links within the radius only say which texts to hold against each other; they
-    are verified on the shingle sets themselves before any is left out, and verified links alone make the components.
+    lie nine standard deviations beyond it.
     """
     bits, share = 64 * wide, expected_share(similarity)
     radius = int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     rows = placed(docs)
-    found = set_fingerprints(rows, words, wide)
-    prints = _prints(found, wide)
-    # a band value is to hold about 1,000 fingerprints at most, so bands widen as these grow; recall stays
-    width = max(14, math.ceil(math.log2(max(prints.count(), 1) / 1000)))
-    bands, finer = spread_bands(bits, share, radius, recall, width), spread_bands(bits, share, radius, recall, 10, SEED + 1)
-    near = links(prints, wide, radius, bands, finer)
-    members = _members(found, prints, wide)  # texts of equal fingerprint are held against each other like any others
-    same = _similar(rows, members, near, words, wide, radius, similarity).unionByName(_short_links(rows, members, words, wide, similarity))
+    texts = _texts(rows, docs)
+    found = set_fingerprints(texts, words, wide)
+    members = _members(found, wide)
+    near = candidates(members, wide, radius, similarity)
+    same = verified(shingle_sets(texts, members, near, words, wide), wide, radius, similarity)
     parts = connected(same).withColumnRenamed("node", "__member")
     named = members.join(parts, "__member", "left").groupBy(F.coalesce("component", "__member")).agg(F.min("__best").alias("__top"))
     stay = named.select(*(F.col(f"__top.{p}").alias(p) for p in PLACE))
-    return rows.join(stay, PLACE, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    gone = found.select(*PLACE).join(stay, PLACE, "left_anti")  # far fewer than stay, and without texts
+    return handed_on(rows.join(gone, PLACE, "left_anti"), docs)

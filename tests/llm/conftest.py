@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+#: Names that an operator might use for itself.
+CLASHING = ["row", "at", "hash", "__rid", "__len", "__hash", "__plain", "__points", "__file", "__row", "__times", "__copy", "__score", "__y", "_metadata", "c0", "c1"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -41,7 +43,7 @@ def odd_more(odd):
     """The same with extra columns, some named as results are."""
     from pyspark.sql import functions as F
 
-    names = ["size", "taken", "score", "kept", "fingerprint", "component_id", "ids", "host", "n", "target", "h", "key", "label", "evidence"]
+    names = ["size", "taken", "score", "kept", "fingerprint", "component_id", "ids", "host", "n", "target", "h", "key", "label", "evidence", *CLASHING]
     return odd.select("n_chars", "text", *[F.lit("extra").alias(n) for n in names], "source", "lang", "doc_id")
 
 
