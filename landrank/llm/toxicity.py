@@ -1,61 +1,58 @@
 """Operator 10: toxicity by nearest labelled examples, exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their prefixes and suffixes of 3 to 6 characters, lower-cased.  From a bounded sample of labelled
-rows (``EXAMPLES``, by smallest hash; of near copies, which share the least hash of their five-word shingles, one) the
-terms that stand out in toxic rows are counted on the executors and the most telling ``TERMS`` of them kept.  Sample rows with any kept term become TF-IDF vectors of length 1 in an inverted index:
-postings by term in blocks of ``BLOCK`` examples with the largest weight of each block.  A document's nearest examples
-are found exactly: blocks of the largest upper bounds first, then those whose bound reaches the k-th cosine found.  Votes
-are weighted by cosine squared / (distance + 0.1) and shrunk to the rate of rows without kept terms; a monotone map fitted on leave-one-out votes of
-the examples makes them probabilities.  A document without kept terms has the rate of such rows as its score.
-
-The index is bounded by ``EXAMPLES`` and ``TERMS`` whatever the corpus; every text is read whole, in one pass without a
-shuffle.
-
-Cases.  Null or empty text: no terms, the rate of rows without terms.  No labelled rows, or of one class only: every
-score is the smoothed rate.  Ties between neighbours: the example with the smaller place in the sample order.  Rows
-repeated: same score each.  Labels repeated for one doc_id: the largest counts; null labels do not.  Texts repeated for
-one labelled doc_id: the first in order is learned from.  Null doc_id: scored,
-held_out false.  Empty table: empty result.  Extra columns are handed on by ``accepted``, ignored by ``scored``.
+Terms are all words of a bounded sample of labelled rows, lower-cased, known by their 64-bit hash; none is left out.  A
+term weighs (1 + log count) x IDF; words that stand out in toxic examples weigh up to 1 + ``BOOST`` times as much, by how
+far their log likelihood ratio exceeds chance.  Examples are vectors of length 1 in an inverted index: postings by term,
+cut by blocks of ``BLOCK`` examples, with the largest weight of each block.  A document's nearest examples, toxic and
+clean, are found exactly: the blocks of the largest upper bounds first, then those whose bound reaches the k-th cosine
+found.  Votes are weighted by cosine squared / (distance + 0.1) and shrunk to the rate of clean company; a monotone map
+fitted on leave-one-out votes of the examples makes them probabilities.  Every document with a word of the sample has
+neighbours, and they are its evidence.
+
+Of examples with one label whose vectors have a cosine of ``COPY`` or more, one is kept: the words of a text and its
+copies would all seem to stand out.  A copy of an example is still found by the one kept.
+
+The index is bounded by ``EXAMPLES`` rows and ``POSTINGS`` words of theirs, whatever the corpus: rows are taken by hash of
+their doc_id until either is reached.  Every text is read whole, in one pass without a shuffle.
+
+Cases.  Null or empty text, or one without any word of the sample: the smoothed rate of such examples.  No labelled rows,
+or of one class only: every score is the smoothed rate.  Ties between neighbours: the example with the smaller place.
+Rows repeated: same score each.  Labels repeated for one doc_id: the largest counts; null labels do not.  Texts repeated
+for one labelled doc_id: the first in order is learned from.  Null doc_id: scored, held_out false.  Empty table: empty
+result.  Extra columns, whatever their names, are handed on by ``accepted``, ignored by ``scored``.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pass, id_and_text, stored, texts_of
-from .simhash import shingle_hashes
+from .common import arrow_pass, carried, field_of, handed_on, id_and_text, texts_of
 
-EXAMPLES, TERMS, BLOCK, FIRST_BLOCKS, NEAREST = 6000, 4096, 64, 4, 15
+EXAMPLES, POSTINGS, BLOCK, FIRST_BLOCKS, NEAREST = 6000, 4_000_000, 64, 4, 15
+#: How much more than other words the most telling ones weigh; cosine of copies.
+BOOST, COPY = 30.0, 0.95
 #: Bounds of the words whose terms, and of the vectors whose scores, a worker keeps.
-WORDS_KEPT, VECTORS_KEPT = 150_000, 5_000
+WORDS_KEPT, VECTORS_KEPT = 150_000, 2_000
 WORD = re.compile(r"\w+")
 #: Pseudo-votes for the base rate.
 SHRINK = 1.0
 
 
-def terms_of(word: str) -> list[str]:
-    """A word's terms: itself, and as ``^``-prefixes and ``$``-suffixes its ends of 3 to 6 characters."""
-    n = len(word)
-    return [f"={word[:64]}", *(f"^{word[:k]}" for k in range(3, min(6, n) + 1)), *(f"${word[-k:]}" for k in range(3, min(6, n) + 1))]
+def word_counts(text: str) -> Counter:
+    return Counter(WORD.findall(text.lower()))
 
 
-def found_terms(word: str, terms: dict[str, int]) -> list[int]:
-    """Those of a word's terms that are kept."""
-    out = [terms["=" + word[:64]]] if "=" + word[:64] in terms else []
-    for k in range(3, min(6, len(word)) + 1):
-        for t in ("^" + word[:k], "$" + word[-k:]):
-            if t in terms:
-                out.append(terms[t])
-    return out
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode())
 
 
 def held_out() -> F.Column:
@@ -63,63 +60,105 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def telling(together: int, rows: int, toxic: int, seen: int) -> float:
-    """How far a term's count in toxic rows exceeds chance: log likelihood ratio, 0 where it does not exceed it.
+def telling(together: np.ndarray, rows: np.ndarray, toxic: int, seen: int) -> np.ndarray:
+    """0 to 1: how far each term's count in toxic rows exceeds chance; 0 for terms of a single toxic row.
 
-    together: toxic rows with the term; rows: rows with it; toxic and seen: toxic rows and all rows.
+    together: toxic rows with the term; rows: rows with it; toxic and seen: toxic rows and all rows.  The log likelihood
+    ratio counts from what chance gives the best of so many terms.
     """
-    rate, base = together / rows, toxic / seen
-    if rate <= base or not toxic:
-        return 0.0
-    clean = rows - together
-    return 2 * (together * math.log(rate / base) + (clean * math.log((1 - rate) / (1 - base)) if clean else 0.0))
+    if not 0 < toxic < seen or not len(rows):
+        return np.zeros(len(rows))
+    together, rows = together.astype(float), rows.astype(float)
+    rate, base, clean = together / rows, toxic / seen, rows - together
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(together > 0, together * np.log(rate / base), 0.0) + np.where(clean > 0, clean * np.log((1 - rate) / (1 - base)), 0.0))
+    least = 2 * math.log(max(len(rows), 2)) + 6
+    return np.where((rate > base) & (together > 1) & (ratio > least), ratio / (ratio + least), 0.0)
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one after the other."""
+    counts = ends - starts
+    firsts = np.cumsum(counts) - counts
+    return np.repeat(starts - firsts, counts) + np.arange(int(counts.sum()))
 
 
 class Model:
-    """Kept terms, their IDF, the block-max index over the examples, and the map from votes to scores."""
+    """Terms (sorted hashes) and their weights, the block-max index over the examples, the map from votes to scores."""
 
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, base: float):
-        self.terms, self.idf, self.labels, self.base = terms, idf, labels, base
+    def __init__(self, terms: np.ndarray, weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, base: float):
+        self.terms, self.weight, self.labels, self.base = terms, weight, labels, base
+        self.ids: list = []
         self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        n = len(vectors)
-        self.blocks = -(-n // BLOCK)
-        listed: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for e, (ids, weights) in enumerate(vectors):
-            for t, w in zip(ids.tolist(), weights.tolist(), strict=True):
-                listed[t].append((e, w))
-        self.postings, self.tops = [], np.zeros((len(terms), self.blocks), np.float64)
-        for t, entries in enumerate(listed):
-            e = np.array([x for x, _ in entries], np.int64)
-            w = np.array([x for _, x in entries], np.float64)
-            self.postings.append((e, w, e // BLOCK))
-            np.maximum.at(self.tops[t], e // BLOCK, w)
-
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(counts), np.int64)
-        w = np.array([1 + math.log(counts[t]) for t in ids.tolist()]) * self.idf[ids] if len(ids) else np.empty(0)
-        norm = math.sqrt(float(w @ w)) if len(w) else 0.0
-        return ids, w / norm if norm else w
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k examples of largest cosine, ties by place: (cosine, place). Exact."""
+        self.blocks = -(-len(vectors) // BLOCK)
+        term = np.concatenate([i for i, _ in vectors]) if vectors else np.empty(0, np.int64)
+        example = np.repeat(np.arange(len(vectors)), [len(i) for i, _ in vectors])
+        order = np.argsort(term, kind="stable")  # by term, then by example
+        term, self.example = term[order], example[order].astype(np.int32)
+        self.value = (np.concatenate([w for _, w in vectors])[order] if vectors else np.empty(0)).astype(np.float32)
+        # an entry: the postings of a term in a block
+        if len(term):
+            block = self.example // BLOCK
+            first = np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
+            at = np.nonzero(first)[0]
+            self.entry_ends = np.concatenate([at, [len(term)]]).astype(np.int32)
+            self.entry_block, self.entry_top = block[at].astype(np.int32), np.maximum.reduceat(self.value, at)
+            self.entries = np.searchsorted(term[at], np.arange(len(terms) + 1))
+        else:
+            self.entry_ends, self.entry_block, self.entry_top = np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0)
+            self.entries = np.zeros(len(terms) + 1, np.int64)
+        self.index: dict[int, int] | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"index": None}  # made again by each worker
+
+    def term(self, word: str) -> int:
+        """Place of a word among the terms; -1 for other words."""
+        if self.index is None:
+            self.index = dict(zip(self.terms.tolist(), range(len(self.terms)), strict=True))
+        return self.index.get(word_hash(word), -1)
+
+    def counts(self, text: str, kept: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of a whole text, sorted, and how often each stands in it."""
+        out: dict[int, int] = {}
+        for word, n in word_counts(text).items():
+            t = kept.get(word)
+            if t is None:
+                if len(kept) >= WORDS_KEPT:
+                    kept.clear()
+                t = kept[word] = self.term(word)
+            if t >= 0:
+                out[t] = out.get(t, 0) + n
+        ids = np.fromiter(out.keys(), np.int64, len(out))
+        order = np.argsort(ids)
+        return ids[order], np.fromiter(out.values(), np.float64, len(out))[order]
+
+    def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weight[ids]
+        return ids, w / math.sqrt(float(w @ w)) if len(w) else w
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> list[tuple[float, int]]:
+        """The k examples of largest cosine, ``floor`` at least, ties by place: (cosine, place). Exact."""
         if not len(ids) or not self.blocks:
             return []
-        bounds = weights @ self.tops[ids]
+        begin, end = self.entries[ids], self.entries[ids + 1]
+        entry, mine = _ranges(begin, end), np.repeat(weights, end - begin)
+        block = self.entry_block[entry]
+        bounds = np.bincount(block, mine * self.entry_top[entry], self.blocks)
         order = np.argsort(-bounds, kind="stable")
         places, cosines = np.empty(0, np.int64), np.empty(0)
         for blocks in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             # of the rest, only blocks whose bound reaches the k-th cosine of the first
-            least = float(cosines[-1]) if len(places) == k else 0.0
-            blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least - 1e-12)]
+            least = max(float(cosines[-1]), floor) if len(places) == k else floor
+            blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least - 1e-9)]
             if not len(blocks):
                 continue
             wanted = np.zeros(self.blocks, bool)
             wanted[blocks] = True
-            score = np.zeros(self.blocks * BLOCK)
-            for t, w in zip(ids.tolist(), weights.tolist(), strict=True):
-                e, x, block = self.postings[t]
-                held = wanted[block]
-                score[e[held]] += w * x[held]
+            held = wanted[block]
+            from_, to = self.entry_ends[entry[held]], self.entry_ends[entry[held] + 1]
+            at = _ranges(from_, to)
+            score = np.bincount(self.example[at], np.repeat(mine[held], to - from_) * self.value[at], self.blocks * BLOCK)
             score = np.round(score, 12)
             some = np.nonzero(score >= least if least else score > 0)[0]
             places, cosines = np.concatenate([places, some]), np.concatenate([cosines, score[some]])
@@ -133,12 +172,10 @@ class Model:
 
     def calibrate(self, vectors) -> None:
         """Isotonic fit (pool adjacent violators) of labels on leave-one-out votes, one pseudo-row at either end."""
-        votes, known = [], {}
-        for e, v in enumerate(vectors):
-            key = (v[0].tobytes(), v[1].tobytes())
-            if key not in known:  # one more than counts, as the example itself may be among them
-                known[key] = self.nearest(*v, NEAREST + 1)
-            votes.append((self.vote([x for x in known[key] if x[1] != e][:NEAREST]), float(self.labels[e])))
+        votes = []
+        for e, v in enumerate(vectors):  # one more than counts, as the example itself is among them
+            near = [x for x in self.nearest(*v, NEAREST + 1) if x[1] != e][:NEAREST]
+            votes.append((self.vote(near), float(self.labels[e])))
         pools: list[list[float]] = []  # weight, sum of labels, sum of votes
         for x, y in sorted([*votes, (0.0, 0.0), (1.0, 1.0)]):
             pools.append([1.0, y, x])
@@ -147,146 +184,130 @@ class Model:
                 pools[-1] = [pools[-1][0] + w, pools[-1][1] + y2, pools[-1][2] + x2]
         self.knots = (np.array([p[2] / p[0] for p in pools]), np.array([p[1] / p[0] for p in pools]))
 
-    def score(self, counts: Counter, known: dict) -> tuple[float, list[tuple[float, int]]]:
-        """Score and nearest examples; equal vectors (as all of one term are) are looked up once."""
-        ids, weights = self.vector(counts)
-        weights = np.round(weights, 12)
-        key = (ids.tobytes(), weights.tobytes())
+    def score(self, ids: np.ndarray, counts: np.ndarray, known: dict) -> tuple[float, list[tuple[float, int]]]:
+        """Score and nearest examples; equal counts (as of copies) are looked up once."""
+        key = (ids.tobytes(), counts.tobytes())
         if key not in known:
             if len(known) >= VECTORS_KEPT:
                 known.clear()
-            near = self.nearest(ids, weights, NEAREST)
+            near = self.nearest(*self.vector(ids, counts), NEAREST)
             known[key] = (float(min(1.0, max(0.0, np.interp(self.vote(near), *self.knots)))) if near else self.base, near)
         return known[key]
 
 
-def _counts(text: str, terms: dict[str, int], kept: dict[str, list[int]]) -> Counter:
-    """Counts of kept terms over a whole text."""
-    out: Counter = Counter()
-    for word, n in Counter(WORD.findall(text.lower())).items():
-        ids = kept.get(word)
-        if ids is None:
-            ids = found_terms(word, terms)
-            if len(kept) >= WORDS_KEPT:
-                kept.clear()
-            kept[word] = ids
-        for t in ids:
-            out[t] += n
-    return out
+def learned(examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Model:
+    """The model of examples (doc_id, label, word hashes, counts), in the order of their places.
+
+    Two rounds: in the first all words weigh by IDF alone, which tells copies; the second is of what is left.
+    """
+    known = [y for _, y, _, _ in examples]
+    if len(set(known)) < 2:
+        return Model(np.empty(0, np.uint64), np.empty(0), [], np.empty(0), (sum(known) + 0.5) / (len(known) + 1))
+    bare = [y for _, y, h, _ in examples if not len(h)]
+    base = (sum(bare) + 0.5) / (len(bare) + 1) if bare else 0.5 / (len(known) + 1)
+    held = [x for x in examples if len(x[2])]
+
+    def made(rows, boost: float) -> tuple[Model, list]:
+        hashes = np.concatenate([h for _, _, h, _ in rows]) if rows else np.empty(0, np.uint64)
+        terms, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        labels = np.array([y for _, y, _, _ in rows], float)
+        bad = np.bincount(at, np.repeat(labels, [len(h) for _, _, h, _ in rows]), len(terms)) if rows else np.empty(0)
+        worth = telling(bad, n, int(labels.sum()), len(rows)) if boost else np.zeros(len(terms))
+        model = Model(terms, (np.log((1 + len(rows)) / (1 + n)) + 1) * (1 + boost * worth), [], labels, base)
+        vectors, first = [], 0
+        for _, _, h, c in rows:
+            vectors.append(model.vector(at[first : first + len(h)], c))
+            first += len(h)
+        # examples of one heaviest term side by side: few blocks have a high bound for it
+        order = sorted(range(len(rows)), key=lambda e: (labels[e], int(vectors[e][0][np.argmax(vectors[e][1])]), e))
+        found = Model(terms, model.weight, [vectors[e] for e in order], labels[order], base)
+        found.ids = [rows[e][0] for e in order]
+        return found, [vectors[e] for e in order]
+
+    first, vectors = made(held, 0.0)
+    seen, at = {x[0]: x for x in held}, {d: i for i, (d, *_) in enumerate(held)}
+    gone: set[int] = set()
+    for e, v in enumerate(vectors):
+        if first.ids[e] in gone:
+            continue
+        for _, other in first.nearest(*v, len(vectors), COPY):
+            if other != e and first.labels[other] == first.labels[e] and at[first.ids[other]] > at[first.ids[e]]:
+                gone.add(first.ids[other])
+    model, vectors = made([seen[d] for d in seen if d not in gone], BOOST)
+    if vectors:
+        model.calibrate(vectors)
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """From labelled rows that are not held out; only terms, counts and the examples' vectors come to the driver."""
+    """From labelled rows that are not held out; only hashes and counts of the sample's words come to the driver."""
     rows = id_and_text(docs).where(~held_out())
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("__y")).where("__y is not null")
     marked = marked.groupBy("doc_id").agg(F.max("__y").alias("__y"))
     # the sample is picked by id alone, so that texts of no others move
     picked = rows.select("doc_id").join(marked, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
     chosen = {r["doc_id"]: r["__y"] for r in picked.collect()}
-    spark = docs.sparkSession
-    few = spark.createDataFrame(list(chosen.items()), "doc_id long, __y int")
-    sample = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id", "__y").agg(F.min("text").alias("text")).select("doc_id", "text", "__y")
+    if not chosen:
+        return learned([])
+    few = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, __y int")
 
-    def marks(batches):
-        for batch in batches:
-            found = [shingle_hashes(t, 5) for t in texts_of(batch, 1)]
-            least = pa.array([int(h.min() >> np.uint64(1)) if len(h) else 0 for h in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, least], names=["doc_id", "text", "__y", "mark"])
-
-    # the words of one toxic text and its copies would all seem toxic; both classes keep a row of a mark
-    marked_rows = arrow_pass(sample, marks, "doc_id long, text string, __y int, mark long")
-    alone = marked_rows.groupBy("mark", "__y").agg(F.min(F.struct("doc_id", "text")).alias("r"))
-    sample = stored(alone.select("r.doc_id", "r.text", "__y"), "toxicity-examples")
-    counts = {r["__y"]: r["count"] for r in sample.groupBy("__y").count().collect()}
-    toxic, seen = counts.get(1, 0), sum(counts.values())
-
-    def term_rows(batches):
+    def words(batches):
         for batch in batches:
-            every, bad = Counter(), Counter()
-            for text, y in zip(texts_of(batch, 1), batch.column(2).to_pylist(), strict=True):
-                found = {t for w in set(WORD.findall(text.lower())) for t in terms_of(w)}
-                every.update(found)
-                if y:
-                    bad.update(found)
-            names = list(every)
+            found = [word_counts(t) for t in texts_of(batch, 1)]
+            packed = [np.array(sorted((word_hash(w), n) for w, n in c.items()), np.uint64).reshape(-1, 2) for c in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([every[t] for t in names], pa.int64()), pa.array([bad[t] for t in names], pa.int64())],
-                names=["term", "n", "bad"],
-            )
-
-    counted = arrow_pass(sample, term_rows, "term string, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    rate, base = F.col("bad") / F.col("n"), toxic / seen if seen else 0.0
-    clean = F.col("n") - F.col("bad")
-    worth = 2 * (F.col("bad") * F.log(rate / base) + F.when(clean > 0, clean * F.log((1 - rate) / (1 - base))).otherwise(0.0)) if 0 < toxic < seen else F.lit(0.0)
-    kinds = counted.agg(F.count("*")).first()[0] if 0 < toxic < seen else 0
-    terms, idf = {}, np.empty(0)
-    if kinds:
-        # beyond what chance gives the best of so many terms
-        least = 2 * math.log(max(kinds, 2)) + 6
-        best = counted.where((F.col("bad") > 1) & (rate > base)).withColumn("worth", worth).where(F.col("worth") > least)
-        kept = best.orderBy(F.desc("worth"), "term").limit(TERMS).collect()
-        terms = {r["term"]: i for i, r in enumerate(kept)}
-        idf = np.array([math.log((1 + seen) / (1 + r["n"])) + 1 for r in kept])
-
-    def vectors(batches):
-        kept_words: dict = {}
-        for batch in batches:
-            found = [_counts(t, terms, kept_words) for t in texts_of(batch, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([pickle.dumps(dict(c)) for c in found], pa.binary())], names=["doc_id", "__y", "counts"])
-
-    examples = []
-    if terms:
-        # a clean row without terms is only counted, so this is bounded by EXAMPLES small maps
-        examples = [(r["doc_id"], r["__y"], Counter(pickle.loads(r["counts"]))) for r in arrow_pass(sample, vectors, "doc_id long, __y int, counts binary").collect()]
-        place = {d: i for i, d in enumerate(chosen)}
-        examples.sort(key=lambda x: place[x[0]])
-    bare = [y for _, y, c in examples if not c] if examples else [1] * toxic + [0] * (seen - toxic)
-    rate0 = (sum(bare) + 0.5) / (len(bare) + 1)
-    held = [(d, y, c) for d, y, c in examples if c]
-    model = Model(terms, idf, [], np.array([y for _, y, _ in held], float), rate0)
-    vecs = [model.vector(c) for _, _, c in held]
-    model = Model(terms, idf, vecs, np.array([y for _, y, _ in held], float), rate0)
-    model.ids = [d for d, _, _ in held]
-    if held:
-        model.calibrate(vecs)
-    return model
-
-
-def _scoring(model: Model, at: int, evidence: bool):
+                [batch.column(0), pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts_of(batch, 1)], pa.int64()), pa.array([len(c) for c in found], pa.int32()),
+                 pa.array([p[:, 0].tobytes() for p in packed], pa.binary()), pa.array([p[:, 1].astype(np.uint32).tobytes() for p in packed], pa.binary())],
+                names=["doc_id", "t", "n", "words", "counts"],
+            )
+
+    sample = arrow_pass(rows.join(F.broadcast(few), "doc_id").select("doc_id", "text"), words, "doc_id long, t long, n int, words binary, counts binary")
+    once = sample.groupBy("doc_id").agg(F.min(F.struct("t", "n", "words", "counts")).alias("r")).select("doc_id", "r.n", "r.words", "r.counts")
+    # summed in the order of the sample, so that POSTINGS bounds what comes here; EXAMPLES rows of three numbers each
+    sizes = {r["doc_id"]: r["n"] for r in once.select("doc_id", "n").collect()}
+    total, taken = 0, []
+    for d in chosen:
+        total += sizes.get(d, 0)
+        if total > POSTINGS:
+            break
+        taken.append(d)
+    place = {d: i for i, d in enumerate(taken)}
+    if len(taken) < len(chosen):
+        once = once.join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in taken], "doc_id long")), "doc_id")
+    found = sorted(once.collect(), key=lambda r: place[r["doc_id"]])
+    return learned(
+        [(r["doc_id"], chosen[r["doc_id"]], np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.uint32).astype(float)) for r in found]
+    )
+
+
+def _scoring(shared, text_of, evidence: bool):
     def run(batches):
-        kept, known = {}, {}
+        model, kept, known = shared.value, {}, {}
         for batch in batches:
             scores, near = [], []
-            for text in texts_of(batch, at):
-                score, found = model.score(_counts(text, model.terms, kept), known)
+            for value in text_of(batch):
+                score, found = model.score(*model.counts(value.as_py() or "", kept), known)
                 scores.append(score)
                 near.append(" ".join(f"{model.ids[e]}:{c:.4f}:{int(model.labels[e])}" for c, e in found[:3]))
             more = [pa.array(scores, pa.float64()), *([pa.array(near, pa.string())] if evidence else [])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__score", *(["evidence"] if evidence else [])])
+            # the texts stay in the worker where only scores are wanted
+            yield pa.RecordBatch.from_arrays([batch.column(0), *more], names=[batch.schema.names[0], "score", *(["evidence"] if evidence else [])])
 
     return run
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document doc_id, held_out, score, predicted, evidence (nearest examples as doc_id:cosine:label)."""
-    rows = id_and_text(docs)
-    schema = T.StructType([*rows.schema.fields, T.StructField("__score", T.DoubleType()), T.StructField("evidence", T.StringType())])
-    found = arrow_pass(rows, _without_text(_scoring(train(docs, labels), 1, True)), T.StructType([f for f in schema if f.name != "text"]))
-    return found.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"), "evidence")
-
-
-def _without_text(run):
-    """The texts stay in the worker."""
-
-    def thin(batches):
-        for batch in run(batches):
-            yield batch.select([n for n in batch.schema.names if n != "text"])
-
-    return thin
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # bounded by EXAMPLES and POSTINGS
+    found = arrow_pass(id_and_text(docs), _scoring(shared, lambda batch: batch.column(1), True), "doc_id long, score double, evidence string")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below 0.5."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    found = arrow_pass(docs, _scoring(train(docs, labels), docs.columns.index("text"), False), schema)
-    return found.where("__score < 0.5").select(*[f"`{c}`" for c in docs.columns])
+    shared, text = docs.sparkSession.sparkContext.broadcast(train(docs, labels)), field_of(docs, "text")
+    rows = carried(docs)
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+    # a text column of another type is read as the string that Spark makes of it
+    found = arrow_pass(rows, _scoring(shared, lambda batch: batch.column(0).field(text).cast(pa.string()), False), schema)
+    return handed_on(found.where("score < 0.5"), docs)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -39,21 +38,71 @@ def tables(spark, rows):
     return docs, labels
 
 
+def dense_of(model):
+    dense = np.zeros((len(model.labels), len(model.terms)))
+    for t in range(len(model.terms)):
+        for entry in range(model.entries[t], model.entries[t + 1]):
+            for at in range(model.entry_ends[entry], model.entry_ends[entry + 1]):
+                dense[model.example[at], t] = model.value[at]
+    return dense
+
+
 def test_search_is_exact(tables, rows):
     model = toxicity.train(*tables)
-    n = len(model.labels)
-    dense = np.zeros((n, len(model.terms)))
-    for t, (e, w, _) in enumerate(model.postings):
-        dense[e, t] = w
+    dense = dense_of(model)
+    assert np.linalg.norm(dense, axis=1) == pytest.approx(np.ones(len(dense)), abs=1e-5)
     r = np.random.default_rng(2)
     for _ in range(200):
-        ids = np.sort(r.choice(len(model.terms), r.integers(1, 8), replace=False))
+        ids = np.sort(r.choice(len(model.terms), r.integers(1, 60), replace=False))
         w = r.random(len(ids))
         w /= np.linalg.norm(w)
-        cosines = np.round(dense[:, ids] @ w, 10)
+        cosines = dense[:, ids] @ w
         got = model.nearest(ids, w, 7)
         assert [c for c, _ in got] == pytest.approx(sorted((c for c in cosines if c > 0), reverse=True)[:7], abs=1e-9)
         assert all(c == pytest.approx(cosines[e], abs=1e-9) for c, e in got) and len({e for _, e in got}) == len(got)
+        far = model.nearest(ids, w, len(dense), 0.3)
+        assert {e for _, e in far} == set(np.nonzero(np.round(cosines, 12) >= 0.3)[0])
+
+
+def test_all_terms_of_the_sample_are_indexed(tables, rows):
+    """No word of a kept example is left out, and clean examples are in the index."""
+    model = toxicity.train(*tables)
+    texts = {i: t for i, t, _ in rows}
+    want = {toxicity.word_hash(w) for d in model.ids for w in toxicity.word_counts(texts[d])}
+    assert set(model.terms.tolist()) == want and 0 < model.labels.mean() < 0.5
+
+
+def test_scores_against_plain_cosines(spark, tables, rows):
+    """Scores of the whole table: all cosines, the votes of the nearest, the map."""
+    model = toxicity.train(*tables)
+    dense, at = dense_of(model), {h: i for i, h in enumerate(model.terms.tolist())}
+    got = {r["doc_id"]: r for r in toxicity.scored(*tables).collect()}
+    for i, text, _ in rows:
+        q = np.zeros(len(at))
+        for w, n in toxicity.word_counts(text).items():
+            t = at.get(toxicity.word_hash(w))
+            if t is not None:
+                q[t] = (1 + np.log(n)) * model.weight[t]
+        if not q.any():
+            assert got[i]["score"] == model.base and got[i]["evidence"] == ""
+            continue
+        cosines = np.round(dense @ (q / np.linalg.norm(q)), 12)
+        near = sorted(((-c, e) for e, c in enumerate(cosines) if c > 0))[: toxicity.NEAREST]
+        weight = [c * c / (1 - min(-c, 1.0) + 0.1) for c, _ in near]
+        vote = (sum(w * model.labels[e] for w, (_, e) in zip(weight, near, strict=True)) + model.base) / (sum(weight) + 1)
+        assert got[i]["score"] == pytest.approx(float(np.interp(vote, *model.knots)), abs=1e-6)
+        assert got[i]["evidence"].startswith(f"{model.ids[near[0][1]]}:{-near[0][0]:.4f}:")
+
+
+def test_copies_of_labelled_rows_are_found(spark, tables, rows):
+    """A text that equals a labelled example is scored by it, whatever its words are."""
+    docs, labels = tables
+    learned, apart = (next(i for i in range(5000, 6000) if held(i) == h) for h in (False, True))
+    text = "unheard of but toxic nonetheless"
+    more = docs.unionByName(spark.createDataFrame([(learned, text, "en", "s"), (apart, text, "en", "s")], DOCS))
+    marked = labels.unionByName(spark.createDataFrame([(learned, 1, 1)], labels.schema))
+    got = {r["doc_id"]: r for r in toxicity.scored(more, marked).collect()}
+    assert got[apart]["evidence"].startswith(f"{learned}:1.0000:1")
 
 
 def test_held_out_accuracy(tables, rows):
@@ -76,10 +125,10 @@ def test_held_out_labels_are_not_learned(spark, tables, rows):
 def test_scores_know_nothing_but_the_text(spark, tables, rows):
     docs, labels = tables
     model = toxicity.train(docs, labels)
-    known: dict = {}
-    first = model.score(toxicity._counts(rows[8][1], model.terms, {}), known)[0]
-    assert first == model.score(toxicity._counts(rows[8][1], model.terms, {}), {})[0]
-    assert model.score(Counter(), {})[0] == model.base < 0.1
+    first = model.score(*model.counts(rows[8][1], {}), {})[0]
+    known, kept = {}, {}
+    assert first == model.score(*model.counts(rows[8][1], kept), known)[0] == model.score(*model.counts(rows[8][1], kept), known)[0]
+    assert model.score(*model.counts("", {}), {})[0] == model.base < 0.1
 
 
 def test_accepted(tables, rows):
@@ -99,7 +148,12 @@ def test_table(spark, odd, odd_more, none, odd_rows, rows_of):
     assert toxicity.accepted(odd_more, labels).columns == odd_more.columns
 
 
-def test_terms():
-    assert toxicity.terms_of("abc") == ["=abc", "^abc", "$abc"]
-    terms = {t: i for i, t in enumerate(toxicity.terms_of("abcdefgh"))}
-    assert sorted(toxicity.found_terms("abcdefgh", terms)) == sorted(terms.values()) and toxicity.found_terms("abcx", terms) == [terms["^abc"]]
+def test_long_words_are_whole():
+    a, b = "x" * 5000 + "a", "x" * 5000 + "b"
+    assert toxicity.word_hash(a) != toxicity.word_hash(b) and toxicity.word_counts(a + " " + b) == {a: 1, b: 1}
+
+
+def test_the_sample_is_bounded_by_words(tables, monkeypatch):
+    monkeypatch.setattr(toxicity, "POSTINGS", 2000)
+    model = toxicity.train(*tables)
+    assert 5 < len(model.labels) < 200 and len(model.value) <= 2000
