@@ -9,7 +9,7 @@ found.  Votes are weighted by cosine squared / (distance + 0.1) and shrunk to th
 fitted on leave-one-out votes of the examples makes them probabilities.  Every document with a word of the sample has
 neighbours, and they are its evidence.
 
-Of examples with one label whose vectors have a cosine of ``COPY`` or more, one is kept: the words of a text and its
+Of examples with one label whose word counts have a cosine of ``COPY`` or more, one is kept: the words of a text and its
 copies would all seem to stand out.  A copy of an example is still found by the one kept.
 
 The index is bounded by ``EXAMPLES`` rows and ``POSTINGS`` words of theirs, whatever the corpus: rows are taken by hash of
@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pass, carried, field_of, handed_on, id_and_text, texts_of
+from .common import arrow_pass, carried, field_of, give_back, handed_on, id_and_text, stored, texts_of
 
-EXAMPLES, POSTINGS, BLOCK, FIRST_BLOCKS, NEAREST = 6000, 4_000_000, 64, 4, 15
+EXAMPLES, POSTINGS, BLOCK, FIRST_BLOCKS, NEAREST = 6000, 4_000_000, 128, 2, 15
 #: How much more than other words the most telling ones weigh; cosine of copies.
 BOOST, COPY = 30.0, 0.95
 #: Bounds of the words whose terms, and of the vectors whose scores, a worker keeps.
 WORDS_KEPT, VECTORS_KEPT = 150_000, 2_000
+#: Bytes of the index that hold the weights of common terms in rows.
+COMMON_BYTES = 32 << 20
 WORD = re.compile(r"\w+")
 #: Pseudo-votes for the base rate.
 SHRINK = 1.0
@@ -76,92 +78,87 @@ def telling(together: np.ndarray, rows: np.ndarray, toxic: int, seen: int) -> np
     return np.where((rate > base) & (together > 1) & (ratio > least), ratio / (ratio + least), 0.0)
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """All places of the ranges, one after the other."""
-    counts = ends - starts
     firsts = np.cumsum(counts) - counts
     return np.repeat(starts - firsts, counts) + np.arange(int(counts.sum()))
 
 
 class Model:
-    """Terms (sorted hashes) and their weights, the block-max index over the examples, the map from votes to scores."""
+    """Terms (sorted hashes) and their weights, the block-max index over the examples, the map from votes to scores.
+
+    Postings are kept by block of examples: those of common terms as one row of ``BLOCK`` weights a term and block, with
+    the largest weight of each; those of rarer terms as they are, since they are so few that they are summed at once.
+    """
 
     def __init__(self, terms: np.ndarray, weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, base: float):
         self.terms, self.weight, self.labels, self.base = terms, weight, labels, base
         self.ids: list = []
         self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        self.blocks = -(-len(vectors) // BLOCK)
-        term = np.concatenate([i for i, _ in vectors]) if vectors else np.empty(0, np.int64)
-        example = np.repeat(np.arange(len(vectors)), [len(i) for i, _ in vectors])
+        n = len(vectors)
+        self.blocks = -(-n // BLOCK)
+        term = np.concatenate([i for i, _ in vectors]).astype(np.int32) if n else np.empty(0, np.int32)
+        value = np.concatenate([w for _, w in vectors]).astype(np.float32) if n else np.empty(0, np.float32)
+        example = np.repeat(np.arange(n, dtype=np.int32), [len(i) for i, _ in vectors])
+        seen = np.bincount(term, minlength=len(terms))
+        common = np.argsort(-seen, kind="stable")[: COMMON_BYTES // max(4 * self.blocks * BLOCK, 1)]
+        common = np.sort(common[seen[common] >= max(n // 64, 2)])
+        self.common = np.full(len(terms), -1, np.int32)
+        self.common[common] = np.arange(len(common), dtype=np.int32)
+        often = self.common[term] >= 0
+        self.rows = np.zeros((self.blocks * len(common), BLOCK), np.float32)  # by block, then by term
+        at = example[often]
+        self.rows[at // BLOCK * len(common) + self.common[term[often]], at % BLOCK] = value[often]
+        self.tops = self.rows.max(axis=1, initial=0.0).reshape(self.blocks, len(common)).T.copy()
+        term, example, value = term[~often], example[~often], value[~often]
         order = np.argsort(term, kind="stable")  # by term, then by example
-        term, self.example = term[order], example[order].astype(np.int32)
-        self.value = (np.concatenate([w for _, w in vectors])[order] if vectors else np.empty(0)).astype(np.float32)
-        # an entry: the postings of a term in a block
-        if len(term):
-            block = self.example // BLOCK
-            first = np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
-            at = np.nonzero(first)[0]
-            self.entry_ends = np.concatenate([at, [len(term)]]).astype(np.int32)
-            self.entry_block, self.entry_top = block[at].astype(np.int32), np.maximum.reduceat(self.value, at)
-            self.entries = np.searchsorted(term[at], np.arange(len(terms) + 1))
-        else:
-            self.entry_ends, self.entry_block, self.entry_top = np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0)
-            self.entries = np.zeros(len(terms) + 1, np.int64)
-        self.index: dict[int, int] | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"index": None}  # made again by each worker
-
-    def term(self, word: str) -> int:
-        """Place of a word among the terms; -1 for other words."""
-        if self.index is None:
-            self.index = dict(zip(self.terms.tolist(), range(len(self.terms)), strict=True))
-        return self.index.get(word_hash(word), -1)
+        self.example, self.value = example[order].astype(np.int32), value[order]
+        self.starts = np.searchsorted(term[order], np.arange(len(terms) + 1)).astype(np.int32)
 
     def counts(self, text: str, kept: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms of a whole text, sorted, and how often each stands in it."""
-        out: dict[int, int] = {}
-        for word, n in word_counts(text).items():
-            t = kept.get(word)
-            if t is None:
-                if len(kept) >= WORDS_KEPT:
-                    kept.clear()
-                t = kept[word] = self.term(word)
-            if t >= 0:
-                out[t] = out.get(t, 0) + n
-        ids = np.fromiter(out.keys(), np.int64, len(out))
+        words = word_counts(text)
+        new = [w for w in words if w not in kept] if len(self.terms) else []
+        if new:
+            if len(kept) + len(new) > WORDS_KEPT:
+                kept.clear()
+                new = list(words)
+            hashes = np.fromiter(map(word_hash, new), np.uint64, len(new))
+            at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+            kept.update(zip(new, np.where(self.terms[at] == hashes, at, -1).tolist(), strict=True))
+        ids = np.fromiter((kept.get(w, -1) for w in words), np.int64, len(words))
+        n = np.fromiter(words.values(), np.float64, len(words))
+        ids, n = ids[ids >= 0], n[ids >= 0]
         order = np.argsort(ids)
-        return ids[order], np.fromiter(out.values(), np.float64, len(out))[order]
+        return ids[order], n[order]
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.weight[ids]
         return ids, w / math.sqrt(float(w @ w)) if len(w) else w
 
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> list[tuple[float, int]]:
-        """The k examples of largest cosine, ``floor`` at least, ties by place: (cosine, place). Exact."""
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k examples of largest cosine, ties by place: (cosine, place). Exact, to six digits."""
         if not len(ids) or not self.blocks:
             return []
-        begin, end = self.entries[ids], self.entries[ids + 1]
-        entry, mine = _ranges(begin, end), np.repeat(weights, end - begin)
-        block = self.entry_block[entry]
-        bounds = np.bincount(block, mine * self.entry_top[entry], self.blocks)
+        row, width = self.common[ids], self.tops.shape[0]
+        often = row >= 0
+        heavy, row, rare, light = weights[often].astype(np.float32), row[often], ids[~often], weights[~often]
+        count = self.starts[rare + 1] - self.starts[rare]
+        at = _ranges(self.starts[rare], count)
+        sums = np.bincount(self.example[at], np.repeat(light, count) * self.value[at], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        bounds = sums.max(axis=1) + heavy @ self.tops.take(row, axis=0, mode="clip")
         order = np.argsort(-bounds, kind="stable")
         places, cosines = np.empty(0, np.int64), np.empty(0)
         for blocks in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             # of the rest, only blocks whose bound reaches the k-th cosine of the first
-            least = max(float(cosines[-1]), floor) if len(places) == k else floor
-            blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least - 1e-9)]
+            least = float(cosines[-1]) if len(places) == k else 0.0
+            blocks = np.sort(blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least - 1e-4)])
             if not len(blocks):
                 continue
-            wanted = np.zeros(self.blocks, bool)
-            wanted[blocks] = True
-            held = wanted[block]
-            from_, to = self.entry_ends[entry[held]], self.entry_ends[entry[held] + 1]
-            at = _ranges(from_, to)
-            score = np.bincount(self.example[at], np.repeat(mine[held], to - from_) * self.value[at], self.blocks * BLOCK)
-            score = np.round(score, 12)
-            some = np.nonzero(score >= least if least else score > 0)[0]
-            places, cosines = np.concatenate([places, some]), np.concatenate([cosines, score[some]])
+            score = sums[blocks] + np.matmul(heavy, self.rows.take(blocks[:, None] * width + row, axis=0, mode="clip")) if len(row) else sums[blocks]
+            score = np.round(score, 6)
+            b, e = np.nonzero(score >= least if least else score > 0)
+            places, cosines = np.concatenate([places, blocks[b] * BLOCK + e]), np.concatenate([cosines, score[b, e]])
             best = np.lexsort((places, -cosines))[:k]
             places, cosines = places[best], cosines[best]
         return list(zip(cosines.tolist(), places.tolist(), strict=True))
@@ -195,47 +192,64 @@ class Model:
         return known[key]
 
 
-def learned(examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Model:
-    """The model of examples (doc_id, label, word hashes, counts), in the order of their places.
+#: Min-hash rows and bands by which examples of like words meet.
+ROWS, BANDS = 4, 12
+MULTIPLIERS = np.random.default_rng(7).integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def without_copies(examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of examples of one label whose count vectors (1 + log count) have a cosine of ``COPY``, the first."""
+    met: dict = {}
+    out = []
+    for x in examples:
+        _, y, hashes, n = x
+        least = (MULTIPLIERS[:, None] * hashes[None, :]).min(axis=1).reshape(BANDS, ROWS)
+        keys = [(b, y, least[b].tobytes()) for b in range(BANDS)]
+        own = 1 + np.log(n)
+        size = float(own @ own)
+        for other in sorted({e for k in keys for e in met.get(k, ())}):
+            _, _, theirs, m = out[other]
+            at = np.minimum(np.searchsorted(theirs, hashes), len(theirs) - 1)
+            both = theirs[at] == hashes
+            w = 1 + np.log(m)
+            if float(own[both] @ w[at[both]]) >= COPY * math.sqrt(size * float(w @ w)):
+                break
+        else:
+            for k in keys:
+                met.setdefault(k, []).append(len(out))
+            out.append(x)
+    return out
 
-    Two rounds: in the first all words weigh by IDF alone, which tells copies; the second is of what is left.
-    """
+
+def learned(examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Model:
+    """The model of examples (doc_id, label, sorted word hashes, counts), in the order of their places."""
     known = [y for _, y, _, _ in examples]
     if len(set(known)) < 2:
         return Model(np.empty(0, np.uint64), np.empty(0), [], np.empty(0), (sum(known) + 0.5) / (len(known) + 1))
     bare = [y for _, y, h, _ in examples if not len(h)]
     base = (sum(bare) + 0.5) / (len(bare) + 1) if bare else 0.5 / (len(known) + 1)
-    held = [x for x in examples if len(x[2])]
-
-    def made(rows, boost: float) -> tuple[Model, list]:
-        hashes = np.concatenate([h for _, _, h, _ in rows]) if rows else np.empty(0, np.uint64)
-        terms, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
-        labels = np.array([y for _, y, _, _ in rows], float)
-        bad = np.bincount(at, np.repeat(labels, [len(h) for _, _, h, _ in rows]), len(terms)) if rows else np.empty(0)
-        worth = telling(bad, n, int(labels.sum()), len(rows)) if boost else np.zeros(len(terms))
-        model = Model(terms, (np.log((1 + len(rows)) / (1 + n)) + 1) * (1 + boost * worth), [], labels, base)
-        vectors, first = [], 0
-        for _, _, h, c in rows:
-            vectors.append(model.vector(at[first : first + len(h)], c))
-            first += len(h)
-        # examples of one heaviest term side by side: few blocks have a high bound for it
-        order = sorted(range(len(rows)), key=lambda e: (labels[e], int(vectors[e][0][np.argmax(vectors[e][1])]), e))
-        found = Model(terms, model.weight, [vectors[e] for e in order], labels[order], base)
-        found.ids = [rows[e][0] for e in order]
-        return found, [vectors[e] for e in order]
-
-    first, vectors = made(held, 0.0)
-    seen, at = {x[0]: x for x in held}, {d: i for i, (d, *_) in enumerate(held)}
-    gone: set[int] = set()
-    for e, v in enumerate(vectors):
-        if first.ids[e] in gone:
-            continue
-        for _, other in first.nearest(*v, len(vectors), COPY):
-            if other != e and first.labels[other] == first.labels[e] and at[first.ids[other]] > at[first.ids[e]]:
-                gone.add(first.ids[other])
-    model, vectors = made([seen[d] for d in seen if d not in gone], BOOST)
-    if vectors:
-        model.calibrate(vectors)
+    rows = without_copies([x for x in examples if len(x[2])])
+    labels = np.array([y for _, y, _, _ in rows], float)
+    terms, at, n = np.unique(np.concatenate([h for _, _, h, _ in rows]), return_inverse=True, return_counts=True)
+    at = at.astype(np.int32)
+    ends = np.cumsum([len(h) for _, _, h, _ in rows])
+    bad = np.bincount(at, np.repeat(labels, np.diff(ends, prepend=0)), len(terms))
+    weight = (np.log((1 + len(rows)) / (1 + n)) + 1) * (1 + BOOST * telling(bad, n, int(labels.sum()), len(rows)))
+    shape = Model(terms, weight, [], labels, base)
+    vectors = [shape.vector(at[end - len(h) : end], c) for (_, _, h, c), end in zip(rows, ends.tolist(), strict=True)]
+    # examples of one label and of one heavy word among common ones, as texts of a language are, side by side: few blocks have high bounds
+    common = n >= max(len(rows) // 40, 2)
+
+    def place(e: int):
+        ids, w = vectors[e]
+        some = common[ids]
+        return labels[e], int(ids[some][np.argmax(w[some])]) if some.any() else -1, e
+
+    order = sorted(range(len(rows)), key=place)
+    vectors = [vectors[e] for e in order]
+    model = Model(terms, weight, vectors, labels[order], base)
+    model.ids = [rows[e][0] for e in order]
+    model.calibrate(vectors)
     return model
 
 
@@ -263,6 +277,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     sample = arrow_pass(rows.join(F.broadcast(few), "doc_id").select("doc_id", "text"), words, "doc_id long, t long, n int, words binary, counts binary")
     once = sample.groupBy("doc_id").agg(F.min(F.struct("t", "n", "words", "counts")).alias("r")).select("doc_id", "r.n", "r.words", "r.counts")
+    once = stored(once, "toxicity-sample")
     # summed in the order of the sample, so that POSTINGS bounds what comes here; EXAMPLES rows of three numbers each
     sizes = {r["doc_id"]: r["n"] for r in once.select("doc_id", "n").collect()}
     total, taken = 0, []
@@ -275,9 +290,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if len(taken) < len(chosen):
         once = once.join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in taken], "doc_id long")), "doc_id")
     found = sorted(once.collect(), key=lambda r: place[r["doc_id"]])
-    return learned(
-        [(r["doc_id"], chosen[r["doc_id"]], np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.uint32).astype(float)) for r in found]
-    )
+    examples = [(r["doc_id"], chosen[r["doc_id"]], np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.uint32).astype(float)) for r in found]
+    del found
+    model = learned(examples)
+    del examples
+    give_back()
+    return model
 
 
 def _scoring(shared, text_of, evidence: bool):

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from test_toxicity import dense_of
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -50,18 +51,14 @@ def folder(spark, words, tmp_path_factory):
 def plain_toxic(model, text):
     """The score from all cosines, without the index."""
     if not hasattr(model, "dense"):
-        model.dense, model.at = np.zeros((len(model.labels), len(model.terms))), {h: i for i, h in enumerate(model.terms.tolist())}
-        ends, entry_of = model.entry_ends, np.repeat(np.arange(len(model.entry_block)), np.diff(model.entry_ends))
-        term_of = np.repeat(np.arange(len(model.terms)), np.diff(model.entries))
-        model.dense[model.example, term_of[entry_of]] = model.value
-        assert ends[-1] == len(model.value)
+        model.dense, model.at = dense_of(model), {h: i for i, h in enumerate(model.terms.tolist())}
     q = np.zeros(len(model.terms))
     for w, n in toxicity.word_counts(text or "").items():
         if toxicity.word_hash(w) in model.at:
             q[model.at[toxicity.word_hash(w)]] = (1 + np.log(n)) * model.weight[model.at[toxicity.word_hash(w)]]
     if not q.any():
         return model.base
-    cosines = np.round(model.dense @ (q / np.linalg.norm(q)), 12)
+    cosines = np.round(model.dense @ (q / np.linalg.norm(q)), 6)
     near = sorted((-c, e) for e, c in enumerate(cosines) if c > 0)[: toxicity.NEAREST]
     return float(np.clip(np.interp(model.vote([(-c, e) for c, e in near]), *model.knots), 0, 1)) if near else model.base
 
