@@ -44,14 +44,19 @@ def confidence(cells: DataFrame, data_flags: dict[str, bool] | None = None, dedu
 def ranked(cells: DataFrame) -> DataFrame:
     """Adds ``rank``: 1 + the number of eligible cells with a higher score; null for excluded cells and null scores.
 
-    Scores are weighted sums of step values, so they take few values: counts by score are ranked instead of cells, and no
-    task gets all cells.  The cells are stored first, as they are read twice.
+    Counts by score are ranked instead of cells, and no task gets them all: the counts are dealt by ranges of scores and
+    stored, and a count's place is the sum before it in its range and of the ranges above.  The cells are stored first, as
+    they are read twice.
     """
     cells = stored(cells, "scored")
     open_ = F.col("status") != "excluded"
     counts = cells.where(open_ & F.col("score").isNotNull()).groupBy("score").agg(F.count("*").alias("__n"))
-    above = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    places = counts.select(F.col("score").alias("__score"), (F.coalesce(F.sum("__n").over(above), F.lit(0)) + 1).cast("int").alias("__rank"))
+    counts = stored(counts.repartitionByRange(F.col("score").desc()).withColumn("__range", F.spark_partition_id()), "score-counts")
+    before = lambda column, order, *by: F.coalesce(F.sum(column).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each range, of which there are as many as partitions
+    ranges = counts.groupBy("__range").agg(F.sum("__n").alias("__all")).select("__range", before("__all", "__range", F.lit(0)).alias("__above"))
+    places = counts.withColumn("__in", before("__n", F.col("score").desc(), "__range")).join(ranges, "__range")
+    places = places.select(F.col("score").alias("__score"), (F.col("__above") + F.col("__in") + 1).cast("int").alias("__rank"))
     joined = cells.join(places, F.col("score") == F.col("__score"), "left")
     return joined.withColumn("rank", F.when(open_, F.col("__rank"))).drop("__score", "__rank")
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import styles
@@ -164,3 +164,23 @@ def composite(cells: DataFrame, context: Context, weights: dict[str, float], ena
     out = out.withColumns({f"score_{n}": F.when(open_, F.coalesce(f"score_{n}", F.lit(0.0))) for n in enabled})
     total = reduce(lambda a, b: a + b, (F.col(f"score_{n}") * (w / 100) for n, w in scaled.items()), F.lit(0.0))
     return out.withColumn("score", F.when(open_, total))
+
+
+def observed(cells: DataFrame, enabled: list[str]) -> tuple[DataFrame, Observation]:
+    """The same cells, and what is counted as they first pass, at no cost of a scan: see ``told``."""
+    seen = Observation()
+    columns = [n for n in (*(f"score_{n}" for n in enabled), "score") if n in cells.columns]
+    sums = [F.count("*").alias("cells"), F.count_if(F.col("status") == "excluded").alias("excluded")]
+    sums += [f(c).alias(f"{name} {c}") for c in columns for name, f in (("mean", F.avg), ("median", lambda c: F.percentile_approx(c, 0.5)))]
+    sums += [F.count_if(F.col("confidence_band") == b).alias(b) for b in ("high", "medium", "low") if "confidence_band" in cells.columns]
+    return cells.observe(seen, *sums), seen
+
+
+def told(seen: dict) -> list[str]:
+    """Lines for the log: excluded cells, mean and median of each score, cells by confidence."""
+    number = lambda x: "none" if x is None else f"{x:.1f}"
+    out = [f"{seen['excluded']} of {seen['cells']} cells excluded"]
+    out += [f"{n.removeprefix('mean ')}: mean {number(v)}, median {number(seen['median ' + n.removeprefix('mean ')])}" for n, v in seen.items() if n.startswith("mean ")]
+    if "high" in seen:
+        out.append(f"confidence: {seen['high']} high, {seen['medium']} medium, {seen['low']} low")
+    return out

@@ -2,7 +2,8 @@
 
 ``slope_aspect`` takes differences along rows and columns with two windows; it suits rasters of any width whose rows and
 columns fit a task.  ``tiled_slope_aspect`` does the same over tiles with a margin of one pixel and one shuffle, for large
-rasters.
+rasters.  Both have one rule: a difference is taken over the neighbours that there are, both, one, or none (then it is 0),
+at the rim of the raster as beside missing pixels; a missing height that is kept as a number takes part as that number.
 """
 
 from __future__ import annotations
@@ -28,42 +29,52 @@ def aspect_of(dx: Column, dy: Column) -> Column:
 
 
 def _difference(along: str, across: str, resolution: float) -> Column:
-    """Central difference within, one-sided at the edges of the raster."""
+    """Central difference where both neighbours are there, one-sided where one is."""
     order = Window.partitionBy(across).orderBy(along)
-    before, after = F.lag("z").over(order), F.lead("z").over(order)
+    before = F.when(F.lag(along).over(order) == F.col(along) - 1, F.lag("z").over(order))
+    after = F.when(F.lead(along).over(order) == F.col(along) + 1, F.lead("z").over(order))
     steps = F.when(before.isNotNull(), 1).otherwise(0) + F.when(after.isNotNull(), 1).otherwise(0)
     rise = F.coalesce(after, F.col("z")) - F.coalesce(before, F.col("z"))
     return F.when(steps > 0, rise / (steps * float(resolution))).otherwise(F.lit(0.0))
 
 
 def slope_aspect(pixels: DataFrame, resolution: float) -> DataFrame:
-    """Adds slope and aspect in degrees. Missing heights take part as the number they are, as a plain gradient would."""
+    """Adds slope and aspect in degrees."""
     both = pixels.withColumn("__dx", _difference("col", "row", resolution)).withColumn("__dy", _difference("row", "col", resolution))
     return both.withColumns({"slope": slope_of(F.col("__dx"), F.col("__dy")), "aspect": aspect_of(F.col("__dx"), F.col("__dy"))}).drop("__dx", "__dy")
 
 
+def differences(z: np.ndarray, resolution: float, axis: int) -> np.ndarray:
+    """The same difference over an array; NaN: no pixel."""
+    z = np.moveaxis(z, axis, 0)
+    gap = np.full((1, *z.shape[1:]), np.nan)
+    before, after = np.concatenate([gap, z[:-1]]), np.concatenate([z[1:], gap])
+    steps = np.isfinite(before).astype(float) + np.isfinite(after)
+    rise = np.where(np.isfinite(after), after, z) - np.where(np.isfinite(before), before, z)
+    return np.moveaxis(np.where(steps > 0, rise / np.maximum(steps * resolution, 1e-300), 0.0), 0, axis)
+
+
 def tiled_slope_aspect(pixels: DataFrame, resolution: float, tile: int = TILE) -> DataFrame:
     """The same by tiles: pixels next to a tile's border go to both tiles, then each tile is one array."""
     near = lambda k: F.array_distinct(F.array(*(F.expr(f"({k} + {d}) div {tile}") for d in (-1, 0, 1))))
-    rows = pixels.select("row", "col", "z").withColumn("__tr", F.explode(near("row"))).withColumn("__tc", F.explode(near("col")))
+    kept = ["row", "col", *(n for n in ("x", "y") if n in pixels.columns), "z"]
+    rows = pixels.select(*kept).withColumn("__tr", F.explode(near("row"))).withColumn("__tc", F.explode(near("col")))
 
     def one(key, part):
-        import pandas as pd
-
         r0, c0 = int(part["row"].min()), int(part["col"].min())
         z = np.full((int(part["row"].max()) - r0 + 1, int(part["col"].max()) - c0 + 1), np.nan)
         z[part["row"] - r0, part["col"] - c0] = part["z"]
-        dy = np.gradient(z, resolution, axis=0) if z.shape[0] > 1 else np.zeros_like(z)
-        dx = np.gradient(z, resolution, axis=1) if z.shape[1] > 1 else np.zeros_like(z)
+        dy, dx = (differences(z, resolution, axis) for axis in (0, 1))
         slope = np.degrees(np.arctan(np.sqrt(dx * dx + dy * dy)))
         aspect = np.degrees(np.arctan2(-dx, dy))
         aspect = np.where(aspect < 0, aspect + 360, aspect)
         aspect[(np.abs(dx) < FLAT) & (np.abs(dy) < FLAT)] = -1
         own = part[(part["row"] // tile == key[0]) & (part["col"] // tile == key[1])]
         at = (own["row"] - r0, own["col"] - c0)
-        return pd.DataFrame({"row": own["row"], "col": own["col"], "z": own["z"], "slope": slope[at], "aspect": aspect[at]})
+        return own[kept].assign(slope=slope[at], aspect=aspect[at])
 
-    return rows.groupBy("__tr", "__tc").applyInPandas(one, "row long, col long, z double, slope double, aspect double")
+    kinds = ", ".join(f"{n} {'long' if n in ('row', 'col') else 'double'}" for n in kept)
+    return rows.groupBy("__tr", "__tc").applyInPandas(one, f"{kinds}, slope double, aspect double")
 
 
 def solar_class(slope: Column, aspect: Column) -> Column:

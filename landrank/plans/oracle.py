@@ -1,12 +1,8 @@
-"""The queries as SQL, written independently of the operators: brute-force joins over the same views."""
+"""The queries as SQL, written independently of the operators: brute-force joins over the same views, constants written out."""
 
 from __future__ import annotations
 
-from ..functions import projection as pj
-from ..functions import thresholds as t
-from .queries import EAST, NORTH, SCORES
-
-PI = "3.141592653589793e0"
+SCORES = ["score_hydro", "score_elevation", "score_access", "score_solar", "score_buildable"]
 
 VIEWS = {
     "cells": "SELECT range AS cell_id, (range // 40) * 250e0 AS xmin, (range % 40) * 250e0 AS ymin, (range // 40) * 250e0 + 250e0 AS xmax, (range % 40) * 250e0 + 250e0 AS ymax, ((range // 40) * 250e0 + (range // 40) * 250e0 + 250e0) / 2 AS cx, ((range % 40) * 250e0 + (range % 40) * 250e0 + 250e0) / 2 AS cy FROM range(1600)",
@@ -19,8 +15,8 @@ VIEWS = {
         CASE WHEN k % 5 = 4 THEN NULL ELSE k % 4 + 1 END AS line_class,
         CASE WHEN k % 3 <> 0 THEN (k % 50)::DOUBLE END AS minz, CASE WHEN k % 3 <> 0 THEN (k % 50 + k % 13)::DOUBLE END AS maxz,
         CASE WHEN k % 6 = 0 THEN (k % 400) / 4e0 END AS attr
-        FROM (SELECT o_orderkey::BIGINT AS id, o_orderkey::BIGINT // 25 AS k, ((o_orderkey::BIGINT * 811) % 10000)::DOUBLE AS x1, ((o_orderkey::BIGINT * 3163) % 10000)::DOUBLE AS y1
-              FROM orders WHERE o_orderkey % 25 = 0)""",
+        FROM (SELECT o_orderkey::BIGINT AS id, o_orderkey::BIGINT AS k, ((o_orderkey::BIGINT * 811) % 40000 - 15000)::DOUBLE AS x1, ((o_orderkey::BIGINT * 3163) % 40000 - 15000)::DOUBLE AS y1
+              FROM orders)""",
     "all_streams": "SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM raw_streams",
     "streams": "SELECT * FROM all_streams WHERE feat_code IS NULL OR NOT (left(feat_code, 4) IN ('WALK', 'WATO', 'WAWH', 'WADM', 'WABD') OR contains(feat_code, 'IS'))",
     "samples": """SELECT (l_orderkey::BIGINT * 7919 + l_linenumber::BIGINT * 977 + l_partkey::BIGINT * 31) % 10000 + 0.5e0 AS x,
@@ -38,7 +34,7 @@ VIEWS = {
     "measures": """SELECT floor(x / 250)::BIGINT * 40 + floor(y / 250)::BIGINT AS cell_id, avg(CASE WHEN z <> -9999 THEN z END) AS mean,
         max(CASE WHEN z <> -9999 THEN z END) - min(CASE WHEN z <> -9999 THEN z END) AS span, avg(CASE WHEN class >= 1 THEN 100e0 ELSE 0e0 END) AS sunny, avg(buildable * 100e0) AS flat FROM classes GROUP BY 1""",
     "parcels": """SELECT id AS parcel_id, xmin, ymin, xmin + (k * 37) % 1301 + 20e0 AS xmax, ymin + (k * 53) % 1301 + 20e0 AS ymax
-        FROM (SELECT p_partkey::BIGINT AS id, p_partkey::BIGINT // 20 AS k, ((p_partkey::BIGINT // 20 * 433) % 9000)::DOUBLE AS xmin, ((p_partkey::BIGINT // 20 * 719) % 9000)::DOUBLE AS ymin FROM part WHERE p_partkey % 20 = 0)""",
+        FROM (SELECT p_partkey::BIGINT AS id, p_partkey::BIGINT AS k, ((p_partkey::BIGINT * 433) % 9000)::DOUBLE AS xmin, ((p_partkey::BIGINT * 719) % 9000)::DOUBLE AS ymin FROM part)""",
     "zones": """SELECT k * 2 AS feature_id, 'protected_area' AS reason, ((k * 1723) % 9000 + 13)::DOUBLE AS xmin, ((k * 2917) % 9000 + 17)::DOUBLE AS ymin,
           ((k * 1723) % 9000 + 13 + 300 + (k % 6) * 150)::DOUBLE AS xmax, ((k * 2917) % 9000 + 17 + 280 + (k % 4) * 210)::DOUBLE AS ymax FROM (SELECT n_nationkey::BIGINT AS k FROM nation)
         UNION ALL SELECT k * 2 + 1, 'flood_zone', ((k * 2311) % 9000 + 29)::DOUBLE, ((k * 1259) % 9000 + 31)::DOUBLE,
@@ -92,12 +88,18 @@ ROADS = "SELECT x1, y1, x2, y2 FROM roads WHERE highway IS NULL OR highway NOT I
 CIVIC = "SELECT x AS x1, y AS y1, x AS x2, y AS y2 FROM civic"
 
 
-def _score(value: str, table: list) -> str:
-    rows = []
-    for low, high, score in table:
-        bound = f"{value} = {low}" if low == high else f"{value} >= {low}" + ("" if high == t.INFINITY else f" AND {value} < {high}")
-        rows.append(f"WHEN {bound} THEN {score}e0")
-    return f"(CASE {' '.join(rows)} ELSE 0e0 END)"
+# The score of a value, and where it ends.
+HYDRO = "CASE WHEN {v} >= 2000 THEN 100e0 WHEN {v} >= 1000 THEN 80e0 WHEN {v} >= 500 THEN 60e0 WHEN {v} >= 200 THEN 40e0 WHEN {v} >= 50 THEN 20e0 ELSE 0e0 END"
+ELEVATION = """CASE WHEN {v} >= 300 THEN 30e0 WHEN {v} >= 200 THEN 60e0 WHEN {v} >= 100 THEN 90e0 WHEN {v} >= 30 THEN 100e0 WHEN {v} >= 20 THEN 70e0
+    WHEN {v} >= 10 THEN 40e0 WHEN {v} >= 0 THEN 10e0 ELSE 0e0 END"""
+ACCESS = "CASE WHEN {v} = 0 THEN 100e0 WHEN {v} > 0 AND {v} < 50 THEN 80e0 WHEN {v} >= 50 AND {v} < 200 THEN 50e0 WHEN {v} >= 200 AND {v} < 500 THEN 20e0 ELSE 0e0 END"
+SOLAR = "CASE WHEN {v} >= 40 THEN 100e0 WHEN {v} >= 25 THEN 80e0 WHEN {v} >= 15 THEN 60e0 WHEN {v} >= 5 THEN 40e0 WHEN {v} >= 0 THEN 20e0 ELSE 0e0 END"
+BUILDABLE = "CASE WHEN {v} >= 30 THEN 100e0 WHEN {v} >= 20 THEN 80e0 WHEN {v} >= 10 THEN 60e0 WHEN {v} >= 5 THEN 30e0 ELSE 0e0 END"
+ACRES = "CASE WHEN {v} >= 50 THEN 100e0 WHEN {v} >= 20 THEN 90e0 WHEN {v} >= 10 THEN 70e0 WHEN {v} >= 5 THEN 40e0 WHEN {v} >= 2 THEN 20e0 WHEN {v} >= 1 THEN 5e0 ELSE 0e0 END"
+
+
+def _score(value: str, table: str) -> str:
+    return f"({table.format(v=value)})"
 
 
 VIEWS |= {
@@ -114,39 +116,60 @@ VIEWS |= {
         WHEN a.len >= 100 AND m.span >= 3 THEN m.span WHEN abs(a.maxz - a.minz) > 0.1 THEN abs(a.maxz - a.minz) ELSE a.len * 0.02e0 END AS head
         FROM pairs p JOIN areas a USING (line_id) LEFT JOIN heads h ON h.cell_id = p.cell_id AND h.line_id = p.line_id LEFT JOIN measures m ON m.cell_id = p.cell_id WHERE a.area >= 0.5""",
     "powers": "SELECT cell_id, max(0.5e0 * 1000e0 * 9.81e0 * (area * 8e0 / 1000e0) * head) AS power FROM final_heads WHERE head >= 3 GROUP BY cell_id",
-    "raw_scores": f"""SELECT c.*, {_score('coalesce(power, 0e0)', t.HYDRO_POWER)} AS score_hydro, CASE WHEN mean IS NULL THEN 50e0 ELSE {_score('mean', t.ELEVATION)} END AS score_elevation,
-        {_score('distance', t.ACCESS_DISTANCE)} AS score_access, {_score('sunny', t.SOLAR_PERCENT)} AS score_solar, {_score('flat', t.BUILDABLE_PERCENT)} AS score_buildable
+    "raw_scores": f"""SELECT c.*, {_score('coalesce(power, 0e0)', HYDRO)} AS score_hydro, CASE WHEN mean IS NULL THEN 50e0 ELSE {_score('mean', ELEVATION)} END AS score_elevation,
+        {_score('distance', ACCESS)} AS score_access, {_score('sunny', SOLAR)} AS score_solar, {_score('flat', BUILDABLE)} AS score_buildable
         FROM open_cells c LEFT JOIN powers USING (cell_id) LEFT JOIN near USING (cell_id) LEFT JOIN measures USING (cell_id)""",
     "scores": "SELECT cell_id, xmin, ymin, xmax, ymax, cx, cy, status, exclusion_reasons, "
     + ", ".join(f"CASE WHEN status = 'eligible' THEN {s} END AS {s}" for s in SCORES)
     + ", CASE WHEN status = 'eligible' THEN "
-    + " + ".join(["0e0", *(f"score_{n} * {w / 100!r}e0" for n, w in t.scaled_weights(t.WEIGHTS, list(t.WEIGHTS)).items())])
+    + "0e0 + score_hydro * 0.45e0 + score_elevation * 0.25e0 + score_access * 0.2e0 + score_solar * 0.05e0 + score_buildable * 0.05e0"
     + " END AS score FROM raw_scores",
     "sure": """SELECT *, CASE WHEN status = 'eligible' THEN lost END AS confidence,
         CASE WHEN status = 'eligible' THEN CASE WHEN lost BETWEEN 80 AND 100 THEN 'high' WHEN lost BETWEEN 55 AND 79 THEN 'medium' ELSE 'low' END END AS confidence_band
         FROM (SELECT *, greatest(0e0, 65e0 - (CASE WHEN score_access < 50 THEN 15e0 ELSE 0e0 END + CASE WHEN score_hydro = 0 THEN 10e0 ELSE 0e0 END)) AS lost,
           concat_ws('; ', CASE WHEN score_access < 50 THEN 'access_unverified' END, CASE WHEN score_hydro = 0 THEN 'hydro_low_confidence' END) AS flags FROM scores)""",
     "ranked": "SELECT *, CASE WHEN status = 'eligible' THEN rank() OVER (PARTITION BY status ORDER BY score DESC)::INTEGER END AS \"rank\" FROM sure",
+    "ways": "SELECT * FROM (VALUES (1, -1, 1), (2, 0, 1), (4, 1, 1), (8, 1, 0), (16, 1, -1), (32, 0, -1), (64, -1, -1), (128, -1, 0)) AS d(code, r, c)",
+    "solid": "SELECT * FROM pixels WHERE z <> -9999",
+    "around": 'SELECT "row", col, z, code, "row" + w.r AS r, col + w.c AS c, sqrt(w.r * w.r + w.c * w.c) AS far FROM solid CROSS JOIN ways w',
+    "pointers": """SELECT p."row", p.col, coalesce(arg_max(code, (drop, -code)), 0)::INTEGER AS pointer FROM solid p LEFT JOIN (
+          SELECT a."row", a.col, a.code, (a.z - b.z) / far AS drop FROM around a JOIN solid b ON b."row" = a.r AND b.col = a.c WHERE a.z > b.z) o ON o."row" = p."row" AND o.col = p.col GROUP BY 1, 2""",
+    "walk(r, c)": """SELECT "row", col FROM pointers UNION ALL
+        SELECT w.r + d.r, w.c + d.c FROM walk w JOIN pointers p ON p."row" = w.r AND p.col = w.c JOIN ways d ON d.code = p.pointer""",
+    "beside": """SELECT a."row", a.col, a.z, count(b.z) < 8 AS outlet FROM around a LEFT JOIN solid b ON b."row" = a.r AND b.col = a.c GROUP BY 1, 2, 3""",
+    "water(r, c, level) USING KEY (r, c)": """SELECT "row", col, z FROM beside WHERE outlet UNION
+        SELECT p."row", p.col, min(greatest(p.z, w.level)) FROM water w JOIN around a ON a.r = w.r AND a.c = w.c JOIN solid p ON p."row" = a."row" AND p.col = a.col
+        LEFT JOIN recurring.water k ON k.r = p."row" AND k.c = p.col WHERE k.level IS NULL OR greatest(p.z, w.level) < k.level GROUP BY 1, 2""",
+    "gaps": """SELECT p.*, e.z AS east, w.z AS west, n.z AS north, s.z AS south FROM solid p LEFT JOIN solid e ON e."row" = p."row" AND e.col = p.col + 1 LEFT JOIN solid w ON w."row" = p."row" AND w.col = p.col - 1
+        LEFT JOIN solid n ON n."row" = p."row" - 1 AND n.col = p.col LEFT JOIN solid s ON s."row" = p."row" + 1 AND s.col = p.col""",
+    "gap_gradients": """SELECT "row", col, coalesce((coalesce(east, z) - coalesce(west, z)) / nullif(50e0 * ((east IS NOT NULL)::INT + (west IS NOT NULL)::INT), 0), 0e0) AS dx,
+        coalesce((coalesce(south, z) - coalesce(north, z)) / nullif(50e0 * ((south IS NOT NULL)::INT + (north IS NOT NULL)::INT), 0), 0e0) AS dy FROM gaps""",
+    "corners": "SELECT cell_id, status, score, \"rank\", unnest([1, 2, 3, 4, 5]) AS i, unnest([xmin, xmax, xmax, xmin, xmin]) + 380000e0 AS east, unnest([ymin, ymin, ymax, ymax, ymin]) + 4900000e0 AS north FROM ranked",
     "long": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value FROM scores WHERE {c} IS NOT NULL" for c in [*SCORES, "score"]),
     "best_cells": """SELECT parcel_id, avg(score) AS cell_score FROM (SELECT parcel_id, score, row_number() OVER (PARTITION BY parcel_id ORDER BY score DESC, cell_id) AS place
         FROM scores s, parcels p WHERE status = 'eligible' AND cx > p.xmin AND cx < p.xmax AND cy > p.ymin AND cy < p.ymax) WHERE place <= 3 GROUP BY parcel_id""",
 }
 
 
-def _series(coefficients, a, b, fa, fb):
-    return "".join(f" - ({c!r}) * {fa}({2 * k} * {a}) * {fb}({2 * k} * {b})" for k, c in enumerate(coefficients, 1))
+# Radius times scale of the zone's meridian, coefficients of the series from northing and of latitude.
+METRES = "6364902.16611274e0"
+BACKWARD = ("0.000837732168164144e0", "5.905869626082731e-08", "1.6734889049883464e-10", "2.1677378055967573e-13")
+DELTA = ("0.0033565514855966932e0", "6.571873148458866e-06", "1.7646564264542834e-08", "5.400482187759887e-11")
+
+
+def _series(a, b, fa, fb):
+    return "".join(f" - {c} * {fa}({2 * k} * {a}) * {fb}({2 * k} * {b})" for k, c in enumerate(BACKWARD, 1))
 
 
 def _geographic(x: str, y: str) -> tuple[str, str]:
-    xi, eta = f"(({y}) / {pj.SCALE * pj.RADIUS!r})", f"((({x}) - 500000e0) / {pj.SCALE * pj.RADIUS!r})"
-    xi1 = f"({xi}{_series(pj.BACKWARD, xi, eta, 'sin', 'cosh')})"
-    eta1 = f"({eta}{_series(pj.BACKWARD, xi, eta, 'cos', 'sinh')})"
+    xi, eta = f"(({y}) / {METRES})", f"((({x}) - 500000e0) / {METRES})"
+    xi1, eta1 = f"({xi}{_series(xi, eta, 'sin', 'cosh')})", f"({eta}{_series(xi, eta, 'cos', 'sinh')})"
     chi = f"asin(sin({xi1}) / cosh({eta1}))"
-    lat = chi + "".join(f" + ({d!r}) * sin({2 * k} * {chi})" for k, d in enumerate(pj.LATITUDE, 1))
+    lat = chi + "".join(f" + {d} * sin({2 * k} * {chi})" for k, d in enumerate(DELTA, 1))
     return f"degrees({lat})", f"(-63e0 + degrees(atan2(sinh({eta1}), cos({xi1}))))"
 
 
-LATITUDE, LONGITUDE = _geographic(f"cx + {EAST!r}", f"cy + {NORTH!r}")
+LATITUDE, LONGITUDE = _geographic("cx + 380000e0", "cy + 4900000e0")
 CLIP = _range("2000e0", "2000e0", "6000e0", "5000e0")
 
 SELECTS = {
@@ -158,29 +181,29 @@ SELECTS = {
     "q_exclusion_centroid": "SELECT * FROM by_centre",
     "q_exclusion_overlap": "SELECT * FROM by_overlap",
     "q_exclusions": "SELECT cell_id, status, exclusion_reasons FROM open_cells",
-    "q_zonal_elevation": f"SELECT cell_id, round(mean, 6) AS mean, n, {_score('mean', t.ELEVATION)} AS score FROM (SELECT floor(x / 250)::BIGINT * 40 + floor(y / 250)::BIGINT AS cell_id, avg(z) AS mean, count(*) AS n FROM samples GROUP BY 1)",
+    "q_zonal_elevation": f"SELECT cell_id, round(mean, 6) AS mean, n, {_score('mean', ELEVATION)} AS score FROM (SELECT floor(x / 250)::BIGINT * 40 + floor(y / 250)::BIGINT AS cell_id, avg(z) AS mean, count(*) AS n FROM samples GROUP BY 1)",
     "q_zonal_range": "SELECT floor(x / 250)::BIGINT * 40 + floor(y / 250)::BIGINT AS cell_id, max(z) - min(z) AS range FROM samples GROUP BY 1",
-    "q_elevation_score": f"SELECT cell_id, CASE WHEN mean IS NULL THEN 50e0 ELSE {_score('mean', t.ELEVATION)} END AS score FROM cells LEFT JOIN measures USING (cell_id)",
+    "q_elevation_score": f"SELECT cell_id, CASE WHEN mean IS NULL THEN 50e0 ELSE {_score('mean', ELEVATION)} END AS score FROM cells LEFT JOIN measures USING (cell_id)",
     "q_slope": 'SELECT "row", col, round(slope, 6) AS slope FROM relief',
     "q_aspect": 'SELECT "row", col, round(aspect, 6) AS aspect FROM relief',
     "q_slope_tiled": 'SELECT "row", col, round(slope, 6) AS slope, round(aspect, 6) AS aspect FROM relief',
     "q_buildable_mask": 'SELECT "row", col, buildable FROM classes',
     "q_solar_class": 'SELECT "row", col, class FROM classes',
-    "q_solar_score": f"SELECT cell_id, {_score('sunny', t.SOLAR_PERCENT)} AS score FROM cells LEFT JOIN measures USING (cell_id)",
-    "q_buildable_score": f"SELECT cell_id, {_score('flat', t.BUILDABLE_PERCENT)} AS score FROM cells LEFT JOIN measures USING (cell_id)",
+    "q_solar_score": f"SELECT cell_id, {_score('sunny', SOLAR)} AS score FROM cells LEFT JOIN measures USING (cell_id)",
+    "q_buildable_score": f"SELECT cell_id, {_score('flat', BUILDABLE)} AS score FROM cells LEFT JOIN measures USING (cell_id)",
     "q_resample": """SELECT r AS "row", c AS col, round(sum(z * (1 - abs(u - q.col)) * (1 - abs(v - q."row"))) / nullif(sum((1 - abs(u - q.col)) * (1 - abs(v - q."row"))), 0), 6) AS z
         FROM (SELECT range // 60 AS r, range % 60 AS c, ((range % 60) * 20 + 2010e0) / 50e0 - 0.5e0 AS u, (10000e0 - (7990e0 - (range // 60) * 20)) / 50e0 - 0.5e0 AS v FROM range(3600)) g
         JOIN pixels q ON q.col IN (floor(u), floor(u) + 1) AND q."row" IN (floor(v), floor(v) + 1) GROUP BY 1, 2""",
     "q_access_roads": f"SELECT cell_id, round(distance, 6) AS distance FROM ({_nearest(ROADS)})",
     "q_access_civic": f"SELECT cell_id, round(distance, 6) AS distance FROM ({_nearest(CIVIC)})",
-    "q_access_score": f"SELECT cell_id, {_score('distance', t.ACCESS_DISTANCE)} AS score FROM cells LEFT JOIN near USING (cell_id)",
+    "q_access_score": f"SELECT cell_id, {_score('distance', ACCESS)} AS score FROM cells LEFT JOIN near USING (cell_id)",
     "q_vehicle_roads": "SELECT line_id, highway FROM roads WHERE highway IS NULL OR highway NOT IN ('footway', 'path', 'steps', 'cycleway', 'proposed', 'construction')",
     "q_flowing_water": "SELECT line_id, feat_code FROM streams",
     "q_drainage_area": "SELECT line_id, round(area, 6) AS area, round(area * 8e0 / 1000e0, 9) AS flow, round(0.5e0 * 1000e0 * 9.81e0 * (area * 8e0 / 1000e0) * 10e0, 6) AS power_at_10m FROM areas",
     "q_stream_cells": "SELECT cell_id, line_id FROM pairs",
     "q_head": "SELECT cell_id, line_id, round(head, 6) AS head FROM heads",
     "q_hydro_power": "SELECT cell_id, round(power, 4) AS power FROM powers",
-    "q_hydro_score": f"SELECT cell_id, {_score('coalesce(power, 0e0)', t.HYDRO_POWER)} AS score FROM cells LEFT JOIN powers USING (cell_id)",
+    "q_hydro_score": f"SELECT cell_id, {_score('coalesce(power, 0e0)', HYDRO)} AS score FROM cells LEFT JOIN powers USING (cell_id)",
     "q_dem_sample": 'SELECT civic_id, z AS elevation FROM civic c LEFT JOIN (SELECT * FROM pixels WHERE z <> -9999) q ON q.col = floor(c.x / 50) AND q."row" = floor((10000 - c.y) / 50)',
     "q_composite": f"SELECT cell_id, status, {', '.join(SCORES)}, round(score, 6) AS score FROM scores",
     "q_disabled_criterion": f"SELECT cell_id, score_elevation, score_access, round(0e0 + score_elevation * {25 / 45 * 100 / 100!r}e0 + score_access * {20 / 45 * 100 / 100!r}e0, 6) AS score FROM scores",
@@ -190,9 +213,9 @@ SELECTS = {
     "q_band_counts": "SELECT b.band, count(s.cell_id) AS n, round(count(s.cell_id) * 100e0 / (SELECT count(confidence_band) FROM sure), 6) AS percent FROM (VALUES ('high'), ('medium'), ('low')) AS b(band) LEFT JOIN sure s ON s.confidence_band = b.band GROUP BY 1",
     "q_rank": 'SELECT cell_id, status, round(score, 6) AS score, "rank", confidence, confidence_band FROM ranked',
     "q_ranked_eligible": "SELECT \"rank\", cell_id, round(score, 6) AS score FROM ranked WHERE status = 'eligible' ORDER BY 1, 2",
-    "q_parcel_size": f"SELECT parcel_id, round((xmax - xmin) * (ymax - ymin) / 4046.86e0, 6) AS area_acres, {_score('((xmax - xmin) * (ymax - ymin) / 4046.86e0)', t.PARCEL_ACRES)} AS size_score FROM parcels",
+    "q_parcel_size": f"SELECT parcel_id, round((xmax - xmin) * (ymax - ymin) / 4046.86e0, 6) AS area_acres, {_score('((xmax - xmin) * (ymax - ymin) / 4046.86e0)', ACRES)} AS size_score FROM parcels",
     "q_parcel_scores": f"""SELECT parcel_id, round(cell_score, 6) AS cell_score, size_score, round(0.8e0 * cell_score + 0.2e0 * size_score, 6) AS score FROM (
-        SELECT parcel_id, cell_score, {_score('((xmax - xmin) * (ymax - ymin) / 4046.86e0)', t.PARCEL_ACRES)} AS size_score FROM parcels LEFT JOIN best_cells USING (parcel_id))""",
+        SELECT parcel_id, cell_score, {_score('((xmax - xmin) * (ymax - ymin) / 4046.86e0)', ACRES)} AS size_score FROM parcels LEFT JOIN best_cells USING (parcel_id))""",
     "q_stats": 'SELECT "column", count(*) AS n, round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 6) AS mean, round(median(value), 6) AS median, '
     + ", ".join(f"round(quantile_cont(value, {p / 100}), 6) AS p{p}" for p in (10, 25, 50, 75, 90))
     + ', count(*) FILTER (value = 100) AS at_100, count(*) FILTER (value = 0) AS at_0, round(count(*) FILTER (value = 100) * 100e0 / count(*), 6) AS at_100_percent, round(count(*) FILTER (value = 0) * 100e0 / count(*), 6) AS at_0_percent FROM long GROUP BY 1',
@@ -212,10 +235,16 @@ SELECTS = {
         FROM (SELECT *, {CLIP[0]} AS t0, {CLIP[1]} AS t1 FROM roads WHERE highway IS NOT NULL AND {CLIP[2]})""",
     "q_linear_reference": """SELECT g AS line_id, seg::INTEGER AS seg, round(coalesce(sum(len) OVER (PARTITION BY g ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0), 6) AS before, round(sum(len) OVER (PARTITION BY g), 6) AS length
         FROM (SELECT line_id // 10 AS g, row_number() OVER (PARTITION BY line_id // 10 ORDER BY line_id) AS seg, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM roads)""",
-    "q_d8_pointer": """SELECT p."row", p.col, coalesce(arg_max(code, (drop, -code)), 0)::INTEGER AS pointer FROM (SELECT * FROM pixels WHERE z <> -9999) p LEFT JOIN (
-          SELECT a."row", a.col, d.code, (a.z - b.z) / sqrt(d.r * d.r + d.c * d.c) AS drop FROM pixels a
-          JOIN (VALUES (1, -1, 1), (2, 0, 1), (4, 1, 1), (8, 1, 0), (16, 1, -1), (32, 0, -1), (64, -1, -1), (128, -1, 0)) AS d(code, r, c) ON true
-          JOIN pixels b ON b."row" = a."row" + d.r AND b.col = a.col + d.c AND b.z <> -9999 AND a.z > b.z) o ON o."row" = p."row" AND o.col = p.col GROUP BY 1, 2""",
+    "q_d8_pointer": 'SELECT "row", col, pointer FROM pointers',
+    "q_flow_accumulation": 'SELECT r AS "row", c AS col, count(*) AS cells FROM walk GROUP BY 1, 2',
+    "q_fill_depressions": 'SELECT r AS "row", c AS col, level AS z FROM water',
+    "q_slope_holes": """SELECT "row", col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) AS slope, round(CASE WHEN abs(dx) < 1e-10 AND abs(dy) < 1e-10 THEN -1e0
+        WHEN degrees(atan2(-dx, dy)) < 0 THEN degrees(atan2(-dx, dy)) + 360 ELSE degrees(atan2(-dx, dy)) + 0e0 END, 6) AS aspect FROM gap_gradients""",
+    "q_check_data": " UNION ALL ".join(f"SELECT '{n}' AS layer, 'ok' AS status, (SELECT string_agg(name, ',' ORDER BY cid) FROM pragma_table_info('{n}')) AS columns, (SELECT count(*) FROM {n}) AS feature_count, NULL::VARCHAR AS error" for n in ("region", "nation", "supplier", "customer"))
+    + " UNION ALL SELECT 'missing_layer', 'MISSING (optional)', NULL, NULL, NULL",
+    "q_export_geojson": f"""SELECT cell_id, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' || string_agg('[' || lon || ',' || lat || ']', ',' ORDER BY i) || ']]}},"properties":{{"cell_id":' || cell_id
+        || ',"status":"' || status || '","score":' || coalesce(score::VARCHAR, 'null') || ',"rank":' || coalesce("rank"::VARCHAR, 'null') || '}}}}' AS feature
+        FROM (SELECT cell_id, status, score, "rank", i, round({_geographic('east', 'north')[1]}, 6) AS lon, round({_geographic('east', 'north')[0]}, 6) AS lat FROM corners) GROUP BY 1, status, score, "rank" """,
     "q_total_bounds": "SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM land",
 }
 
@@ -239,10 +268,11 @@ def _with(select: str) -> str:
     while todo:
         text = todo.pop()
         for name in VIEWS:
-            if name not in needed and _mentions(text, name):
+            if name not in needed and _mentions(text, name.split("(")[0]):
                 needed.add(name)
                 todo.append(VIEWS[name])
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in needed) + f" {select}" if needed else select
+    again = " RECURSIVE" if any("(" in n for n in needed) else ""
+    return f"WITH{again} " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in needed) + f" {select}" if needed else select
 
 
 def _mentions(text: str, name: str) -> bool:

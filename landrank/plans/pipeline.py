@@ -14,8 +14,6 @@ from ..sources.config import Config
 from . import export
 
 log = logging.getLogger("landrank")
-#: Rasters up to this many pixels a side take the windowed slope, larger ones the tiled.
-WINDOWED_SIDE = 4096
 
 
 def prepare(spark: SparkSession, config: Config, accumulate: bool = True) -> DataFrame:
@@ -25,12 +23,7 @@ def prepare(spark: SparkSession, config: Config, accumulate: bool = True) -> Dat
     dem, head = ingest.load(spark, config, "dem"), ingest.dem_header(config)
     if dem is not None and head is not None:
         if not ingest.stored_path(config, "terrain").exists():
-            side = max(config.bbox[2] - config.bbox[0], config.bbox[3] - config.bbox[1]) / head["resolution"]
-            derive = terrain.slope_aspect if side <= WINDOWED_SIDE else terrain.tiled_slope_aspect
-            found = derive(dem, head["resolution"])
-            if "x" not in found.columns:
-                found = dem.join(found.select("row", "col", "slope", "aspect"), ["row", "col"])
-            found.write.parquet(str(ingest.stored_path(config, "terrain")))
+            terrain.tiled_slope_aspect(dem, head["resolution"]).write.parquet(str(ingest.stored_path(config, "terrain")))
         if accumulate and not ingest.stored_path(config, "flow_accumulation").exists():
             flow.accumulation(flow.pointers(flow.fill_depressions(dem))).write.parquet(str(ingest.stored_path(config, "flow_accumulation")))
     else:
@@ -62,12 +55,16 @@ def context(spark: SparkSession, config: Config) -> scorers.Context:
 
 
 def scored(spark: SparkSession, config: Config, cells: DataFrame) -> DataFrame:
-    """Exclusions, scores, confidence, rank."""
+    """Exclusions, scores, confidence, rank; what the log says of them is counted as the cells pass."""
     load = lambda name: ingest.load(spark, config, name)
     zones = exclusions.load(spark, load("protected_areas"), load("flood"), config.bbox)
     found = exclusions.apply(cells, zones, config.overlap_threshold)
     found = scorers.composite(found, context(spark, config), config.weights, config.enabled, cells)
-    return ranking.ranked(ranking.confidence(found, data_flags(config), config.deductions))
+    found, seen = scorers.observed(ranking.confidence(found, data_flags(config), config.deductions), config.enabled)
+    out = ranking.ranked(found)  # stores the cells, so all are counted
+    for line in scorers.told(seen.get):
+        log.info(line)
+    return out
 
 
 def score(spark: SparkSession, config: Config) -> DataFrame | None:

@@ -94,6 +94,11 @@ def q_slope_tiled(spark, sf_dir):
     return terrain.tiled_slope_aspect(v.pixels(spark), v.RESOLUTION, 64).select("row", "col", _r("slope"), _r("aspect"))
 
 
+@query
+def q_slope_holes(spark, sf_dir):
+    return terrain.tiled_slope_aspect(_small(spark), v.RESOLUTION, 64).select("row", "col", _r("slope"), _r("aspect"))
+
+
 @query
 def q_buildable_mask(spark, sf_dir):
     return v.relief(spark).select("row", "col", terrain.buildable(F.col("slope")).alias("buildable"))
@@ -289,7 +294,7 @@ def q_export_geojson(spark, sf_dir):
     from ..sources import geojson
 
     shifted = _ranked(spark, sf_dir).withColumns({n: F.col(n) + EAST for n in ("xmin", "xmax")}).withColumns({n: F.col(n) + NORTH for n in ("ymin", "ymax")})
-    return geojson.features(shifted, geojson.rectangle_ring, ["cell_id", "status", "score", "rank"], 2961)
+    return geojson.features(shifted, geojson.rectangle_ring, ["cell_id", "status", "score", "rank"], 2961, 6)
 
 
 @query
@@ -352,7 +357,7 @@ def q_d8_pointer(spark, sf_dir):
 
 @query
 def q_fill_depressions(spark, sf_dir):
-    return flow.fill_depressions(_small(spark), 64)
+    return flow.fill_depressions(_small(spark), 64).select("row", "col", "z")
 
 
 @query

@@ -46,9 +46,10 @@ CODES = ["WARV50", "WARV59", "WACO25", "WALK40", "WATO30", "WARVIS", "WARV50", N
 
 
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("line_id")).where("line_id % 25 = 0")
-    rows = keys.withColumn("k", F.expr("line_id div 25"))
-    rows = rows.withColumns({"x1": _d("(line_id * 811) % 10000", "x1"), "y1": _d("(line_id * 3163) % 10000", "y1")})
+    """Streams of all orders, over 40 km x 40 km with the study area in the middle, as a province's layer would be."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("line_id"))
+    rows = keys.withColumn("k", F.col("line_id"))
+    rows = rows.withColumns({"x1": _d("(line_id * 811) % 40000 - 15000", "x1"), "y1": _d("(line_id * 3163) % 40000 - 15000", "y1")})
     rows = rows.withColumns({"x2": F.expr("x1 + (k % 9 - 4) * 120.0D"), "y2": F.expr("y1 + (k % 7 - 3) * 160.0D")})
     rows = rows.withColumns(
         {
@@ -87,8 +88,8 @@ def pixels(spark: SparkSession, side: int = PIXELS) -> DataFrame:
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("parcel_id")).where("parcel_id % 20 = 0")
-    rows = keys.withColumn("k", F.expr("parcel_id div 20")).withColumns({"xmin": _d("(k * 433) % 9000", "xmin"), "ymin": _d("(k * 719) % 9000", "ymin")})
+    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("parcel_id"))
+    rows = keys.withColumn("k", F.col("parcel_id")).withColumns({"xmin": _d("(k * 433) % 9000", "xmin"), "ymin": _d("(k * 719) % 9000", "ymin")})
     rows = rows.withColumns({"xmax": F.expr("xmin + (k * 37) % 1301 + 20.0D"), "ymax": F.expr("ymin + (k * 53) % 1301 + 20.0D")})
     return grid.polygons_of_rectangles(rows.drop("k"))
 

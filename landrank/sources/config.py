@@ -42,7 +42,7 @@ def load(path: str | Path = "config.yaml") -> Config:
 
     path = Path(path)
     if not path.exists():
-        raise FileNotFoundError(f"Config file not found: {path}")
+        raise FileNotFoundError(f"there is no configuration at {path}")
     raw = yaml.safe_load(path.read_text(encoding="utf-8")) or {}
     area, folders = raw.get("study_area") or {}, raw.get("paths") or {}
     out = Config(bbox=tuple(area.get("bbox", DEFAULT_BBOX)), name=area.get("name", DEFAULT_NAME))
@@ -54,5 +54,5 @@ def load(path: str | Path = "config.yaml") -> Config:
     for name in ("raw", "processed", "output"):
         setattr(out, name, Path(folders.get(name, getattr(out, name))))
     if unweighted := [n for n in out.enabled if n not in out.weights]:
-        raise ValueError(f"Enabled criterion '{unweighted[0]}' has no weight defined")
+        raise ValueError(f"criteria without a weight: {', '.join(unweighted)}")
     return out

@@ -22,15 +22,15 @@ log = logging.getLogger("landrank")
 
 # Layer -> folder, kind, endings, required, description.
 EXPECTED = {
-    "dem": ("dem", "raster", [".tif", ".tiff"], True, "NS Enhanced DEM (20m)"),
-    "streams": ("hydro", "vector", [".shp", ".gpkg", ".geojson"], True, "NSHN stream network"),
-    "land_cover": ("land-cover", "vector", [".shp", ".gpkg", ".geojson"], True, "NSTDB land cover"),
-    "roads": ("roads", "vector", [".shp", ".gpkg", ".geojson", ".pbf"], True, "Road network (OSM or NSTDB)"),
-    "protected_areas": ("exclusions", "vector", [".shp", ".gpkg", ".geojson"], True, "Protected areas"),
-    "buildings": ("buildings", "vector", [".shp", ".gpkg", ".geojson"], False, "Building footprints"),
-    "flood": ("exclusions", "vector", [".shp", ".gpkg", ".geojson"], False, "Flood/coastal risk"),
-    "parcels": ("parcels", "vector", [".shp", ".gpkg", ".gdb"], False, "Property parcels (Stage B)"),
-    "civic": ("civic", "vector", [".shp", ".gpkg", ".geojson"], False, "Civic address points"),
+    "dem": ("dem", "raster", [".tif", ".tiff"], True, "height model"),
+    "streams": ("hydro", "vector", [".shp", ".gpkg", ".geojson"], True, "streams"),
+    "land_cover": ("land-cover", "vector", [".shp", ".gpkg", ".geojson"], True, "land cover"),
+    "roads": ("roads", "vector", [".shp", ".gpkg", ".geojson", ".pbf"], True, "roads"),
+    "protected_areas": ("exclusions", "vector", [".shp", ".gpkg", ".geojson"], True, "protected ground"),
+    "buildings": ("buildings", "vector", [".shp", ".gpkg", ".geojson"], False, "buildings"),
+    "flood": ("exclusions", "vector", [".shp", ".gpkg", ".geojson"], False, "flood zones"),
+    "parcels": ("parcels", "vector", [".shp", ".gpkg", ".gdb"], False, "parcels"),
+    "civic": ("civic", "vector", [".shp", ".gpkg", ".geojson"], False, "addresses"),
 }
 METRES_PER_DEGREE = 111195.0
 
@@ -131,7 +131,7 @@ def roads(spark: SparkSession, config: Config) -> Path | None:
 
 def buildings(spark: SparkSession, config: Config) -> Path | None:
     files = _found(config.raw / "buildings", "*.gpkg", "*.shp", deep=True)
-    return _layer(spark, config, "buildings", files, lambda rows: spatial.in_box(rows, config.bbox))
+    return _layer(spark, config, "buildings", files, lambda rows: spatial.polygons_in_box(rows, config.bbox))
 
 
 def land_cover(spark: SparkSession, config: Config) -> Path | None:

@@ -34,8 +34,12 @@ def _row(values: list, shape: dict) -> tuple:
 
 
 class File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, number: int):
+        self.path, self.number = path, number
+
+
+#: Ids count within a file; the number of the file in its folder stands above these bits.
+ID_BITS = 40
 
 
 class _Reader(DataSourceReader):
@@ -43,10 +47,12 @@ class _Reader(DataSourceReader):
         self.files, self.rows, self.options = files, rows, options
 
     def partitions(self):
-        return [File(f) for f in self.files]
+        return [File(f, i) for i, f in enumerate(self.files)]
 
     def read(self, partition):
-        yield from self.rows(partition.path, self.options)
+        first = partition.number << ID_BITS
+        for i, *values in self.rows(partition.path, self.options):
+            yield (first + i, *values)
 
 
 class GeoPackage(DataSource):
@@ -93,6 +99,39 @@ def gpkg_rows(path: str, options: dict):
             yield _row([i, *(None if v is None else c(v) for v, c in zip(values, casts, strict=True))], gpkg_geometry(blob))
 
 
+def rings_of(edges) -> list[list[tuple[float, float]]]:
+    """Closed rings of edges that run ring by ring."""
+    rings: list = []
+    for e in edges:
+        start, end = (e["x1"], e["y1"]), (e["x2"], e["y2"])
+        if start == end:
+            continue
+        if not rings or len(rings[-1]) > 1 and rings[-1][0] == rings[-1][-1] or rings[-1][-1] != start:
+            rings.append([start])
+        rings[-1].append(end)
+    return [r if r[0] == r[-1] else [*r, r[0]] for r in rings]
+
+
+def _holds(ring: list[tuple[float, float]], x: float, y: float) -> bool:
+    inside = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            inside = not inside
+    return inside
+
+
+def polygons_of(rings: list[list[tuple[float, float]]]) -> list[list[list[tuple[float, float]]]]:
+    """Rings as polygons: a ring that begins within the outer ring of one before is a hole of it."""
+    out: list = []
+    for ring in rings:
+        home = next((p for p in out if _holds(p[0], *ring[0])), None)
+        if home is None:
+            out.append([ring])
+        else:
+            home.append(ring)
+    return out
+
+
 def write_gpkg(rows: DataFrame, path: str, layer: str, geometry: str = "edges", srs: int = 2961) -> None:
     """One GeoPackage file from rows with rings or rectangles; rows stream to the driver, which writes them."""
     columns = [(n, k) for n, k in rows.dtypes if k in ("bigint", "int", "double", "string", "boolean")]
@@ -105,15 +144,16 @@ def write_gpkg(rows: DataFrame, path: str, layer: str, geometry: str = "edges",
         db.execute("CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT, identifier TEXT, description TEXT, last_change TEXT, min_x REAL, min_y REAL, max_x REAL, max_y REAL, srs_id INTEGER)")
         db.execute("INSERT INTO gpkg_contents (table_name, data_type, identifier, srs_id) VALUES (?, 'features', ?, ?)", (layer, layer, srs))
         db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, geometry_type_name TEXT, srs_id INTEGER, z INTEGER, m INTEGER)")
-        db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geometry', 'POLYGON', ?, 0, 0)", (layer, srs))
+        db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geometry', 'MULTIPOLYGON', ?, 0, 0)", (layer, srs))
         db.execute(f'CREATE TABLE "{layer}" (fid INTEGER PRIMARY KEY, geometry BLOB{"".join(f", {chr(34)}{n}{chr(34)} {kinds[k]}" for n, k in columns)})')
         head = b"GP\x00\x01" + struct.pack("<i", srs)
         for row in rows.toLocalIterator():
             if geometry in rows.columns:
-                ring = [(e["x1"], e["y1"]) for e in row[geometry]]
+                rings = rings_of(row[geometry] or [])
             else:
-                ring = [(row["xmin"], row["ymin"]), (row["xmax"], row["ymin"]), (row["xmax"], row["ymax"]), (row["xmin"], row["ymax"])]
-            blob = head + wkb.polygon([[*ring, ring[0]]])
+                left, low, right, top = (row[n] for n in ("xmin", "ymin", "xmax", "ymax"))
+                rings = [[(left, low), (right, low), (right, top), (left, top), (left, low)]]
+            blob = head + wkb.polygons(polygons_of(rings))
             db.execute(f'INSERT INTO "{layer}" VALUES (NULL{", ?" * (len(columns) + 1)})', (blob, *(row[n] for n, _ in columns)))
 
 

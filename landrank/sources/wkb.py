@@ -75,6 +75,11 @@ def polygon(rings: list[list[tuple[float, float]]]) -> bytes:
     return out
 
 
+def polygons(parts: list[list[list[tuple[float, float]]]]) -> bytes:
+    """A multipolygon: polygons of rings."""
+    return struct.pack("<BII", 1, MULTIPOLYGON, len(parts)) + b"".join(map(polygon, parts))
+
+
 def line(points: list[tuple[float, float]]) -> bytes:
     return struct.pack("<BII", 1, LINE, len(points)) + b"".join(struct.pack("<2d", *p) for p in points)
 

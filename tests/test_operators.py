@@ -238,3 +238,63 @@ def test_fill_is_brute_force(spark):
         level = new
     rows = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(13) for j in range(17)], "row long, col long, z double")
     assert {(p["row"], p["col"]): p["z"] for p in flow.fill_depressions(rows, 5).collect()} == {(i, j): level[i, j] for i in range(13) for j in range(17)}
+
+
+def test_flow_passes_flat_ground(spark):
+    """Of a filled raster every pixel drains to an outlet, and no water is lost."""
+    import numpy as np
+
+    from landrank.operators import flow
+
+    r = np.random.default_rng(3)
+    z = r.integers(0, 4, (14, 17)).astype(float)
+    z[4:9, 5:12] = -3  # a hollow wider than a tile, which fills to a flat
+    z[11, 3] = np.nan
+    rows = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(14) for j in range(17) if not np.isnan(z[i, j])], "row long, col long, z double")
+    filled = flow.fill_depressions(rows, 5)
+    to = {(p["row"], p["col"]): p["pointer"] for p in flow.pointers(filled).collect()}
+    level = {(p["row"], p["col"]): p["z"] for p in filled.collect()}
+    ends = set()
+    for at in to:
+        seen = [at]
+        while to[at]:
+            before, (a, b) = at, flow.POINTERS[to[at]]
+            at = (at[0] + a, at[1] + b)
+            assert at not in seen and level[at] <= level[before]
+            seen.append(at)
+        ends.add(at)
+    outlets = {(i, j) for i, j in to if sum((i + a, j + b) in to for a, b in flow.POINTERS.values()) < 8}
+    assert ends <= outlets
+    cells = {(p["row"], p["col"]): p["cells"] for p in flow.accumulation(flow.pointers(filled)).collect()}
+    assert sum(cells[e] for e in ends) == len(to)
+
+
+def test_slopes_beside_holes_have_one_rule(spark):
+    """A plane with a hole has the plane's slope throughout, by windows and by tiles."""
+    from landrank.operators import terrain
+
+    rows = spark.range(400).selectExpr("id div 20 row", "id % 20 col", "cast((id div 20) * 10 + (id % 20) * 10 as double) z").where("not (row = 7 and col between 4 and 6) and not (row = 0 and col = 0)")
+    a = {(r["row"], r["col"]): (r["slope"], r["aspect"]) for r in terrain.slope_aspect(rows, 10).collect()}
+    b = {(r["row"], r["col"]): (r["slope"], r["aspect"]) for r in terrain.tiled_slope_aspect(rows, 10, 6).collect()}
+    assert set(a) == set(b) and all(x == pytest.approx(b[k], abs=1e-9) for k, x in a.items())
+    plane = a[(15, 15)]
+    assert sum(x == pytest.approx(plane, abs=1e-9) for x in a.values()) == len(a)
+
+
+def test_ranks_of_continuous_scores(spark):
+    from landrank.operators import ranking
+
+    rows = [(i, "excluded" if i % 11 == 0 else "eligible", None if i % 7 == 0 else float(i * 7919 % 1000) / 3 + i % 5) for i in range(900)]
+    got = {r["cell_id"]: r["rank"] for r in ranking.ranked(spark.createDataFrame(rows, "cell_id long, status string, score double")).collect()}
+    scores = [s for _, st, s in rows if st == "eligible" and s is not None]
+    for i, status, s in rows:
+        assert got[i] == (None if status == "excluded" or s is None else 1 + sum(x > s for x in scores))
+
+
+def test_what_the_log_says(spark):
+    from landrank.operators import scorers
+
+    rows = [(0, "eligible", 10.0, 40.0, "low"), (1, "eligible", 30.0, 60.0, "high"), (2, "excluded", None, None, None)]
+    cells, seen = scorers.observed(spark.createDataFrame(rows, "cell_id long, status string, score_solar double, score double, confidence_band string"), ["solar"])
+    assert cells.count() == 3
+    assert scorers.told(seen.get) == ["1 of 3 cells excluded", "score_solar: mean 20.0, median 10.0", "score: mean 50.0, median 40.0", "confidence: 1 high, 0 medium, 1 low"]

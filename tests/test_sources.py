@@ -214,3 +214,27 @@ def test_dem_in_degrees_is_turned(spark, tmp_path):
     head = ingest.dem_header(config)
     assert len(rows) == int(-(-1000 // head["resolution"])) ** 2 and min(r["row"] for r in rows) == 0
     assert all(r["z"] == pytest.approx(100 + 1000 * (r["lon"] + 64.5) + 500 * (r["lat"] - 44.2), abs=1e-6) for r in rows)
+
+
+def test_rings_with_holes_are_written_apart(spark, tmp_path):
+    from landrank.sources import vector
+
+    square = lambda x, y, n: [(x, y), (x + n, y), (x + n, y + n), (x, y + n), (x, y)]
+    rings = [square(0.0, 0.0, 100), square(20.0, 20.0, 10), square(300.0, 0.0, 50)]
+    edges = [(*a, *b) for ring in rings for a, b in zip(ring, ring[1:])]
+    rows = spark.createDataFrame([(1, edges)], "cell_id long, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    vector.write_gpkg(rows, str(tmp_path / "a.gpkg"), "cells")
+    got = vector.read(spark, str(tmp_path / "a.gpkg")).first()
+    assert [[[(p["x"], p["y"]) for p in r] for r in polygon] for polygon in got["geom"]] == [rings[:2], rings[2:]]
+    assert [[tuple(p) for p in r] for r in vector.rings_of(got["edges"])] == rings
+
+
+def test_ids_of_a_folder_of_files_do_not_clash(spark, tmp_path):
+    from landrank.sources import vector
+
+    for name in "ab":
+        rows = spark.createDataFrame([(i, 0.0, 0.0, 1.0, 1.0) for i in range(3)], "cell_id long, xmin double, ymin double, xmax double, ymax double")
+        vector.write_gpkg(rows, str(tmp_path / f"{name}.gpkg"), "cells")
+    spark.dataSource.register(vector.GeoPackage)
+    ids = [r["feature_id"] for r in spark.read.format("geopackage").load(str(tmp_path)).collect()]
+    assert len(set(ids)) == 6 and sorted(ids)[:3] == [0, 1, 2]
