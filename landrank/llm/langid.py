@@ -10,8 +10,9 @@ row's own share is taken out of its priors.  Posterior = text likelihood x P(dec
 
 Cases.  Null or empty text or page: likelihoods equal, the other evidence decides.  No declaration, or one of a language
 without a model: that of "other", resp. none.  Null url or host: a group of its own.  Ties: the language that sorts first.
-Rows repeated: each its result.  Empty table: empty result.  No labelled document at all: language null.  Very long pages:
-whole; script, style and comments are not text.  Extra columns: not read.
+Rows repeated: each its result.  Empty table: empty result.  No labelled document at all: language null.  Over
+``LANGUAGES`` languages in the sample: an error.  Very long pages: whole, in one pass even where tags do not close; script,
+style and comments are not text.  Extra columns: not read.
 """
 
 from __future__ import annotations
@@ -32,8 +33,57 @@ EXAMPLES, SLOTS, LANGUAGES = 4000, 1 << 15, 200
 INDEPENDENT = 3.0
 #: Rows that a suffix borrows from the corpus, and a host from its suffix.
 SUFFIX_ROWS, HOST_ROWS = 20.0, 10.0
-HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+OPENED = re.compile(r"(script|style)\b", re.I)
+CLOSED = {n: re.compile(rf"</{n}\s*+>", re.I) for n in ("script", "style")}
+HTML = re.compile(r"<html\b", re.I)
+LANG = re.compile(r"\blang\s*+=\s*+(?:[\"']\s*+)?([A-Za-z]+)", re.I)
+
+
+def visible(html: str) -> str:
+    """The text of a page: without tags, comments, and the content of script and style; a ``<`` that nothing closes is text.
+
+    One pass: what is not found from one place on is not looked for again.
+    """
+    out, at, gone = [], 0, set()
+
+    def end_of(kind: str, start: int) -> int:
+        if kind in gone:
+            return -1
+        if kind in CLOSED:
+            found = CLOSED[kind].search(html, start)
+            end = found.end() if found else -1
+        else:
+            end = html.find(kind, start)
+            end = end + len(kind) if end >= 0 else -1
+        if end < 0:
+            gone.add(kind)
+        return end
+
+    while (start := html.find("<", at)) >= 0:
+        out.append(html[at:start])
+        opened = OPENED.match(html, start + 1)
+        end = end_of(opened[1].lower(), opened.end()) if opened else -1
+        if end < 0 and html.startswith("<!--", start):
+            end = end_of("-->", start + 4)
+        if end < 0:
+            end = end_of(">", start + 1)
+        out.append(" " if end >= 0 else "<")
+        at = end if end >= 0 else start + 1
+    out.append(html[at:])
+    return "".join(out)
+
+
+def declared_language(html: str) -> str | None:
+    """What the first ``<html`` tag that has a ``lang`` says, lower-cased; no character is looked at twice."""
+    at = 0
+    while tag := HTML.search(html, at):
+        at = html.find(">", tag.end())
+        end = at if at >= 0 else len(html)
+        if said := LANG.search(html, tag.end(), end):
+            return said[1].lower()
+        if at < 0:
+            return None
+    return None
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -83,9 +133,8 @@ def _evidence(model: tuple[list[str], np.ndarray], page: bool):
             for i, value in enumerate(batch.column(1)):
                 text = value.as_py() or ""
                 if page:
-                    said = DECLARED.search(text)
-                    declared.append(said[1].lower() if said else None)
-                    text = HIDDEN.sub(" ", text)
+                    declared.append(declared_language(text))
+                    text = visible(text)
                 at = trigrams(text)
                 if len(at):
                     for start in range(0, len(at), 1 << 16):

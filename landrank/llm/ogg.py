@@ -94,11 +94,15 @@ class Stream:
     ends: list[int | None] = field(default_factory=list)  # granule position where a page tells it of its last packet
     pages: int = 0
     lost: int = 0
+    late: int = 0
     ended: bool = False
     _part: bytearray | None = None
     _next: int = 0
 
     def take(self, flags: int, granule: int, number: int, lacing: bytes, body: bytes) -> None:
+        if number < self._next:
+            self.late += 1
+            return
         if number != self._next:
             self.lost += number - self._next
             self._part = None
@@ -123,8 +127,12 @@ class Stream:
 
 
 def read(data: bytes) -> tuple[dict[int, Stream], int]:
-    """Logical streams by serial number, and the number of damaged pages, which are skipped."""
+    """Logical streams by serial number, and the number of damaged pages, which are skipped.
+
+    Later streams of one serial number, in chained files, have 2 ** 32 more each in the key.
+    """
     streams: dict[int, Stream] = {}
+    now: dict[int, int] = {}  # serial number -> key of its stream at this place
     bad, at = 0, data.find(CAPTURE)
     while 0 <= at <= len(data) - HEADER.size:
         _, version, flags, granule, serial, number, crc, count = HEADER.unpack_from(data, at)
@@ -137,7 +145,10 @@ def read(data: bytes) -> tuple[dict[int, Stream], int]:
             bad += 1
             at = data.find(CAPTURE, at + 4)
             continue
-        streams.setdefault(serial, Stream(serial)).take(flags, granule, number, lacing, data[start:end])
+        key = now.setdefault(serial, serial)
+        if key in streams and streams[key].ended and flags & FIRST:
+            key = now[serial] = key + (1 << 32)
+        streams.setdefault(key, Stream(serial)).take(flags, granule, number, lacing, data[start:end])
         at = end if data.startswith(CAPTURE, end) else data.find(CAPTURE, end)
     return streams, bad
 
@@ -228,15 +239,15 @@ def logical_streams(files: DataFrame) -> DataFrame:
                 streams, bad = read(data.as_py() or b"")
                 for s in streams.values():
                     known = [e for e in s.ends if e is not None]
-                    rows.append((doc, s.serial, s.pages, len(s.packets), sum(map(len, s.packets)), max(known, default=None), s.lost, s.ended, bad))
-            cols = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = [*[pa.int64()] * 7, pa.bool_(), pa.int64()]
+                    rows.append((doc, s.serial, s.pages, len(s.packets), sum(map(len, s.packets)), max(known, default=None), s.lost, s.late, s.ended, bad))
+            cols = list(zip(*rows, strict=True)) or [()] * 10
+            kinds = [*[pa.int64()] * 8, pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                names=["doc_id", "serial", "pages", "packets", "bytes", "granule", "lost_pages", "ended", "bad_pages"],
+                names=["doc_id", "serial", "pages", "packets", "bytes", "granule", "lost_pages", "late_pages", "ended", "bad_pages"],
             )
 
     return arrow_pass(
         files.select("doc_id", "media"), run,
-        "doc_id long, serial long, pages long, packets long, bytes long, granule long, lost_pages long, ended boolean, bad_pages long",
+        "doc_id long, serial long, pages long, packets long, bytes long, granule long, lost_pages long, late_pages long, ended boolean, bad_pages long",
     )

@@ -3,7 +3,7 @@
 Heuristic labellers vote good, bad or nothing on each text, from measures taken over the whole text.  Their accuracies are
 not known; expectation-maximisation over all documents finds them (class-conditional vote rates and the share of good
 texts).  Votes of all labellers together take one of 3 ** labellers values, so the corpus goes into EM as that many counts
-at most.  The posteriors label a bounded sample (``EXAMPLES`` rows, by smallest hash) on which a linear scorer over hashed
+at most.  The posteriors label a bounded sample (rows by smallest hash, ``EXAMPLES`` of them or ``PAIRS`` features in all) on which a linear scorer over hashed
 words and word shapes is fitted; it scores every whole text.
 
 Cases.  Null or empty text: no measures, all labellers but the length one abstain; it is scored like any other.  Very long
@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, id_and_text, texts_of
+from .common import arrow_pass, id_and_text, stored, texts_of
 
-EXAMPLES, DIMENSIONS, ROUNDS, WORDS_KEPT = 4000, 1 << 14, 200, 200_000
+EXAMPLES, PAIRS, DIMENSIONS, ROUNDS, WORDS_KEPT = 4000, 4_000_000, 1 << 14, 200, 200_000
 LETTERS = re.compile(rb"[A-Za-z\x80-\xff]")
 #: Bytes that are letters (UTF-8 tails count as such), capitals, sentence punctuation, digits.
 NOT_LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128))
@@ -109,7 +109,7 @@ def fit_labels(patterns: list[list[int]], counts: list[int]) -> tuple[np.ndarray
 def shape(word: bytes) -> bytes:
     """Kinds of characters, runs as one: what a word looks like whatever its language."""
     out = bytearray()
-    for b in word[:64]:
+    for b in word:
         k = 65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b
         if not out or out[-1] != k:
             out.append(k)
@@ -172,20 +172,25 @@ def scored(docs: DataFrame) -> DataFrame:
         known: dict = {}
         for batch in batches:
             out = [(int(np.dot(votes(measures(t)), base)), *features(t, known)) for t in texts_of(batch, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64()))],
-                names=["votes", "at", "x"],
-            )
+            packed = [pa.array([o[k].astype(kind).tobytes() for o in out], pa.binary()) for k, kind in ((1, np.int32), (2, np.float64))]
+            counts = [pa.array([o[0] for o in out], pa.int32()), pa.array([len(o[1]) for o in out], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(2), *counts, *packed], names=["h", "votes", "n", "at", "x"])
 
     # picked by hash alone, so that no other text moves
     picked = rows.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(EXAMPLES)
     last = picked.agg(F.max("h")).first()[0]
-    sample = rows.where(F.xxhash64("text") <= F.lit(last)).dropDuplicates(["text"])
-    taken = arrow_pass(sample, sampled, "votes int, at array<long>, x array<double>").collect() if last is not None else []
-    taken.sort(key=lambda r: (r["votes"], r["at"], r["x"]))
-    weights, bias = fit_scorer(
-        [(np.array(r["at"], np.int64), np.array(r["x"])) for r in taken], np.array([posterior[r["votes"]] for r in taken])
-    )
+    taken = []
+    if last is not None:
+        sample = rows.withColumn("h", F.xxhash64("text")).where(F.col("h") <= F.lit(last)).dropDuplicates(["text"])
+        sample = stored(arrow_pass(sample, sampled, "h long, votes int, n int, at binary, x binary"), "quality-sample")
+        total = 0  # packed, so PAIRS bounds what comes to the driver
+        for r in sample.select("h", "n").orderBy("h").collect():
+            total += r["n"]
+            if total > PAIRS:
+                sample = sample.where(F.col("h") < F.lit(r["h"]))
+                break
+        taken = sorted(((r["votes"], np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float64)) for r in sample.collect()), key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    weights, bias = fit_scorer([(at, x) for _, at, x in taken], np.array([posterior[v] for v, _, _ in taken]))
 
     def score(batches):
         known: dict = {}

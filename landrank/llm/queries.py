@@ -9,8 +9,9 @@ from . import bpe, exact_dedup, langid, mixing, ogg, quality, simhash, token_cou
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: The list that the URL filter is given: domains of gambling and pill spam.
-LISTED_DOMAINS = ["casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com"]
+#: The list that the URL filter is given: domains of spam, and as many others as make a list of usual length.
+SPAM = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED_DOMAINS = [f"{n}.example.{end}" for n in SPAM for end in ("com", "net", "org")] + [f"blocked{i}.example.org" for i in range(20_000)]
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,7 @@ ORACLE = {
               WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
               WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
               WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-            regexp_matches(host, '(^|\\.)(casino-win|cheap-pills|free-bets)\\.example\\.com$') AS listed FROM split
+            regexp_matches(host, '(^|\\.)((adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\\.example\\.(com|net|org)|blocked(0|[1-9][0-9]{0,3}|1[0-9]{4})\\.example\\.org)$') AS listed FROM split
         )
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'

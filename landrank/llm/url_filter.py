@@ -3,13 +3,15 @@
 Rules decide first, the longest that fits.  For all other urls the listed domains decide: a url is blocked if its host or
 a parent domain of it is listed.  Membership is exact without a join: level 0 is a Bloom filter of the listed keys, level
 1 one of the corpus's other keys that level 0 lets through, level 2 of the listed keys that level 1 lets through, and so
-on until none is let through.  The levels are built over the complete key universe (all hosts and parent domains of the
-corpus, and the listed keys) by aggregation into bitmap pieces; only bitmaps, whose total ``CASCADE_BYTES`` bounds, come
-to the driver and go out to the tasks.
+on until none is let through.  The levels are built over the complete key universe (of all hosts of the corpus the ends
+of as many labels as some listed key has, since no other can be listed, and the listed keys) by aggregation into bitmap
+pieces; only bitmaps, whose total ``CASCADE_BYTES`` bounds, come to the driver and go out to the tasks.
 
 Cases.  Null url or one without ``://``: host and path empty, no rule, not listed.  Host with port or user part: taken as
 it is.  Empty labels and a final dot stay.  Rows repeated: each gets its verdict.  Empty table: empty result.  Very long
-urls: whole.  Listed keys that repeat or are empty: count once, or are dropped.  Extra columns are not read.
+urls and hosts: whole, at a cost in proportion to their length.  Listed keys that repeat or are empty: count once, or are
+dropped; of more than ``LABELS`` labels, which no domain has: an error, as are bitmaps beyond ``CASCADE_BYTES`` and two
+keys that no level can tell apart (of equal 64-bit hash, one listed).  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 RATE, CASCADE_BYTES, PIECE = 0.05, 128 << 20, 32768
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOSTS_KEPT = 200_000
+#: Labels of a listed key, and levels, at most.
+LABELS, LEVELS = 127, 200
 
 
 def host_and_path(url) -> tuple[F.Column, F.Column]:
@@ -51,10 +55,20 @@ def rule_of(host, path, rules=RULES) -> tuple[F.Column, F.Column]:
     return text, verdict
 
 
-def domains(host: str) -> list[str]:
-    """A host and its parent domains."""
-    labels = host.split(".")
-    return [".".join(labels[i:]) for i in range(len(labels))]
+def depth_of(listed: list[str]) -> int:
+    """The most labels of a listed key."""
+    depth = max((k.count(".") + 1 for k in listed), default=1)
+    if depth > LABELS:
+        raise ValueError(f"a listed key has over {LABELS} labels")
+    return depth
+
+
+def domains(host: str, depth: int) -> list[str]:
+    """The ends of a host of up to ``depth`` labels: parent domains, and itself if it has no more."""
+    parts = host.rsplit(".", depth)
+    if len(parts) > depth:
+        parts = parts[1:]
+    return [".".join(parts[i:]) for i in range(len(parts))]
 
 
 class Cascade:
@@ -96,9 +110,9 @@ def _let_through(cascade: Cascade):
 
 
 def universe(hosts: DataFrame, listed: list[str]) -> DataFrame:
-    """key, listed: distinct hosts, their parent domains, and the listed keys. Hosts are first made distinct."""
-    labels = F.split("host", r"\.")
-    every = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    """key, listed: the ends of distinct hosts, of as many labels as a listed key has at most, and the listed keys."""
+    ends = F.array(*(F.substring_index("host", ".", -i) for i in range(1, depth_of(listed) + 1)))
+    every = F.explode(F.array_distinct(ends))
     keys = hosts.select("host").distinct().select(every.alias("key"))
     own = hosts.sparkSession.createDataFrame([(k,) for k in sorted({k for k in listed if k})], "key string")
     both = keys.withColumn("listed", F.lit(False)).unionByName(own.withColumn("listed", F.lit(True)))
@@ -111,6 +125,8 @@ def build(keys: DataFrame) -> Cascade:
     listed, others = (keys.where(F.col("listed") == F.lit(b)).count() for b in (True, False))
     while True:
         level = len(cascade.levels)
+        if level == LEVELS:
+            raise ValueError("a listed key and another have one hash, so no level parts them")
         # the first level lets through about as many other keys as there are listed ones, so later ones stay small
         rate = min(RATE, max(listed, 1) / max(others, 1)) if not level else RATE
         own = arrow_pass(keys.where(F.col("listed") == F.lit(level % 2 == 0)).select("key"), _let_through(cascade), "key string")
@@ -135,7 +151,7 @@ def judged(pages: DataFrame, listed: list[str], rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, listed (whether the host or a parent domain is)."""
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    cascade = build(universe(rows, listed))
+    cascade, depth = build(universe(rows, listed)), depth_of(listed)
     shared = pages.sparkSession.sparkContext.broadcast(cascade)
     schema = T.StructType([*rows.schema.fields, T.StructField("listed", T.BooleanType())])
 
@@ -148,7 +164,7 @@ def judged(pages: DataFrame, listed: list[str], rules=RULES) -> DataFrame:
                 if found is None:
                     if len(known) >= HOSTS_KEPT:
                         known.clear()
-                    found = known[h] = any(held.lists(d) for d in domains(h) if d)
+                    found = known[h] = any(held.lists(d) for d in domains(h, depth) if d)
                 out.append(found)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, "listed"])
 

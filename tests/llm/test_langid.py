@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -66,3 +69,73 @@ def test_table(spark, odd, odd_more, none, odd_rows, rows_of):
     assert langid.identified(pages, none).collect() == []
     one = spark.createDataFrame([(1, "http://a.b/", "<html lang=en>x</html>")], PAGES)
     assert [x["lang"] for x in langid.identified(one, none).collect()] == [None]
+
+
+HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+
+
+def test_scanners_against_patterns():
+    r = random.Random(8)
+    bits = ["<", ">", "<html ", "lang=", " lang = ' fr'", "en", "<script", "</script>", "</script >", "<STYLE>", "</style>", "<!--", "-->", "--", "<p>", "text", " ", "\n", "<scripted>", "İ"]
+    for _ in range(4000):
+        html = "".join(r.choice(bits) for _ in range(r.randint(0, 14)))
+        assert langid.visible(html) == HIDDEN.sub(" ", html), html
+        said = DECLARED.search(html)
+        assert langid.declared_language(html) == (said[1].lower() if said else None), html
+
+
+@pytest.mark.parametrize("bit", ["<", "<script>", "<!--", "<html ", "<style></script>", "<html lang=   ", "lang=  ", "</script ", "<!-->"])
+def test_long_pages_take_seconds(bit):
+    html = "<html>" + bit * (5_000_000 // len(bit))
+    start = time.time()
+    langid.visible(html)
+    langid.declared_language(html)
+    assert time.time() - start < 20
+
+
+def test_fusion_against_plain_arithmetic(spark, docs):
+    """Posteriors of the whole table, evidence put together one row at a time."""
+    r = random.Random(31)
+    pages = [(i, f"http://h{i % 5}.example.{'fr' if i % 3 else 'com'}/x", f'<html lang="{r.choice(["en", "fr", "de", "xx"])}">{_text(r.choice(["en", "fr"]), r, r.randint(0, 6))}</html>') for i in range(60)]
+    pages += [(60, None, "bare"), (61, "http://h1.example.com/", None)]
+    langs, table = langid.fit(docs)
+    rows = []
+
+    def likelihood(text):
+        logs = [sum(float(table[t, k]) for t in langid.trigrams(text)) / langid.INDEPENDENT for k in range(len(langs))]
+        return [x - max(logs) for x in logs]
+
+    for i, url, html in pages:
+        host = (url or "").partition("://")[2].partition("/")[0]
+        logs = likelihood(langid.visible(html or ""))
+        rows.append((("page", i), f"page {host}", host.rpartition(".")[2], langid.declared_language(html or ""), logs))
+    for d in docs.collect():
+        rows.append((("doc", d["doc_id"]), f"doc {d['source']}", "source", None, likelihood(d["text"])))
+    posts = [[math.exp(x) / sum(map(math.exp, logs)) for x in logs] for *_, logs in rows]
+    n, ks = len(rows), range(len(langs))
+    overall = [(sum(p[k] for p in posts) + 1) / (n + len(langs)) for k in ks]
+    claims = [*langs, "other"]
+    said = [None if d is None else d if d in langs else "other" for *_, d, _ in rows]
+    want = {}
+    for at, (key, host, suffix, _, logs) in enumerate(rows):
+        own = posts[at]
+        in_host = [j for j in range(n) if rows[j][1] == host]
+        in_suffix = [j for j in range(n) if rows[j][2] == suffix]
+        z = []
+        for k in ks:
+            rest = (sum(posts[j][k] for j in in_suffix) - own[k] + langid.SUFFIX_ROWS * overall[k]) / (len(in_suffix) - 1 + langid.SUFFIX_ROWS)
+            prior = (sum(posts[j][k] for j in in_host) - own[k] + langid.HOST_ROWS * rest) / (len(in_host) - 1 + langid.HOST_ROWS)
+            told = 0.0
+            if said[at] is not None:
+                seen = sum(posts[j][k] for j in range(n) if said[j] == said[at])
+                total = sum(posts[j][k] for j in range(n) if said[j] is not None)
+                told = math.log((seen + (said[at] == langs[k]) + 0.1) / (total + 1 + 0.1 * len(claims)))
+            z.append(logs[k] + told + math.log(max(prior, 1e-9)))
+        best = max(z)
+        want[key] = (langs[z.index(best)], 1 / sum(math.exp(x - best) for x in z))
+    got = langid.identified(spark.createDataFrame(pages, PAGES), docs).collect()
+    assert len(got) == n
+    for x in got:
+        lang, sure = want[("page", x["page_id"]) if x["page_id"] is not None else ("doc", x["doc_id"])]
+        assert x["confidence"] == pytest.approx(sure, rel=1e-6) and (x["lang"] == lang or sure < 0.51)

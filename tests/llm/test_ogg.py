@@ -55,6 +55,30 @@ def test_damaged_page_is_left_out():
     assert ogg.read(b"junk" + ogg.write(payload) + b"tail")[1] == 0 and ogg.read(b"")[0] == {} and ogg.read(b"OggS")[0] == {}
 
 
+def test_repeated_and_late_pages():
+    payload = ogg.payload_of("word " * 20000)[0]
+    media = ogg.write(payload)
+    at = [i for i in range(len(media)) if media[i : i + 4] == b"OggS"] + [len(media)]
+    pages = [media[a:b] for a, b in zip(at, at[1:])]
+    again, bad = ogg.read(b"".join([*pages[:5], pages[4], *pages[5:], pages[3]]))
+    assert bad == 0 and ogg.payload_from(again) == payload
+    assert sum(s.late for s in again.values()) == 2 and all(s.lost == 0 for s in again.values())
+    # a page that comes after its successor: its packets are lost, none comes twice
+    late, _ = ogg.read(b"".join([*pages[:4], pages[6], pages[5], pages[4], *pages[7:]]))
+    whole, _ = ogg.read(media)
+    assert sum(s.late for s in late.values()) == 1 and sum(s.lost for s in late.values()) == 1
+    assert all(set(s.packets) <= set(whole[k].packets) and len(s.packets) < len(whole[k].packets) + 1 for k, s in late.items())
+
+
+def test_chained_streams_of_one_serial():
+    first, second = (ogg.write(ogg.payload_of(t)[0]) for t in ("one " * 3000, "one " * 3000))
+    streams, bad = ogg.read(first + second)
+    assert bad == 0 and len(streams) == 4 and len({s.serial for s in streams.values()}) == 2
+    assert all(s.ended and s.lost == 0 and s.late == 0 for s in streams.values())
+    low = {k: s for k, s in streams.items() if k < 1 << 32}
+    assert ogg.payload_from(low) == ogg.payload_of("one " * 3000)[0]
+
+
 def test_foreign_lacing():
     """Packets of 0, 254, 255 and 510 bytes, one that goes over two pages, a page on which no packet ends."""
     body = bytes(range(256)) * 4

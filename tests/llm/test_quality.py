@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
+import pytest
 
 from landrank.llm import quality
 
@@ -64,3 +66,62 @@ def test_table(odd, odd_more, none, odd_rows, rows_of):
     got = rows_of(quality.scored(odd))
     assert len(got) == len(odd_rows) and all(0 <= r[1] <= 1 and 0 <= r[2] <= 1 and r[3] == (r[2] >= 0.5) for r in got)
     assert rows_of(quality.scored(odd_more)) == got and quality.scored(none).collect() == []
+
+
+def test_whole_table_against_a_plain_version(spark, words):
+    """Votes, EM, labels, the fitted line and all scores, worked out row by row."""
+    rows = _texts(words, 300, 11) + [(900, None, False), (901, "", False), (902, "x" * 300, False)]
+    docs = [(i, t) for i, t, _ in rows]
+    cast = [quality.votes(quality.measures(t or "")) for _, t in docs]
+    # EM over rows instead of patterns, with plain sums
+    post = []
+    for v in cast:
+        lean = v.count(quality.GOOD) - 3 * v.count(quality.BAD) + 0.5
+        post.append(min(max(0.5 + 0.4 * (lean > 0) - 0.4 * (lean < 0), 0.05), 0.95))
+    for _ in range(quality.ROUNDS):
+        share = (sum(post) + 1) / (len(post) + 2)
+        rate = [[[1.0] * 3 for _ in range(len(quality.LABELLERS))] for _ in range(2)]
+        for v, p in zip(cast, post):
+            for j, x in enumerate(v):
+                rate[0][j][x] += 1 - p
+                rate[1][j][x] += p
+        rate = [[[x / sum(r) for x in r] for r in k] for k in rate]
+        new = []
+        for v in cast:
+            a, b = (math.log(s) + sum(math.log(rate[k][j][x]) for j, x in enumerate(v)) for k, s in enumerate((1 - share, share)))
+            new.append(1 / (1 + math.exp(a - b)))
+        done, post = max(abs(x - y) for x, y in zip(new, post)) < 1e-9, new
+        if done:
+            break
+    got = {r["doc_id"]: r for r in quality.scored(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for (i, _), p in zip(docs, post):
+        assert got[i]["weak_label"] == pytest.approx(p, abs=1e-6)
+    # the scorer: full gradient over dense rows; one row a distinct text
+    label = {t: got[i]["weak_label"] for i, t in docs}
+    dense, wanted = [], []
+    for t in sorted(label, key=str):
+        at, x = quality.features(t or "", {})
+        row = np.zeros(quality.DIMENSIONS)
+        row[at] = x
+        dense.append(row)
+        wanted.append(label[t])
+    dense, wanted = np.array(dense), np.array(wanted)
+    each = np.where(wanted >= 0.5, 0.5 / (wanted >= 0.5).sum(), 0.5 / max((wanted < 0.5).sum(), 1))
+    w, b, dw, db = np.zeros(quality.DIMENSIONS), 0.0, 0.0, 0.0
+    for _ in range(300):
+        error = (1 / (1 + np.exp(-(dense @ w + b))) - wanted) * each
+        dw, db = 0.9 * dw - 20 * (dense.T @ error + 1e-5 * w), 0.9 * db - 2 * error.sum()
+        w, b = w + dw, b + db
+    for (i, t) in docs:
+        at, x = quality.features(t or "", {})
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-(w[at] @ x + b))), abs=1e-6)
+
+
+def test_long_words_have_whole_shapes():
+    assert quality.shape(b"a" * 100 + b"9") == b"a0" and quality.shape(b"a" * 100) == b"a"
+
+
+def test_the_sample_is_bounded_by_features(spark, words, monkeypatch):
+    monkeypatch.setattr(quality, "PAIRS", 300)
+    rows = [(i, t) for i, t, _ in _texts(words, 60, 5)]
+    assert quality.scored(spark.createDataFrame(rows, "doc_id long, text string")).count() == 60

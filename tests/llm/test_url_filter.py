@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,10 +56,32 @@ def test_cascade_is_exact(spark, n):
     assert cascade.size() < 40 + 3 * max(n, 60)
 
 
-def test_universe_holds_all_parent_domains(spark):
+def test_universe_holds_all_ends_that_can_be_listed(spark):
     hosts = spark.createDataFrame([("a.b.c",), ("a.b.c",), ("c",), ("",)], "host string")
     got = {r["key"]: r["listed"] for r in url_filter.universe(hosts, ["b.c", "z"]).collect()}
-    assert got == {"a.b.c": False, "b.c": True, "c": False, "z": True}
+    assert got == {"b.c": True, "c": False, "z": True}
+    got = {r["key"]: r["listed"] for r in url_filter.universe(hosts, ["x.b.c", ""]).collect()}
+    assert got == {"a.b.c": False, "b.c": False, "c": False, "x.b.c": True}
+    assert url_filter.domains("a.b.c", 2) == ["b.c", "c"] and url_filter.domains("a.b.c", 9) == ["a.b.c", "b.c", "c"] and url_filter.domains("", 3) == [""]
+    with pytest.raises(ValueError, match="labels"):
+        url_filter.universe(hosts, ["." * 200])
+
+
+def test_very_long_hosts(spark):
+    """Hosts of 200,000 labels take seconds, listed and not."""
+    long = "l." * 200_000
+    rows = [(0, f"http://{long}bad.com/x"), (1, f"http://{long}good.com/"), (2, "http://" + "x" * 500_000 + ".x.org")]
+    start = time.time()
+    got = {r["page_id"]: r["listed"] for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string"), LISTED).collect()}
+    assert got == {0: True, 1: False, 2: True} and time.time() - start < 60
+
+
+def test_keys_that_no_level_parts(spark, monkeypatch):
+    """Two keys of one hash, one listed, end in an error, not in levels for ever."""
+    monkeypatch.setattr(url_filter, "LEVELS", 6)
+    same = spark.createDataFrame([("a", True), ("a", False)], "key string, listed boolean")
+    with pytest.raises(ValueError, match="hash"):
+        url_filter.build(same)
 
 
 def test_bound_of_the_levels(spark, monkeypatch):
