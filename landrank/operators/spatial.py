@@ -203,7 +203,10 @@ def nearest_within(cells: DataFrame, features: DataFrame, reach: float) -> DataF
     right = spread(features.select("x1", "y1", "x2", "y2"), *box, size=reach)
     reached = [F.least(F.col("xmin"), F.col("cx") - reach), F.least(F.col("ymin"), F.col("cy") - reach), F.greatest(F.col("xmax"), F.col("cx") + reach), F.greatest(F.col("ymax"), F.col("cy") + reach)]
     left = spread(cells.select("cell_id", "xmin", "ymin", "xmax", "ymax", "cx", "cy"), *reached, size=reach)
-    pairs = left.join(right, ["__bx", "__by"])
+    # boxes first: most pairs of a bucket are out of reach
+    near = (F.least("x1", "x2") <= F.greatest(F.col("xmax"), F.col("cx") + reach)) & (F.greatest("x1", "x2") >= F.least(F.col("xmin"), F.col("cx") - reach))
+    near = near & (F.least("y1", "y2") <= F.greatest(F.col("ymax"), F.col("cy") + reach)) & (F.greatest("y1", "y2") >= F.least(F.col("ymin"), F.col("cy") - reach))
+    pairs = left.join(right, ["__bx", "__by"]).where(near)
     meets = g.segment_meets_rectangle("x1", "y1", "x2", "y2", "xmin", "ymin", "xmax", "ymax")
     apart = g.point_segment("cx", "cy", "x1", "y1", "x2", "y2")
     distance = F.when(meets, F.lit(0.0)).when(apart <= reach, apart)

@@ -145,29 +145,49 @@ L.control.layers(bases, overlays, {collapsed: false}).addTo(map); map.fitBounds(
 """
 
 
-def page(found: dict[str, list[str]], bounds, area, weights: dict[str, float]) -> str:
-    """The page of layers whose features are given as texts; layers without features are left out."""
-    data = "{" + ", ".join(f'{json.dumps(n)}: {{"type": "FeatureCollection", "features": [{", ".join(f)}]}}' for n, f in found.items() if f) + "}"
+def pieces(found, bounds, area, weights: dict[str, float]):
+    """The page in pieces, feature by feature; ``found``: layers whose features are given as texts; empty layers are left out."""
     shades = [*((c, n) for _, c, _, n in styles.SCORE_BANDS), (styles.LOWEST[0], styles.LOWEST[2]), (styles.MISSING[0], styles.MISSING[2])]
-    return PAGE % {
-        "legend": "".join(f'<i style="background:{c}"></i>{n}<br>' for c, n in shades),
-        "formula": "".join(f"{n}: {w:g}%<br>" for n, w in weights.items()),
-        "layers": data.replace("</", "<\\/"),
-        "tiles": json.dumps(TILES),
-        "bounds": json.dumps(bounds),
-        "area": json.dumps(area),
-        "first": json.dumps(styles.SCORE_BANDS[0][3]),
-    }
+    mark = "\0"
+    before, after = (
+        PAGE
+        % {
+            "legend": "".join(f'<i style="background:{c}"></i>{n}<br>' for c, n in shades),
+            "formula": "".join(f"{n}: {w:g}%<br>" for n, w in weights.items()),
+            "layers": mark,
+            "tiles": json.dumps(TILES),
+            "bounds": json.dumps(bounds),
+            "area": json.dumps(area),
+            "first": json.dumps(styles.SCORE_BANDS[0][3]),
+        }
+    ).split(mark)
+    yield before + "{"
+    some = False
+    for name, features in found.items():
+        own = False
+        for feature in features:
+            lead = ", " if own else f'{", " if some else ""}{json.dumps(name)}: {{"type": "FeatureCollection", "features": ['
+            yield lead + feature.replace("</", "<\\/")
+            own = True
+        if own:
+            yield "]}"
+            some = True
+    yield "}" + after
+
+
+def page(found: dict[str, list[str]], bounds, area, weights: dict[str, float]) -> str:
+    """The whole page."""
+    return "".join(pieces(found, bounds, area, weights))
 
 
 def run(spark: SparkSession, config: Config) -> str | None:
-    """Writes map.html; a map is one page, so its features come to the driver, layer by layer."""
+    """Writes map.html and returns its path; features pass the driver one by one, a partition of a layer at a time."""
     path = config.output / "scored_cells.parquet"
     if not path.exists():
         log.error("Scored cells not found at %s. Run 'score' first.", path)
         return None
     scored = spark.read.parquet(str(path))
-    found = {name: [r["feature"] for r in rows.toLocalIterator()] for name, rows in layers(spark, config, scored).items()}
+    found = {name: (r["feature"] for r in rows.toLocalIterator()) for name, rows in layers(spark, config, scored).items()}
     corners = scored.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
 
     def degrees(x0, y0, x1, y1):
@@ -176,6 +196,7 @@ def run(spark: SparkSession, config: Config) -> str | None:
         return [[r["lat"], r["lon"]] for r in frame.select(y.alias("lat"), x.alias("lon")).collect()]
 
     bounds = degrees(*corners) if corners[0] is not None else degrees(*config.bbox)
-    text = page(found, bounds, degrees(*config.bbox), config.scaled_weights() or WEIGHTS)
-    (config.output / "map.html").write_text(text, encoding="utf-8")
-    return text
+    out = config.output / "map.html"
+    with out.open("w", encoding="utf-8") as file:
+        file.writelines(pieces(found, bounds, degrees(*config.bbox), config.scaled_weights() or WEIGHTS))
+    return str(out)

@@ -123,7 +123,7 @@ def streams(spark: SparkSession, config: Config) -> Path | None:
 
 def roads(spark: SparkSession, config: Config) -> Path | None:
     """Extracts: rows with a highway class, cut to the study area. Other files: as they are, where they meet it."""
-    extracts = _found(config.raw / "roads", "*.geojson")
+    extracts = _found(config.raw / "roads", "*.osm.pbf", "*.geojson")
     if extracts:
         return _layer(spark, config, "roads", extracts, lambda rows: _lines(rows.where(F.col("highway").isNotNull()), config, True))
     return _layer(spark, config, "roads", _found(config.raw / "roads", "*.gpkg", "*.shp"), lambda rows: _lines(rows, config, False))

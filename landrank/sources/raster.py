@@ -1,7 +1,12 @@
-"""GeoTIFF to pixel tables: files are read by Spark, decoded with numpy, and come out as rows."""
+"""GeoTIFF to pixel tables.
+
+Of a file in a folder that all nodes see, strips and tiles are the input partitions: the driver reads the tags alone, and
+each task seeks the bytes of its blocks.  A file in a store that only Spark reads is one row of ``binaryFile`` in one task.
+"""
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from dataclasses import dataclass
@@ -9,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.storage import importable
 
@@ -19,6 +25,8 @@ SCALE, TIEPOINT, KEYS, NODATA = 33550, 33922, 34735, 42113
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 PROJECTED, GEOGRAPHIC = 3072, 2048
 PIXELS_DDL = "row long, col long, x double, y double, z double"
+#: Pixels that a task reads.
+TASK_PIXELS = 1 << 22
 
 
 @dataclass
@@ -34,23 +42,24 @@ class Header:
     order: str
 
 
-def header(data: bytes) -> Header:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+def header(source) -> Header:
+    """The tags of the first image; ``source``: the file's bytes, or a function of place and size that reads some."""
+    take = source if callable(source) else lambda at, n: source[at : at + n]
+    first = take(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(first[:2])
+    if order is None or struct.unpack_from(order + "H", first, 2)[0] != 42:
         raise ValueError("not a classic TIFF file")
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    tags = {}
-    for i in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+    at = struct.unpack_from(order + "I", first, 4)[0]
+    count = struct.unpack(order + "H", take(at, 2))[0]
+    entries, tags = take(at + 2, 12 * count), {}
+    for i in range(count):
+        tag, kind, n = struct.unpack_from(order + "HHI", entries, 12 * i)
         code = TYPES.get(kind)
         if code is None:
             continue
-        size = struct.calcsize("=" + code) * count
-        place = at + 10 + 12 * i
-        if size > 4:
-            place = struct.unpack_from(order + "I", data, place)[0]
-        raw = data[place : place + size]
-        tags[tag] = raw.rstrip(b"\0").decode("latin-1") if code == "s" else struct.unpack(f"{order}{count * len(code)}{code[0]}", raw)
+        size = struct.calcsize("=" + code) * n
+        raw = entries[12 * i + 8 : 12 * i + 8 + size] if size <= 4 else take(struct.unpack_from(order + "I", entries, 12 * i + 8)[0], size)
+        tags[tag] = raw.rstrip(b"\0").decode("latin-1") if code == "s" else struct.unpack(f"{order}{n * len(code)}{code[0]}", raw)
     scale, tie = tags.get(SCALE, (1.0, 1.0, 0.0)), tags.get(TIEPOINT, (0.0,) * 6)
     keys = tags.get(KEYS, ())
     codes = {keys[i]: keys[i + 3] for i in range(4, len(keys), 4)}
@@ -102,8 +111,19 @@ def _packbits(data: bytes) -> bytes:
 UNPACK = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}
 
 
-def blocks(data: bytes, head: Header):
-    """(first row, first column, heights) of each strip or tile of the first band."""
+def layout(head: Header) -> tuple[int, int, int, int]:
+    """Width and height of a strip or tile, how many stand side by side, how many the first band has."""
+    tags = head.tags
+    tiled = TILE_WIDTH in tags
+    wide = tags[TILE_WIDTH][0] if tiled else head.width
+    high = tags[TILE_HEIGHT][0] if tiled else tags.get(ROWS, (head.height,))[0]
+    across = -(-head.width // wide)
+    return wide, min(high, head.height) if not tiled else high, across, across * -(-head.height // high)
+
+
+def blocks(source, head: Header, first: int = 0, last: int | None = None):
+    """(first row, first column, heights) of the strips or tiles of the first band, from ``first`` to before ``last``."""
+    take = source if callable(source) else lambda at, n: source[at : at + n]
     tags = head.tags
     bits, form = tags.get(BITS, (8,))[0], tags.get(SAMPLE_FORMAT, (1,))[0]
     kind = np.dtype(head.order + {1: "u", 2: "i", 3: "f"}[form] + str(bits // 8))
@@ -111,15 +131,11 @@ def blocks(data: bytes, head: Header):
     if unpack is None:
         raise ValueError(f"TIFF compression {tags[COMPRESSION][0]} is not read")
     tiled = TILE_WIDTH in tags
-    wide = tags[TILE_WIDTH][0] if tiled else head.width
-    high = tags[TILE_HEIGHT][0] if tiled else tags.get(ROWS, (head.height,))[0]
-    across = -(-head.width // wide)
+    wide, high, across, count = layout(head)
     places, sizes = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[OFFSETS], tags[COUNTS])
-    for i, (place, size) in enumerate(zip(places, sizes, strict=True)):
+    for i in range(first, count if last is None else min(last, count)):
         row, col = i // across * high, i % across * wide
-        if row >= head.height:
-            break
-        raw = unpack(data[place : place + size])
+        raw = unpack(take(places[i], sizes[i]))
         rows = high if tiled else min(high, head.height - row)
         predictor = tags.get(PREDICTOR, (1,))[0]
         if predictor == 3:  # bytes of floats, sorted by significance, as differences along the row
@@ -133,38 +149,101 @@ def blocks(data: bytes, head: Header):
         yield row, col, block[: head.height - row, : head.width - col].astype(np.float64)
 
 
+def _pixels(source, head: Header, first: int = 0, last: int | None = None):
+    for top, left, z in blocks(source, head, first, last):
+        r, c = np.divmod(np.arange(z.size), z.shape[1])
+        r, c = r + top, c + left
+        x, y = head.left + (c + 0.5) * head.resolution[0], head.top - (r + 0.5) * head.resolution[1]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (r, c, x, y, z.ravel())], names=["row", "col", "x", "y", "z"])
+
+
+def _seeking(file):
+    def take(at: int, n: int) -> bytes:
+        file.seek(at)
+        return file.read(n)
+
+    return take
+
+
+class Blocks(InputPartition):
+    def __init__(self, first: int, last: int):
+        self.first, self.last = first, last
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+        with open(path, "rb") as f:
+            self.head = header(_seeking(f))
+
+    def partitions(self):
+        wide, high, _, count = layout(self.head)
+        step = max(1, TASK_PIXELS // max(wide * high, 1))
+        return [Blocks(i, min(i + step, count)) for i in range(0, count, step)]
+
+    def read(self, partition):
+        with open(self.path, "rb") as f:
+            yield from _pixels(_seeking(f), self.head, partition.first, partition.last)
+
+
+class GeoTiff(DataSource):
+    """format("geotiff"): pixels of a file that all nodes see."""
+
+    @classmethod
+    def name(cls):
+        return "geotiff"
+
+    def schema(self):
+        return PIXELS_DDL
+
+    def reader(self, schema):
+        return _Reader(self.options["path"])
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Pixels of a GeoTIFF: row, col, x and y of the centre, z. Strips and tiles come out one at a time."""
     importable(spark)
+    if os.path.exists(path):
+        spark.dataSource.register(GeoTiff)
+        return spark.read.format("geotiff").load(path)
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
                 data = content.as_py()
-                head = header(data)
-                for first, left, z in blocks(data, head):
-                    r, c = np.divmod(np.arange(z.size), z.shape[1])
-                    r, c = r + first, c + left
-                    x, y = head.left + (c + 0.5) * head.resolution[0], head.top - (r + 0.5) * head.resolution[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (r, c, x, y, z.ravel())], names=["row", "col", "x", "y", "z"])
+                yield from _pixels(data, header(data))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, PIXELS_DDL)
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    return header(bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"]))
+    """The tags alone, by seeking, from whatever store the path is in."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+
+    def take(at: int, n: int) -> bytes:
+        stream.seek(at)
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+
+    try:
+        return header(take)
+    finally:
+        stream.close()
 
 
-def encode(z: np.ndarray, left: float, top: float, resolution: float, nodata: float | None = None, epsg: int = 2961) -> bytes:
-    """A GeoTIFF file of one deflated strip: what tests and small exports need."""
-    kind = {"f": 3, "i": 2, "u": 1}[z.dtype.kind]
-    body = zlib.compress(np.ascontiguousarray(z.astype(z.dtype.newbyteorder("<"))).tobytes())
+def encode(z: np.ndarray, left: float, top: float, resolution: float, nodata: float | None = None, epsg: int = 2961, strip: int | None = None) -> bytes:
+    """A GeoTIFF file of deflated strips of ``strip`` rows (default: one strip): what tests and small exports need."""
+    kind, strip = {"f": 3, "i": 2, "u": 1}[z.dtype.kind], strip or z.shape[0]
+    plain = z.astype(z.dtype.newbyteorder("<"))
+    bodies = [zlib.compress(np.ascontiguousarray(plain[i : i + strip]).tobytes()) for i in range(0, z.shape[0], strip)]
     text = (str(nodata).encode() + b"\0") if nodata is not None else b"\0"
     long = [
         struct.pack("<3d", resolution, resolution, 0.0),
         struct.pack("<6d", 0, 0, 0, left, top, 0),
         struct.pack("<8H", 1, 1, 0, 1, PROJECTED, 0, 1, epsg),
         text.ljust(8, b"\0"),
+        struct.pack(f"<{len(bodies)}I", *map(len, bodies)),
     ]
     entries = 14
     start = 8 + 2 + entries * 12 + 4
@@ -172,12 +251,16 @@ def encode(z: np.ndarray, left: float, top: float, resolution: float, nodata: fl
     for item in long:
         places.append(at)
         at += len(item)
+    starts = [at + 4 * len(bodies) + sum(map(len, bodies[:i])) for i in range(len(bodies))]
+    long.append(struct.pack(f"<{len(bodies)}I", *starts))
+    several = len(bodies) > 1
     ifd = [
         (WIDTH, 4, 1, z.shape[1]), (HEIGHT, 4, 1, z.shape[0]), (BITS, 3, 1, z.dtype.itemsize * 8), (COMPRESSION, 3, 1, 8), (262, 3, 1, 1),
-        (OFFSETS, 4, 1, at), (277, 3, 1, 1), (ROWS, 4, 1, z.shape[0]), (COUNTS, 4, 1, len(body)), (SAMPLE_FORMAT, 3, 1, kind),
+        (OFFSETS, 4, len(bodies), at if several else starts[0]), (277, 3, 1, 1), (ROWS, 4, 1, strip),
+        (COUNTS, 4, len(bodies), places[4] if several else len(bodies[0])), (SAMPLE_FORMAT, 3, 1, kind),
         (SCALE, 12, 3, places[0]), (TIEPOINT, 12, 6, places[1]), (KEYS, 3, 8, places[2]), (NODATA, 2, 8, places[3]),
     ]
     head = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", entries)
     for tag, code, count, value in ifd:
         head += struct.pack("<HHI", tag, code, count) + (struct.pack("<HH", value, 0) if code == 3 and count == 1 else struct.pack("<I", value))
-    return head + struct.pack("<I", 0) + b"".join(long) + body
+    return head + struct.pack("<I", 0) + b"".join(long) + b"".join(bodies)

@@ -249,7 +249,7 @@ def shp_rows(path: str, options: dict):
 
 
 def epsg_of(path: str) -> int:
-    """EPSG code of a layer file: GeoPackage by its table, shapefile by its .prj; GeoJSON is 4326. Unknown is an error."""
+    """EPSG code of a layer file: GeoPackage by its table, shapefile by its .prj; GeoJSON and OpenStreetMap are 4326. Unknown is an error."""
     if path.endswith(".gpkg"):
         return gpkg_layer(path)[3]
     if path.endswith(".shp"):
@@ -274,11 +274,17 @@ def read(spark: SparkSession, path: str, target: int = 2961, layer: str | None =
 
         return geojson.read(spark, path, target)
     kind = {".gpkg": GeoPackage, ".shp": Shapefile}.get(os.path.splitext(path)[1].lower())
-    if kind is None:
-        raise ValueError(f"{path}: read GeoPackage, shapefile, GeoJSON or parquet; convert other formats first")
-    spark.dataSource.register(kind)
-    reader = spark.read.format(kind.name())
-    rows = (reader.option("layer", layer) if layer else reader).load(path)
+    if path.endswith(".pbf"):
+        from . import osm
+
+        empty = {"geom": F.lit(None).cast(g.POLYGONS), "x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")}
+        rows = osm.lines(spark, path).withColumns(empty)
+    elif kind is None:
+        raise ValueError(f"{path}: read GeoPackage, shapefile, GeoJSON, OpenStreetMap extract or parquet; convert other formats first")
+    else:
+        spark.dataSource.register(kind)
+        reader = spark.read.format(kind.name())
+        rows = (reader.option("layer", layer) if layer else reader).load(path)
     source = epsg_of(path)
 
     def moved(p):

@@ -238,3 +238,73 @@ def test_ids_of_a_folder_of_files_do_not_clash(spark, tmp_path):
     spark.dataSource.register(vector.GeoPackage)
     ids = [r["feature_id"] for r in spark.read.format("geopackage").load(str(tmp_path)).collect()]
     assert len(set(ids)) == 6 and sorted(ids)[:3] == [0, 1, 2]
+
+
+def test_strips_are_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raster, "TASK_PIXELS", 30)
+    z = (np.arange(23 * 7).reshape(23, 7) * 3).astype("f4")
+    path = tmp_path / "z.tif"
+    path.write_bytes(raster.encode(z, X0, Y0 + 230, 10.0, -9999, strip=4))
+    assert len(raster._Reader(str(path)).partitions()) == 6
+    data = path.read_bytes()
+    assert raster.read_header(spark, str(path)) == raster.header(data)
+    want = {(i, j): float(z[i, j]) for i in range(23) for j in range(7)}
+    assert {(r["row"], r["col"]): r["z"] for r in raster.read(spark, str(path)).collect()} == want
+    assert {(r["row"], r["col"]): r["z"] for r in raster.read(spark, "file:" + str(path)).collect()} == want
+
+
+def _message(*parts):
+    """Fields of a message: (number, number or bytes)."""
+    out = b""
+    for number, value in parts:
+        out += _vary(number << 3 | (2 if isinstance(value, bytes) else 0))
+        out += _vary(len(value)) + value if isinstance(value, bytes) else _vary(value & (1 << 64) - 1)
+    return out
+
+
+def _vary(n):
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+def _zigzag(values):
+    return b"".join(_vary((v << 1) ^ (v >> 63) if v >= 0 else ((-v) << 1) - 1) for v in values)
+
+
+def _deltas(values):
+    return _zigzag([b - a for a, b in zip([0, *values], values)])
+
+
+def test_openstreetmap_extract(spark, tmp_path):
+    """Ways with a highway tag, their nodes from dense and single form, in another blob, compressed and plain."""
+    import zlib
+
+    from landrank.sources import osm, vector
+
+    at = {10: (-64.5, 44.25), 11: (-64.4, 44.5), -7: (-64.25, 44.75), 900000000000: (-63.0, 45.0)}
+    words = [b"", b"highway", b"residential", b"name", "Rue É".encode(), b"building", b"yes"]
+    strings = _message(*((1, w) for w in words))
+    dense = [10, 11, -7]
+    unit = lambda x: round(x * 1e7)
+    group = _message((2, _message((1, _deltas(dense)), (8, _deltas([unit(at[i][1]) for i in dense])), (9, _deltas([unit(at[i][0]) for i in dense])))))
+    lon, lat = at[900000000000]
+    one = _message((1, 900000000000 << 1), (8, unit(lat) << 1), (9, (unit(-lon) << 1) - 1))
+    nodes = _message((1, strings), (2, group), (2, _message((1, one))))
+    way = lambda i, keys, values, refs: (3, _message((1, i), (2, bytes(keys)), (3, bytes(values)), (8, _deltas(refs))))
+    ways = _message((1, strings), (2, _message(way(5, [1, 3], [2, 4], [10, -7, 11, 900000000000]), way(6, [5], [6], [10, 11]), way(7, [1], [2], [10, 12345]))))
+    path = tmp_path / "a.osm.pbf"
+    with path.open("wb") as f:
+        for kind, body in ((b"OSMHeader", _message((1, b"x"))), (b"OSMData", _message((2, len(nodes)), (3, zlib.compress(nodes)))), (b"OSMData", _message((1, ways)))):
+            head = _message((1, kind), (3, len(body)))
+            f.write(len(head).to_bytes(4, "big") + head + body)
+    assert len(osm.blobs(str(path))) == 2
+    got = osm.lines(spark, str(path)).collect()
+    assert [(r["feature_id"], r["name"], r["highway"]) for r in got] == [(5, "Rue É", "residential")]
+    points = [(p["x"], p["y"]) for p in got[0]["parts"][0]]
+    assert points == [pytest.approx(at[i], abs=1e-7) for i in (10, -7, 11, 900000000000)]
+    row = vector.read(spark, str(path), 4326).first()
+    assert row["xmin"] == pytest.approx(-64.5) and row["ymax"] == pytest.approx(45.0) and row["geom"] is None
+    assert vector.read(spark, str(path)).first()["xmin"] > 300000
