@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, langid, mixing, ogg, quality, simhash, token_counts, toxicity, url_filter
 from .common import table
@@ -54,11 +55,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def llm_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 8: the payload read back."""
+    return op8_ogg_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def llm_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 9: sizes and targets."""
+    return op9_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_byte_bpe, op3_url_filter, op4_quality, op5_exact_dedup,
-        op6_simhash, op7_language_id, op8_ogg_media, op9_source_mix, op10_toxicity,
+        op6_simhash, op7_language_id, op8_ogg_media, op9_source_mix, op10_toxicity, llm_payloads, llm_mix_targets,
     )
 }
 
@@ -94,4 +105,21 @@ ORACLE = {
         )
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM ranked
     """,
+    "llm_payloads": """
+        WITH raw AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        sized AS (SELECT *, CASE WHEN n = 0 THEN 64 ELSE n + (64 - n % 64) % 64 END AS m FROM raw)
+        SELECT doc_id, n::BIGINT AS n_bytes, m::BIGINT AS payload_bytes, sha256(encode(t) || from_hex(repeat('00', (m - n)::INTEGER))) AS payload_sha256 FROM sized
+    """,
+    "llm_mix_targets": """
+        WITH sized AS (
+          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
+        ), sources AS (
+          SELECT source, sum(size)::BIGINT AS s, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS w FROM sized GROUP BY source
+        ), ordered AS (
+          -- those that reach three times their size soonest first; what the rest share, were the ones before at their limit
+          SELECT *, row_number() OVER (ORDER BY s / w, source IS NULL, encode(source)) AS place, ((SELECT sum(s) FROM sources) - 3 * coalesce(sum(s) OVER before, 0)) / ((SELECT sum(w) FROM sources) - coalesce(sum(w) OVER before, 0)) AS level
+          FROM sources WINDOW before AS (ORDER BY s / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), water AS (SELECT coalesce(arg_min(level, place) FILTER (level * w <= 3 * s), 1e300) AS level FROM ordered)
+        SELECT doc_id, size, s AS source_size, round(least(3e0 * s, w * water.level), 3) AS target FROM sized JOIN sources ON sized.source IS NOT DISTINCT FROM sources.source, water
+    """,
 }

@@ -155,5 +155,5 @@ def test_registered_queries(spark, folder, name):
 
 def test_the_ten_and_the_pipeline_are_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in queries.QUERIES} == {"llm", *(f"op{i}" for i in range(1, 11))} and "pipeline" in names
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["drop_toxic", "drop_copies", "drop_near_copies", "mix_sources", "encode"]
