@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from landrank.functions.storage import removed, tables_of
 from landrank.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from landrank.llm.common import shared_folder, table
 from landrank.llm.queries import BYTE_BPE
@@ -48,9 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each one's table stays until the next one's is written, and what it stored on its way goes with it."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{i}"
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        with tables_of(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        if i:
+            removed(spark, f"{folder}/{i - 1}")
         docs = spark.read.parquet(path)
     return docs

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +27,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Lists of the paths that are stored while they are open, innermost last.
+_open: list[list[str]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: computed once, the same for all later reads."""
     path = f"{shared_folder(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
+    for paths in _open[-1:]:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table or file, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def tables_of(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what is stored within it.
+
+    For work whose results have by then been written; what comes out of it unwritten would read tables that are gone.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            removed(spark, path)
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, whatever the working folder.
 

@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import importable
+from ..functions.storage import importable, tables_of
 from ..operators import exclusions, flow, grid, ranking, scorers, terrain
 from ..sources import ingest
 from ..sources.config import Config
@@ -25,7 +25,8 @@ def prepare(spark: SparkSession, config: Config, accumulate: bool = True) -> Dat
         if not ingest.stored_path(config, "terrain").exists():
             terrain.tiled_slope_aspect(dem, head["resolution"]).write.parquet(str(ingest.stored_path(config, "terrain")))
         if accumulate and not ingest.stored_path(config, "flow_accumulation").exists():
-            flow.accumulation(flow.pointers(flow.fill_depressions(dem))).write.parquet(str(ingest.stored_path(config, "flow_accumulation")))
+            with tables_of(spark):
+                flow.accumulation(flow.pointers(flow.fill_depressions(dem))).write.parquet(str(ingest.stored_path(config, "flow_accumulation")))
     else:
         log.warning("No DEM available; skipping derivatives")
     land = ingest.load(spark, config, "land_cover")
@@ -76,7 +77,8 @@ def score(spark: SparkSession, config: Config) -> DataFrame | None:
         log.error("Candidate grid not found at %s. Run 'prepare' first.", ingest.stored_path(config, "candidate_grid"))
         return None
     path = str(config.output / "scored_cells.parquet")
-    scored(spark, config, cells).write.mode("overwrite").parquet(path)
+    with tables_of(spark):
+        scored(spark, config, cells).write.mode("overwrite").parquet(path)
     found = spark.read.parquet(path)
     layer = ingest.load(spark, config, "parcels")
     if layer is not None:

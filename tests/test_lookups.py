@@ -103,3 +103,16 @@ def test_drainage_area(spark):
     rows = hydro.with_optional(spark.createDataFrame([(0, 1000.0, "WARV", None), (1, 100.0, "WARV", None), (2, 100.0, "WACO1", 1), (3, 100.0, "WARV", 3), (4, 100.0, None, 2)], "line_id long, length double, FEAT_CODE string, LINE_CLASS int"))
     got = [r["a"] for r in rows.select("line_id", hydro.drainage_area(F.col("length")).alias("a")).orderBy("line_id").collect()]
     assert got == pytest.approx([2.0, 0.5, 10.0, 25.0, 5.0])
+
+
+def test_tables_go_with_their_run(spark):
+    import os
+
+    from landrank.functions import storage
+
+    kept = storage.stored(spark.range(3).toDF("id"), "kept")
+    with storage.tables_of(spark):
+        inner = storage.stored(spark.range(4).toDF("id"), "gone")
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and inner.count() == 4
+    assert not os.path.exists(path) and kept.count() == 3 and not storage._open
