@@ -33,6 +33,8 @@ EXAMPLES, SLOTS, LANGUAGES = 4000, 1 << 15, 200
 INDEPENDENT = 3.0
 #: Rows that a suffix borrows from the corpus, and a host from its suffix.
 SUFFIX_ROWS, HOST_ROWS = 20.0, 10.0
+#: Rows of a group whose priors are sent to all tasks; there is at most one such group in as many rows of the corpus.
+LARGE = 100_000
 OPENED = re.compile(r"(script|style)\b", re.I)
 CLOSED = {n: re.compile(rf"</{n}\s*+>", re.I) for n in ("script", "style")}
 HTML = re.compile(r"<html\b", re.I)
@@ -188,10 +190,12 @@ def identified(pages: DataFrame | None, docs: DataFrame) -> DataFrame:
             chance = math.log((seen + right + 0.1) / (totals[k] + 1 + 0.1 * len(claims)))
             says[k] = F.when(F.col("said") == said, F.lit(chance)).otherwise(says[k])
 
-    hosts = rows.groupBy("group", "suffix").agg(F.count("*").alias("n"), *sums)
+    hosts = stored(rows.groupBy("group", "suffix").agg(F.count("*").alias("n"), *sums), "language-hosts")
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("m"), *(F.sum(f"s{k}").alias(f"t{k}") for k in range(n)))
     priors = hosts.join(suffixes, "suffix").drop("suffix")
-    found = rows.join(priors, "group")
+    # groups of very many rows, of which there are few by their size, go to the rows; the others are joined
+    large = F.broadcast(priors.where(F.col("n") > LARGE))
+    found = rows.join(large, "group").unionByName(rows.join(large.select("group"), "group", "left_anti").join(priors.where(F.col("n") <= LARGE), "group"))
     score = []
     for k in range(n):
         rest = (F.col(f"t{k}") - F.col(f"p{k}") + SUFFIX_ROWS * overall[k]) / (F.col("m") - 1 + SUFFIX_ROWS)

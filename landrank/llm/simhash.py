@@ -151,9 +151,9 @@ def exact_bands(bits: int, radius: int) -> list[list[int]]:
     return [list(range(bits * k // (radius + 1), bits * (k + 1) // (radius + 1))) for k in range(radius + 1)]
 
 
-def striped_bands(bits: int, radius: int) -> list[list[int]]:
-    """The same with interleaved bits, for fingerprints that share a value of an outer band."""
-    return [list(range(k, bits, radius + 1)) for k in range(radius + 1)]
+def striped_bands(bits: int, radius: int, run: int = 1) -> list[list[int]]:
+    """The same with runs of bits in turn, for fingerprints that share a value of an outer band."""
+    return [[i for i in range(bits) if i // run % (radius + 1) == k] for k in range(radius + 1)]
 
 
 def expected_share(similarity: float) -> float:
@@ -277,23 +277,32 @@ def _linked(radius: int, wide: int, by: list[str]):
     return run
 
 
-def links(prints: DataFrame, wide: int, radius: int, bands, finer) -> DataFrame:
-    """Rows (u, v) that join every two fingerprints within the radius; ``prints``: __node and the words, distinct."""
-    names = _names(wide)
-    fields = [T.StructField(n, T.LongType()) for n in ("__node", *names)]
-    key, sub = T.StructField("__key", T.LongType()), T.StructField("__sub", T.LongType())
-    keyed = arrow_pass(prints.select("__node", *names), _banded(bands, names, "__key"), T.StructType([key, *fields]))
-    crowds = stored(keyed.groupBy("__key").count().where(F.col("count") > HOT).select("__key"), "simhash-crowds")
+def links(prints: DataFrame, wide: int, radius: int, families) -> DataFrame:
+    """Rows (u, v) that join every two fingerprints within the radius; ``prints``: __node and the words, distinct.
 
-    def compared(rows: DataFrame, by: list[str]) -> DataFrame:
-        pops = sum((F.bit_count(n) for n in names), F.lit(0))
-        return arrow_pass(rows.repartition(*by).sortWithinPartitions(*by, pops), _linked(radius, wide, by), "u long, v long")
+    ``families``: sets of bands, of each of which linked fingerprints agree on one.  What agrees with too many others is
+    dealt out by the next family within its group, so what one task compares is small, whatever is crowded.
+    """
+    names, out, by = _names(wide), None, []
+    rows, fields = prints.select("__node", *names), [T.StructField(n, T.LongType()) for n in ("__node", *names)]
+    pops = sum((F.bit_count(n) for n in names), F.lit(0))
 
-    if crowds.isEmpty():
-        return compared(keyed, ["__key"])
-    crowded = keyed.join(crowds, "__key", "left_semi").select("__key", "__node", *names)
-    again = arrow_pass(crowded, _banded(finer, names, "__sub"), T.StructType([sub, key, *fields]))
-    return compared(keyed.join(crowds, "__key", "left_anti"), ["__key"]).unionByName(compared(again, ["__key", "__sub"]))
+    def add(part: DataFrame) -> DataFrame:
+        found = arrow_pass(part.repartition(*by).sortWithinPartitions(*by, pops), _linked(radius, wide, by), "u long, v long")
+        return found if out is None else out.unionByName(found)
+
+    for level, bands in enumerate(families):
+        key = f"__key{level}"
+        fields = [T.StructField(key, T.LongType()), *fields]
+        rows, by = arrow_pass(rows.select(*(f.name for f in fields[1:])), _banded(bands, names, key), T.StructType(fields)), [*by, key]
+        if level + 1 == len(families):
+            return add(rows)
+        crowds = stored(rows.groupBy(*by).count().where(F.col("count") > HOT).select(*by), "simhash-crowds")
+        if crowds.isEmpty():
+            return add(rows)
+        out = add(rows.join(crowds, by, "left_anti"))
+        rows = rows.join(crowds, by, "left_semi")
+    return out
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -349,7 +358,8 @@ def components(docs: DataFrame, words: int = 3, radius: int = 2, wide: int = 1)
     names, bits = _names(wide), 64 * wide
     rows = fingerprints(_texts(placed(docs), docs), words, wide)
     prints = _prints(rows, wide)
-    groups = _groups(prints, wide, links(prints, wide, radius, exact_bands(bits, radius), striped_bands(bits, radius))).drop(*PLACE)
+    families = [exact_bands(bits, radius), striped_bands(bits, radius), striped_bands(bits, radius, 5)]
+    groups = _groups(prints, wide, links(prints, wide, radius, families)).drop(*PLACE)
     hexed = F.lower(F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names)))
     return rows.join(groups, names).select("doc_id", hexed.alias("fingerprint"), F.col("__low").alias("component_id"))
 

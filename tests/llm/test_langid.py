@@ -94,8 +94,10 @@ def test_long_pages_take_seconds(bit):
     assert time.time() - start < 20
 
 
-def test_fusion_against_plain_arithmetic(spark, docs):
+@pytest.mark.parametrize("large", [100_000, 20])
+def test_fusion_against_plain_arithmetic(spark, docs, monkeypatch, large):
     """Posteriors of the whole table, evidence put together one row at a time."""
+    monkeypatch.setattr(langid, "LARGE", large)
     r = random.Random(31)
     pages = [(i, f"http://h{i % 5}.example.{'fr' if i % 3 else 'com'}/x", f'<html lang="{r.choice(["en", "fr", "de", "xx"])}">{_text(r.choice(["en", "fr"]), r, r.randint(0, 6))}</html>') for i in range(60)]
     pages += [(60, None, "bare"), (61, "http://h1.example.com/", None)]
