@@ -305,17 +305,38 @@ def links(prints: DataFrame, wide: int, radius: int, families) -> DataFrame:
     return out
 
 
+#: Rows of a key beyond which what is known of the key is sent to all tasks, and such keys at most; beyond, they are joined.
+STAR, SENT = 1000, 50_000
+
+
+def joined_to(rows: DataFrame, known: DataFrame, key: str, crowded: int) -> DataFrame:
+    """``rows`` with the columns of ``known``, which has a row for each key, with the number ``n`` of the key's rows.
+
+    ``crowded``: keys of over ``STAR`` rows.  Their rows are not brought together, as long as ``SENT`` bounds such keys.
+    """
+    if not 0 < crowded <= SENT:
+        return rows.join(known, key)
+    large = F.broadcast(known.where(F.col("n") > STAR))
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(known.where(F.col("n") <= STAR), key))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node with a link, by alternating large and small stars.
 
-    Each round is a table in the shared folder; only two numbers of it come to the driver.
+    Each round is tables in the shared folder; only three numbers of it come to the driver.
     """
     edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        marks = F.sum(F.xxhash64(F.greatest("u", "v"), F.least("u", "v")).cast("decimal(38,0)")).alias("marks")
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"), marks), "components")
+        total, mark, crowded = least.agg(F.sum("n"), F.sum("marks"), F.count_if(F.col("n") > STAR)).first()
+        if (total, mark) == before:
+            break
+        before = (total, mark)
+        large = joined_to(both.where("v > u"), least.select("u", "m", "n"), "u", crowded)
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u")
@@ -325,10 +346,6 @@ def connected(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         edges = stored(small, "components")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
@@ -344,9 +361,9 @@ def _prints(rows: DataFrame, wide: int) -> DataFrame:
 def _groups(prints: DataFrame, wide: int, edges: DataFrame) -> DataFrame:
     """Fingerprint words with the smallest doc_id of their component (__low) and the place of its row."""
     parts = connected(edges)
-    named = prints.join(parts.withColumnRenamed("node", "__node"), "__node").select("__node", "__best", "component")
-    best = named.groupBy("component").agg(F.min("__best").alias("__top"))
-    tops = named.join(best, "component").select("__node", "__top")
+    named = stored(prints.join(parts.withColumnRenamed("node", "__node"), "__node").select("__node", "__best", "component"), "simhash-parts")
+    best = stored(named.groupBy("component").agg(F.min("__best").alias("__top"), F.count("*").alias("n")), "simhash-best")
+    tops = joined_to(named, best, "component", best.where(F.col("n") > STAR).count()).select("__node", "__top")
     joined = prints.join(tops, "__node", "left").withColumn("__top", F.coalesce("__top", "__best"))
     return joined.select(*_names(wide), F.col("__top.d").alias("__low"), *(F.col(f"__top.{p}").alias(p) for p in PLACE))
 
@@ -373,8 +390,6 @@ def _members(rows: DataFrame, wide: int) -> DataFrame:
 
 #: Texts of up to so many shingles are held against each other whatever their fingerprints, which are coarse for them.
 SHORT = 32
-#: Crowded keys that are sent to all tasks; beyond, they are joined.
-CROWDS_SENT = 50_000
 
 
 def candidates(members: DataFrame, wide: int, radius: int, similarity: float) -> DataFrame:
@@ -387,7 +402,7 @@ def candidates(members: DataFrame, wide: int, radius: int, similarity: float) ->
     keyed = members.select(F.explode("__keys").alias("__key"), "__member", "__n", *names)
     crowds = stored(keyed.groupBy("__key").agg(F.count("*").alias("n"), F.min("__member").alias("v")).where(F.col("n") > HOT).select("__key", "v"), "simhash-crowds")
     few = crowds.count()
-    known = F.broadcast(crowds) if few <= CROWDS_SENT else crowds
+    known = F.broadcast(crowds) if few <= SENT else crowds
     short = keyed.where(F.col("__n") <= longest).select("__key", "__member")
     short = short.join(known, "__key", "left_anti") if few else short
     first = short.groupBy("__key").agg(F.min("__member").alias("v"), F.count("*").alias("n")).where("n > 1").select("__key", "v")
@@ -518,7 +533,7 @@ def verified(known: DataFrame, wide: int, radius: int, similarity: float) -> Dat
     few = large.count()
     if not few:
         return arrow_pass(_dealt(known.withColumnRenamed("component", "__group").select(*columns)), _compared(wide, radius, similarity), "u long, v long")
-    big = F.broadcast(large) if few <= CROWDS_SENT else large
+    big = F.broadcast(large) if few <= SENT else large
     block = F.pmod(F.xxhash64("__member"), "__blocks")
     cut = known.join(big, "component").withColumn("__block", block)
     pivot = F.pmod(F.xxhash64("__member", F.lit("pivot")), F.greatest(F.lit(1).cast("long"), F.expr(f"n div {PIVOTS}"))) == 0
@@ -536,7 +551,7 @@ def verified(known: DataFrame, wide: int, radius: int, similarity: float) -> Dat
     loose = main.select("component", F.col("top.__part").alias("__main"), F.expr("n - top.m").alias("__loose")).where("__loose > 0")
     if loose.isEmpty():
         return found
-    rest = named.join(F.broadcast(loose) if few <= CROWDS_SENT else loose, "component").withColumn("__asks", F.col("__part") != F.col("__main"))
+    rest = named.join(F.broadcast(loose) if few <= SENT else loose, "component").withColumn("__asks", F.col("__part") != F.col("__main"))
     # every block of the rest meets every block of the component
     asked = F.expr(f"1 + __loose div {BLOCK_MEMBERS}")
     turn = F.pmod(F.xxhash64("__member", F.lit("turn")), asked)

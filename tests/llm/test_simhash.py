@@ -127,12 +127,14 @@ def test_tiles_skip_only_what_is_far():
     assert want <= got and all(int(words[i, 0] ^ words[j, 0]).bit_count() <= 2 for i, j in got)
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("star", [1000, 3])
+def test_components_of_long_chains(spark, monkeypatch, star):
+    monkeypatch.setattr(simhash, "STAR", star)
     r = random.Random(2)
-    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + r.randrange(i)) for i in range(1, 60)] + [(5, 5)]
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + r.randrange(i)) for i in range(1, 60)] + [(5, 5)] + [(2000, 2000 + i) for i in range(1, 40)]
     r.shuffle(edges)
     found = {x["node"]: x["component"] for x in simhash.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert found == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(60)}
+    assert found == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(60)} | {2000 + i: 2000 for i in range(40)}
 
 
 def test_representatives(spark, words):
