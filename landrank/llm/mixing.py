@@ -19,7 +19,8 @@ which ``SOURCES`` bounds.  A source's slots never exceed ``most`` passes over it
 Cases.  Null or empty text: size 0, takes 0.  Null source: a source of its own, last.  Empty source name: a source like
 any other.  Rows repeated: each has its own words.  Null doc_id: handed on.  Empty table, or no words at all: targets and
 counts of 0.  Extra columns, whatever their names, are not read, and handed on by ``mixed_documents``.  Ties in the order
-of documents are between rows of one doc_id, text and size.  Over ``SOURCES`` sources: an error.
+of documents are between rows of one doc_id, text and size; where very many such rows share a bin, all rows of the bin go
+by their places in the files.  Over ``SOURCES`` sources: an error.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .common import PLACE, field_of, handed_on, importable, placed, stored
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of a block, slots of a shard, rows of a bin, bins of a group, sources at most (its row has some 100 bytes).
 BLOCK, SHARD, BIN_ROWS, GROUP, SOURCES = 32, 4096, 500, 1000, 100_000
+#: A bin of so many times its rows is split, into so many parts at most.
+CROWD, SPLIT = 20, 1 << 20
 #: Shards of a task that draws.
 DRAWN = 64
 SEED = 7
@@ -172,8 +175,13 @@ def _taken(rows: DataFrame, weights=WEIGHTS, most: int = 3, block: int = BLOCK,
 
     # where each document's words begin in its source: sums of rows before it in its bin, of bins in its group, of groups
     named = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("__name")))
-    named = named.withColumn("__bin", F.pmod(F.xxhash64("doc_id", "hash", "size"), "__bins"))
-    sums = named.groupBy("__s", "__bin").agg(F.sum("size").alias("__sum")).withColumn("__group", F.expr(f"__bin div {GROUP}"))
+    named = named.withColumn("__bin", F.pmod(F.xxhash64("doc_id", "hash", "size"), "__bins") * SPLIT)
+    # a bin of very many rows, as of one that is repeated, is split by the rows' places; there are few such bins by their size
+    crowded = named.groupBy("__s", "__bin").agg(F.count("*").alias("__n")).where(F.col("__n") > CROWD * BIN_ROWS)
+    named = named.join(F.broadcast(crowded), ["__s", "__bin"], "left")
+    split = F.pmod(F.xxhash64(*PLACE), F.least(F.lit(SPLIT).cast("long"), F.expr(f"__n div {BIN_ROWS}")))
+    named = named.withColumn("__bin", F.col("__bin") + F.when(F.col("__n").isNotNull(), split).otherwise(0))
+    sums = named.groupBy("__s", "__bin").agg(F.sum("size").alias("__sum")).withColumn("__group", F.expr(f"__bin div {GROUP * SPLIT}"))
     before = lambda column, order, *by: F.coalesce(F.sum(column).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = sums.groupBy("__s", "__group").agg(F.sum("__sum").alias("__all"))
     groups = groups.select("__s", "__group", before("__all", ["__group"], "__s").alias("__first"))

@@ -214,3 +214,14 @@ def test_null_ids_are_drawn_apart(spark):
     rows = [(None, f"w{i} " * 40, "ab"[i % 4 == 0]) for i in range(600)]
     got = mixing.mixed_documents(spark.createDataFrame(rows, DOCS)).count()
     assert got == pytest.approx(600, rel=0.06)
+
+
+def test_a_row_repeated_very_often(spark, monkeypatch):
+    """Bins that hold very many rows are split; words are still packed without a gap."""
+    monkeypatch.setattr(mixing, "BIN_ROWS", 10)
+    rows = [(7, "w " * 10, "a")] * 3000 + [(i, "w " * 10, "a") for i in range(200)] + [(None, None, None)] * 500
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mixed(df, most=1).collect()
+    assert len(got) == 3700 and all(x["taken"] == x["size"] for x in got)  # one pass over one source takes every word once
+    offsets = sorted(x["at"] for x in mixing._taken(mixing._sized(mixing.placed(df), df)).where("size > 0").collect())
+    assert offsets == list(range(0, 32000, 10))
