@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from ..functions.thresholds import BUILDABLE_SLOPE
 
 FLAT = 1e-10
@@ -159,3 +160,80 @@ def contour_segments(pixels: DataFrame, interval: float = 50.0, nodata: float |
     found = F.when(saddle, two).when(F.size(hits) == 2, F.array(pair(F.element_at(hits, 1), F.element_at(hits, 2))))
     out = levels.select("elevation", F.explode(found).alias("s"))
     return out.select("elevation", (F.col("elevation") % 100 == 0).alias("major"), F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+
+
+def joined_lines(lines: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+    """Lines joined where their ends meet, two by two; rings end where they begin."""
+    ends: dict[tuple[float, float], list[int]] = {}
+    for i, line in enumerate(lines):
+        for end in (line[0], line[-1]):
+            ends.setdefault(end, []).append(i)
+    used, out = [False] * len(lines), []
+
+    def grown(line: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        """The line with all that can be joined to its last point."""
+        while line[0] != line[-1]:
+            other = next((j for j in ends[line[-1]] if not used[j]), None)
+            if other is None:
+                break
+            used[other] = True
+            more = lines[other]
+            line += more[1:] if more[0] == line[-1] else more[-2::-1]
+        return line
+
+    for i, line in enumerate(lines):
+        if not used[i]:
+            used[i] = True
+            out.append(grown(grown(list(line))[::-1]))
+    return out
+
+
+def contour_lines(pixels: DataFrame, interval: float = 50.0, nodata: float | None = None, least: int = 5, tile: float = 5000.0) -> DataFrame:
+    """elevation, major, parts: contour segments joined to lines of ``least`` points or more.
+
+    Segments are joined tile by tile.  An end well within its tile, with nothing to be joined to, is dead: it lies at the
+    rim of the raster or beside a missing pixel.  Rings and lines with two dead ends are whole; the others are joined again
+    by tiles of twice the side, until one holds all that are left.
+    """
+    segments = contour_segments(pixels, interval, nodata).where("x1 <> x2 or y1 <> y2")
+    ends = [F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)]
+    lines = segments.select("elevation", F.array(*ends).alias("points"), F.array(F.lit(False), F.lit(False)).alias("dead"), F.lit(False).alias("whole"))
+    bounds = [f(n).alias(f"{f.__name__}_{n}") for n in ("x", "y", "col") for f in (F.min, F.max)]
+    box = pixels.agg(*bounds).first()
+    x0, y0, side = box["min_x"], box["min_y"], None if box["min_x"] is None else max(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"])
+    pixel = (box["max_x"] - x0) / (box["max_col"] - box["min_col"]) if side and box["max_col"] > box["min_col"] else 1.0
+    kinds = "elevation double, points array<struct<x:double,y:double>>, dead array<boolean>, whole boolean"
+
+    def joiner(size: float, first: bool, last: bool):
+        def one(key, part):
+            import pandas as pd
+
+            left, low, edge = (x0 or 0.0) + key[1] * size, (y0 or 0.0) + key[2] * size, 2 * pixel
+            told = [[(p["x"], p["y"]) for p in points] for points in part["points"]]
+            dead = {line[k] for line, flags in zip(told, part["dead"], strict=True) for k in (0, -1) if flags[k]}
+
+            def ended(p) -> bool:
+                return p in dead or first and left + edge < p[0] < left + size - edge and low + edge < p[1] < low + size - edge
+
+            rows = []
+            for line in joined_lines(told):
+                flags = [ended(line[0]), ended(line[-1])]
+                rows.append((key[0], [{"x": x, "y": y} for x, y in line], flags, last or line[0] == line[-1] or all(flags)))
+            return pd.DataFrame(rows, columns=["elevation", "points", "dead", "whole"])
+
+        return one
+
+    first = True
+    while True:
+        last = not side or tile > side
+        middle = F.expr("cast(size(points) div 2 as int)")  # a line goes to the tile of its middle segment
+        x, y = ((F.element_at("points", middle)[n] + F.element_at("points", middle + 1)[n]) / 2 for n in ("x", "y"))
+        at = [F.floor((v - (o or 0.0)) / F.lit(float(tile))).alias(n) for v, o, n in ((x, x0, "tx"), (y, y0, "ty"))]
+        key = [F.lit(0).cast("long").alias("tx"), F.lit(0).cast("long").alias("ty")] if last else at
+        lines = stored(lines, "contours")
+        open_ = lines.where("not whole").select("elevation", "points", "dead", *key)
+        lines = lines.where("whole").unionByName(open_.groupBy("elevation", "tx", "ty").applyInPandas(joiner(tile, first, last), kinds))
+        if last:
+            major = (F.col("elevation") % 100 == 0).alias("major")
+            return lines.where(F.size("points") >= least).select("elevation", major, F.array("points").alias("parts"))
+        tile, first = 2 * tile, False

@@ -84,9 +84,8 @@ def centres(rows: DataFrame, source: int) -> DataFrame:
 
 
 def contours(pixels: DataFrame, source: int, nodata: float | None) -> DataFrame:
-    rows = terrain.contour_segments(pixels, 50.0, nodata)
-    ends = [F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)]
-    points = F.array(F.array(*(_degrees(p, source) for p in ends)))
+    rows = terrain.contour_lines(pixels, 50.0, nodata).select("elevation", "major", F.col("parts")[0].alias("points"))
+    points = F.array(F.transform("points", lambda p: _degrees(p, source)))
     return rows.select(_feature("LineString", _pairs(points, 4)[0], [F.col("elevation"), F.col("major")]).alias("feature"))
 
 

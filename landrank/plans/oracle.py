@@ -39,6 +39,8 @@ VIEWS = {
           ((k * 1723) % 9000 + 13 + 300 + (k % 6) * 150)::DOUBLE AS xmax, ((k * 2917) % 9000 + 17 + 280 + (k % 4) * 210)::DOUBLE AS ymax FROM (SELECT n_nationkey::BIGINT AS k FROM nation)
         UNION ALL SELECT k * 2 + 1, 'flood_zone', ((k * 2311) % 9000 + 29)::DOUBLE, ((k * 1259) % 9000 + 31)::DOUBLE,
           ((k * 2311) % 9000 + 29 + 700 + k * 130)::DOUBLE, ((k * 1259) % 9000 + 31 + 640 + k * 170)::DOUBLE FROM (SELECT r_regionkey::BIGINT AS k FROM region)""",
+    "shapes": """SELECT id, x, y, w, h, x + w + 50 AS tx FROM (SELECT s_suppkey::BIGINT AS id, ((s_suppkey::BIGINT * 1723) % 8000 + 13)::DOUBLE AS x, ((s_suppkey::BIGINT * 2917) % 8000 + 17)::DOUBLE AS y,
+        (300 + (s_suppkey::BIGINT % 6) * 152)::DOUBLE AS w, (280 + (s_suppkey::BIGINT % 4) * 212)::DOUBLE AS h FROM supplier)""",
     "by_centre": "SELECT DISTINCT cell_id, reason FROM cells c, zones z WHERE cx > z.xmin AND cx < z.xmax AND cy > z.ymin AND cy < z.ymax",
     "zone_shares": """SELECT cell_id, reason, greatest(0e0, least(c.xmax, z.xmax) - greatest(c.xmin, z.xmin)) * greatest(0e0, least(c.ymax, z.ymax) - greatest(c.ymin, z.ymin)) / 62500e0 AS share
         FROM cells c, zones z WHERE least(c.xmax, z.xmax) > greatest(c.xmin, z.xmin) AND least(c.ymax, z.ymax) > greatest(c.ymin, z.ymin)""",
@@ -75,6 +77,11 @@ def _range(xmin="xmin", ymin="ymin", xmax="xmax", ymax="ymax"):
     return first, last, f"({inside} AND {first} <= {last})"
 
 
+def _common(xmin, ymin, xmax, ymax):
+    """Area that a rectangle shares with a cell."""
+    return f"greatest(0e0, least(xmax, {xmax}) - greatest(xmin, {xmin})) * greatest(0e0, least(ymax, {ymax}) - greatest(ymin, {ymin}))"
+
+
 MEETS = _range()[2]
 CORNERS = ", ".join(_far(x, y) for x in ("xmin", "xmax") for y in ("ymin", "ymax"))
 APART = f"CASE WHEN {MEETS} THEN 0e0 ELSE least({CORNERS}, {_out('x1', 'y1')}, {_out('x2', 'y2')}) END"
@@ -180,6 +187,11 @@ SELECTS = {
     "q_load_exclusions": "SELECT feature_id, reason AS exclusion_reason, xmin, ymin, xmax, ymax FROM zones",
     "q_exclusion_centroid": "SELECT * FROM by_centre",
     "q_exclusion_overlap": "SELECT * FROM by_overlap",
+    "q_shape_overlap": f"""SELECT cell_id, feature_id, round(share, 6) AS share FROM (SELECT cell_id, id AS feature_id, ({_common('x', 'y', 'x + w', 'y + h')} - {_common('x + w / 4', 'y + h / 4', 'x + w / 2', 'y + h / 2')}) / 62500e0 AS share
+        FROM cells, shapes WHERE x < xmax AND x + w > xmin AND y < ymax AND y + h > ymin) WHERE share > 0""",
+    "q_shape_centres": """SELECT cell_id, id AS feature_id FROM cells, shapes WHERE cx > x AND cx < x + w AND cy > y AND cy < y + h AND NOT (cx BETWEEN x + w / 4 AND x + w / 2 AND cy BETWEEN y + h / 4 AND y + h / 2)
+        OR cx > tx AND cy > y AND (cx - tx) / 300e0 + (cy - y) / 400e0 < 1""",
+    "q_shape_parcels": f"SELECT id AS parcel_id, round(acres, 6) AS area_acres, {_score('acres', ACRES)} AS size_score FROM (SELECT *, (w * h * 15 / 16 + 60000e0) / 4046.86e0 AS acres FROM shapes)",
     "q_exclusions": "SELECT cell_id, status, exclusion_reasons FROM open_cells",
     "q_zonal_elevation": f"SELECT cell_id, round(mean, 6) AS mean, n, {_score('mean', ELEVATION)} AS score FROM (SELECT floor(x / 250)::BIGINT * 40 + floor(y / 250)::BIGINT AS cell_id, avg(z) AS mean, count(*) AS n FROM samples GROUP BY 1)",
     "q_zonal_range": "SELECT floor(x / 250)::BIGINT * 40 + floor(y / 250)::BIGINT AS cell_id, max(z) - min(z) AS range FROM samples GROUP BY 1",

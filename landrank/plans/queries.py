@@ -53,6 +53,25 @@ def q_exclusion_overlap(spark, sf_dir):
     return exclusions.by_overlap(v.cells(spark), v.zones(spark, sf_dir))
 
 
+@query
+def q_shape_overlap(spark, sf_dir):
+    """Shares of cells under polygons with holes and several parts: rectangles with a hole, of which SQL knows the area."""
+    plain = v.shapes(spark, sf_dir).withColumn("geom", F.slice("geom", 1, 1))
+    return spatial.polygon_overlaps(v.cells(spark), plain).select("cell_id", "feature_id", _r("share"))
+
+
+@query
+def q_shape_centres(spark, sf_dir):
+    features = v.shapes(spark, sf_dir).select("feature_id", "xmin", "ymin", "xmax", "ymax", "edges")
+    return spatial.points_in_polygons(v.cells(spark).select("cell_id", "cx", "cy"), features, "cx", "cy").select("cell_id", "feature_id")
+
+
+@query
+def q_shape_parcels(spark, sf_dir):
+    """Sizes of parcels of any shape."""
+    return ranking.parcel_size(v.shapes(spark, sf_dir).withColumnRenamed("feature_id", "parcel_id")).select("parcel_id", _r("area_acres"), "size_score")
+
+
 def _open_cells(spark, sf_dir):
     return exclusions.apply(v.cells(spark), v.zones(spark, sf_dir))
 

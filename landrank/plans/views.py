@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..operators import exclusions, grid, spatial, terrain
 from ..operators.scorers import Context
 
@@ -113,6 +114,23 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exclusions.load(spark, protected(spark, sf_dir), flood(spark, sf_dir))
 
 
+def _ring(*points) -> str:
+    """A closed ring as SQL, of corners given as expressions."""
+    return "array(" + ", ".join(f"struct(cast({x} as double) as x, cast({y} as double) as y)" for x, y in (*points, points[0])) + ")"
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle with a hole, and a right triangle beside it, as one feature, for every supplier."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("feature_id"))
+    size = {"x": _d("(feature_id * 1723) % 8000 + 13", "x"), "y": _d("(feature_id * 2917) % 8000 + 17", "y"), "w": _d("300 + (feature_id % 6) * 152", "w"), "h": _d("280 + (feature_id % 4) * 212", "h")}
+    box = _ring(("x", "y"), ("x + w", "y"), ("x + w", "y + h"), ("x", "y + h"))
+    hole = _ring(("x + w / 4", "y + h / 4"), ("x + w / 4", "y + h / 2"), ("x + w / 2", "y + h / 2"), ("x + w / 2", "y + h / 4"))
+    corner = _ring(("x + w + 50", "y"), ("x + w + 350", "y"), ("x + w + 50", "y + 400"))
+    rows = rows.withColumns(size).select("feature_id", F.expr(f"array(array({box}, {hole}), array({corner}))").alias("geom"))
+    rows = rows.withColumns({"edges": g.polygon_edges(F.col("geom")), "exclusion_reason": F.lit("protected_area")})
+    return rows.withColumns(dict(zip(("xmin", "ymin", "xmax", "ymax"), g.edges_bounds(F.col("edges")), strict=True)))
+
+
 KINDS = ["Urban area", "Forest", "Commercial", "Wetland", None, "RESIDENTIAL"]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -298,3 +299,38 @@ def test_what_the_log_says(spark):
     cells, seen = scorers.observed(spark.createDataFrame(rows, "cell_id long, status string, score_solar double, score double, confidence_band string"), ["solar"])
     assert cells.count() == 3
     assert scorers.told(seen.get) == ["1 of 3 cells excluded", "score_solar: mean 20.0, median 10.0", "score: mean 50.0, median 40.0", "confidence: 1 high, 0 medium, 1 low"]
+
+
+@pytest.mark.parametrize("tile", [100.0, 300.0, 1e9])
+def test_contour_lines(spark, tile):
+    """Every segment is in one line; rings close; lines end only at the rim or beside missing pixels; tiles make no difference."""
+    z = lambda i, j: 120 + 90 * math.sin(i / 5) * math.cos(j / 6) + i
+    rows = spark.createDataFrame([(i, j, j * 10.0, -i * 10.0, z(i, j)) for i in range(40) for j in range(50) if not (18 <= i < 21 and 20 <= j < 24)], "row long, col long, x double, y double, z double")
+    segments = {frozenset({(r["x1"], r["y1"]), (r["x2"], r["y2"])}) for r in terrain.contour_segments(rows, 50).collect() if (r["x1"], r["y1"]) != (r["x2"], r["y2"])}
+    lines = [[(p["x"], p["y"]) for p in r["parts"][0]] for r in terrain.contour_lines(rows, 50, None, 2, tile).collect()]
+    steps = [frozenset(s) for line in lines for s in zip(line, line[1:])]
+    assert len(steps) == len(set(steps)) and set(steps) == segments
+    ends = [p for line in lines if line[0] != line[-1] for p in (line[0], line[-1])]
+    assert any(line[0] == line[-1] for line in lines) and len(ends) == len(set(ends))
+    degree = Counter(p for s in segments for p in s)
+    assert sorted(ends) == sorted(p for p, n in degree.items() if n % 2)
+    assert all(len(r["parts"][0]) >= 5 for r in terrain.contour_lines(rows, 50, None, 5, tile).collect())
+
+
+def test_no_contours(spark):
+    rows = spark.createDataFrame([], "row long, col long, x double, y double, z double")
+    assert terrain.contour_lines(rows).collect() == []
+
+
+def test_fine_shapes(spark):
+    """Overlaps and centres of polygons with holes and several parts."""
+    outer, hole, other = ([(0.0, 0.0), (400.0, 0.0), (400.0, 400.0), (0.0, 400.0), (0.0, 0.0)], [(100.0, 100.0), (300.0, 100.0), (300.0, 300.0), (100.0, 300.0), (100.0, 100.0)], [(600.0, 0.0), (700.0, 0.0), (600.0, 100.0), (600.0, 0.0)])
+    shapes = spark.createDataFrame([(0, "protected_area", [[outer, hole], [other]])], "feature_id long, exclusion_reason string, geom array<array<array<struct<x:double,y:double>>>>")
+    from landrank.sources import vector
+
+    rows = vector.with_bounds(shapes.withColumns({"parts": F.lit(None).cast(g.PARTS), "x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")}))
+    cells = grid.generate(spark, (0, 0, 1000, 500), 250)
+    shares = {r["cell_id"]: r["share"] * 62500 for r in spatial.polygon_overlaps(cells, rows).collect()}
+    assert shares == pytest.approx({0: 62500 - 22500, 1: 37500 - 7500, 2: 37500 - 7500, 3: 22500 - 2500, 4: 5000.0})
+    centres = {r["cell_id"] for r in spatial.points_in_polygons(cells, rows.select("feature_id", "xmin", "ymin", "xmax", "ymax", "edges"), "cx", "cy").collect()}
+    assert centres == {1, 2, 3}
