@@ -320,6 +320,15 @@ def joined_to(rows: DataFrame, known: DataFrame, key: str, crowded: int) -> Data
     return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(known.where(F.col("n") <= STAR), key))
 
 
+#: Rows of a few numbers that are sent to all tasks, so that texts need not move to meet them; beyond, they are joined.
+SENT_ROWS = 300_000
+
+
+def sent_if_few(known: DataFrame) -> DataFrame:
+    """A stored table, sent to all tasks if its rows are counted as few."""
+    return F.broadcast(known) if known.count() <= SENT_ROWS else known
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node with a link, by alternating large and small stars.
 
@@ -417,7 +426,9 @@ def candidates(members: DataFrame, wide: int, radius: int, similarity: float) ->
 
 
 #: Members of a candidate component, and shingles of theirs, to a block; larger components are cut into blocks.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 4_000, 2_000_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 2_000_000
+#: Members that are held against all others, and of those others, to a group, at most.
+ASK_MEMBERS = 4_000
 #: Pivots of a large component, about.
 PIVOTS = 16
 #: Shingles that are looked up at a time.
@@ -507,8 +518,8 @@ def shingle_sets(rows: DataFrame, members: DataFrame, edges: DataFrame, words: i
     """component, __member, fingerprint words and shingles of every member of a candidate component, stored; made once for each set."""
     names = _names(wide)
     places = members.join(connected(edges).withColumnRenamed("node", "__member"), "__member")
-    places = places.select("component", "__member", *names, *(F.col(f"__best.{p}").alias(p) for p in PLACE))
-    texts = rows.select(*PLACE, "text").join(places, PLACE).select("component", "__member", *names, "text")
+    places = stored(places.select("component", "__member", *names, *(F.col(f"__best.{p}").alias(p) for p in PLACE)), "simhash-places")
+    texts = rows.select(*PLACE, "text").join(sent_if_few(places), PLACE).select("component", "__member", *names, "text")
 
     def sets(batches):
         for batch in batches:
@@ -529,7 +540,7 @@ def verified(known: DataFrame, wide: int, radius: int, similarity: float) -> Dat
     sizes = known.groupBy("component").agg(F.count("*").alias("n"), (F.sum(F.length("shingles")) / 8).cast("long").alias("s"))
     # a block of a large component is a group; pivots, a part of the members chosen by hash, are in all its blocks
     blocks = F.expr(f"1 + greatest(n div {BLOCK_MEMBERS}, s div {BLOCK_SHINGLES})").alias("__blocks")
-    large = stored(sizes.select("component", "n", blocks).where("__blocks > 1"), "simhash-large")
+    large = stored(sizes.select("component", "n", "s", blocks).where("__blocks > 1"), "simhash-large")
     few = large.count()
     if not few:
         return arrow_pass(_dealt(known.withColumnRenamed("component", "__group").select(*columns)), _compared(wide, radius, similarity), "u long, v long")
@@ -552,13 +563,16 @@ def verified(known: DataFrame, wide: int, radius: int, similarity: float) -> Dat
     if loose.isEmpty():
         return found
     rest = named.join(F.broadcast(loose) if few <= SENT else loose, "component").withColumn("__asks", F.col("__part") != F.col("__main"))
-    # every block of the rest meets every block of the component
-    asked = F.expr(f"1 + __loose div {BLOCK_MEMBERS}")
-    turn = F.pmod(F.xxhash64("__member", F.lit("turn")), asked)
-    asks = rest.where("__asks").withColumn("__a", turn).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
-    told = rest.withColumn("__a", F.explode(F.sequence(F.lit(0).cast("long"), asked - 1))).withColumn("__b", F.col("__block"))
+    # the rest in groups of up to ASK_MEMBERS meets all members, in groups that are as large as there is of the rest
+    asked = F.expr(f"1 + greatest(__loose div {ASK_MEMBERS}, __loose * (s div n) div {BLOCK_SHINGLES})")
+    told_in = F.expr(f"1 + greatest(n div least(greatest(__loose, {BLOCK_MEMBERS}), {ASK_MEMBERS}), s div {BLOCK_SHINGLES})")
+    rest = rest.withColumns({"__asked": asked, "__told": told_in})
+    turn = lambda name, n: F.pmod(F.xxhash64("__member", F.lit(name)), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asks = rest.where("__asks").withColumn("__a", turn("ask", F.col("__asked"))).withColumn("__b", each("__told"))
+    told = rest.withColumn("__a", each("__asked")).withColumn("__b", turn("told", F.col("__told")))
     met = lambda rows, ask: rows.select(F.xxhash64("component", "__a", "__b").alias("__group"), *columns[1:], "__part", ask.alias("__asks"))
-    # a member that asks and stands in the block asked is there twice, of one part, so it does not meet itself
+    # a member that asks and is told in one group is there twice, of one part, so it does not meet itself
     second = met(asks, F.lit(True)).unionByName(met(told, F.lit(False)))
     return found.unionByName(arrow_pass(_dealt(second), _compared(wide, radius, similarity, asking=True), "u long, v long"))
 
@@ -581,5 +595,5 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, wi
     parts = connected(same).withColumnRenamed("node", "__member")
     named = members.join(parts, "__member", "left").groupBy(F.coalesce("component", "__member")).agg(F.min("__best").alias("__top"))
     stay = named.select(*(F.col(f"__top.{p}").alias(p) for p in PLACE))
-    gone = found.select(*PLACE).join(stay, PLACE, "left_anti")  # far fewer than stay, and without texts
-    return handed_on(rows.join(gone, PLACE, "left_anti"), docs)
+    gone = stored(found.select(*PLACE).join(stay, PLACE, "left_anti"), "simhash-gone")  # far fewer than stay, and without texts
+    return handed_on(rows.join(sent_if_few(gone), PLACE, "left_anti"), docs)
