@@ -24,7 +24,7 @@ from .common import arrow_pass, id_and_text, texts_of
 from .pretoken import pretokens
 
 #: Bounds of the tables that a worker keeps: pre-tokens (two generations), prefixes, pairs. What goes is worked out again.
-WORDS_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 260_000, 220_000, 250_000
+WORDS_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 340_000, 220_000, 250_000
 #: Pre-tokens longer than this many bytes take a table of their own.
 LONG = 48
 
@@ -37,8 +37,8 @@ class Encoder:
         self.last: dict[bytes, int] = {}
         self.apart: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a single byte."""
@@ -140,20 +140,26 @@ class Encoder:
         ids.reverse()
         return ids
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a pre-token, and the same as decimals joined by spaces."""
+    def word(self, word: str) -> tuple[int, str, bytes]:
+        """Of a pre-token: number of its ids, the ids as decimals joined by spaces, the bytes decoded from them."""
         found = self.words.get(word) or self.older.get(word)
         if found is None:
-            ids = tuple(self.encode_bytes(word.encode()))
-            found = (ids, " ".join(map(str, ids)))
+            ids = self.encode_bytes(word.encode())
+            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
         if len(word) <= 256:
             if len(self.words) >= WORDS_KEPT // 2:  # words in use pass on to the next generation, others go with theirs
                 self.words, self.older = {}, self.words
             self.words[word] = found
         return found
 
+    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
+        """``word`` of all pre-tokens of a text."""
+        words = pretokens(text)
+        found = list(map(self.words.get, words))
+        return [f or self.word(w) for f, w in zip(found, words, strict=True)] if None in found else found
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.word(w)[0] for w in pretokens(text)))
+        return list(chain.from_iterable(map(int, ids.split()) for _, ids, _ in self.pieces(text)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.spelled.__getitem__, ids))
@@ -202,11 +208,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             counts, ids_hex, bytes_hex = [], [], []
             for text in texts_of(batch, 1):
-                words = [enc.words.get(w) or enc.word(w) for w in pretokens(text)]
-                ids = list(chain.from_iterable(w[0] for w in words))
-                counts.append(len(ids))
+                words = enc.pieces(text)
+                counts.append(sum([w[0] for w in words]))
                 ids_hex.append(hashlib.sha256(" ".join([w[1] for w in words]).encode()).hexdigest())
-                bytes_hex.append(hashlib.sha256(enc.decode(ids)).hexdigest())
+                bytes_hex.append(hashlib.sha256(b"".join([w[2] for w in words])).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(bytes_hex, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
