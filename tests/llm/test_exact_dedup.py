@@ -72,3 +72,19 @@ def test_trie_keeps_the_best_in_any_order():
     for row in ((3, 9, 0), (5, 9, 1), (5, 2, 2), (5, None, 3)):
         owner = trie.place(b"abc", row)
     assert owner == (5, 2, 2) and trie.place(b"abd", (1, 1, 4)) == (1, 1, 4) and trie.place(b"", (0, 0, 5)) == (0, 0, 5)
+
+
+def test_copies_of_many_batches_are_thinned_in_a_task():
+    """Of a text that every batch of a task holds, few rows go on: the first, and better ones after it."""
+    import pyarrow as pa
+
+    kind = pa.struct([("c0", pa.int64()), ("c1", pa.string())])
+
+    def batch(rows):
+        row = pa.array([{"c0": i, "c1": t} for i, t in rows], kind)
+        ids, points = pa.array([i for i, _ in rows]), pa.array([len(t) for _, t in rows], pa.int32())
+        return pa.RecordBatch.from_arrays([row, ids, ids, points], names=["row", "doc_id", "__rid", "__points"])
+
+    batches = [batch([(10 * k + j, "same text" if j < 8 else f"own {k} {j}") for j in range(10)]) for k in range(50)] + [batch([(900, "same  text")])]
+    got = [r["c1"] for b in exact_dedup._thinned("c1")(iter(batches)) for r in b.column(0).to_pylist()]
+    assert got.count("same text") == 1 and got.count("same  text") == 1 and len(got) == 102
