@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import importable, tables_of
 from ..operators import exclusions, flow, grid, ranking, scorers, terrain
-from ..sources import ingest
+from ..sources import ingest, raster
 from ..sources.config import Config
 from . import export
 
@@ -29,6 +29,7 @@ def prepare(spark: SparkSession, config: Config, accumulate: bool = True) -> Dat
                 flow.accumulation(flow.pointers(flow.fill_depressions(dem))).write.parquet(str(ingest.stored_path(config, "flow_accumulation")))
     else:
         log.warning("No DEM available; skipping derivatives")
+    write_rasters(spark, config)
     land = ingest.load(spark, config, "land_cover")
     kind = grid.type_column(land) if land is not None else None
     cells = grid.rural_cells(grid.generate(spark, config.bbox, config.cell_size), land, config.bbox, kind)
@@ -36,6 +37,23 @@ def prepare(spark: SparkSession, config: Config, accumulate: bool = True) -> Dat
     return ingest.load(spark, config, "candidate_grid")
 
 
+def write_rasters(spark: SparkSession, config: Config) -> list[str]:
+    """The derived rasters as GeoTIFF files beside the stored tables: slope and aspect as numbers, buildable ground as 0 and 1."""
+    found, head = ingest.load(spark, config, "terrain"), ingest.dem_header(config)
+    if found is None or head is None:
+        return []
+    ends = found.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()
+    if ends["row"] is None:
+        return []
+    out, shape = [], (ends["row"] + 1, ends["col"] + 1)
+    rows = found.withColumn("buildable", terrain.buildable(F.col("slope")))
+    for column, kind, nodata in (("slope", "f4", -9999.0), ("aspect", "f4", -9999.0), ("buildable", "u1", 255)):
+        path = str(config.processed / f"{column}.tif")
+        raster.write(rows, column, path, shape, *head["origin"], head["resolution"], nodata, kind, config.epsg)
+        out.append(path)
+    return out
+
+
 def data_flags(config: Config) -> dict[str, bool]:
     """What is known about the data as a whole: by which layers are stored, and by the raster's resolution."""
     head = ingest.dem_header(config)

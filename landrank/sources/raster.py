@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.storage import importable
@@ -232,35 +233,81 @@ def read_header(spark: SparkSession, path: str) -> Header:
         stream.close()
 
 
-def encode(z: np.ndarray, left: float, top: float, resolution: float, nodata: float | None = None, epsg: int = 2961, strip: int | None = None) -> bytes:
-    """A GeoTIFF file of deflated strips of ``strip`` rows (default: one strip): what tests and small exports need."""
-    kind, strip = {"f": 3, "i": 2, "u": 1}[z.dtype.kind], strip or z.shape[0]
-    plain = z.astype(z.dtype.newbyteorder("<"))
-    bodies = [zlib.compress(np.ascontiguousarray(plain[i : i + strip]).tobytes()) for i in range(0, z.shape[0], strip)]
+def _directory(kind: np.dtype, width: int, height: int, strip: int, places: list[int], sizes: list[int], left: float, top: float, resolution: float, nodata, epsg: int, at: int) -> bytes:
+    """The tags of a file of deflated strips, to stand at ``at``."""
     text = (str(nodata).encode() + b"\0") if nodata is not None else b"\0"
-    long = [
-        struct.pack("<3d", resolution, resolution, 0.0),
-        struct.pack("<6d", 0, 0, 0, left, top, 0),
-        struct.pack("<8H", 1, 1, 0, 1, PROJECTED, 0, 1, epsg),
-        text.ljust(8, b"\0"),
-        struct.pack(f"<{len(bodies)}I", *map(len, bodies)),
-    ]
-    entries = 14
-    start = 8 + 2 + entries * 12 + 4
-    places, at = [], start
-    for item in long:
-        places.append(at)
-        at += len(item)
-    starts = [at + 4 * len(bodies) + sum(map(len, bodies[:i])) for i in range(len(bodies))]
-    long.append(struct.pack(f"<{len(bodies)}I", *starts))
-    several = len(bodies) > 1
-    ifd = [
-        (WIDTH, 4, 1, z.shape[1]), (HEIGHT, 4, 1, z.shape[0]), (BITS, 3, 1, z.dtype.itemsize * 8), (COMPRESSION, 3, 1, 8), (262, 3, 1, 1),
-        (OFFSETS, 4, len(bodies), at if several else starts[0]), (277, 3, 1, 1), (ROWS, 4, 1, strip),
-        (COUNTS, 4, len(bodies), places[4] if several else len(bodies[0])), (SAMPLE_FORMAT, 3, 1, kind),
-        (SCALE, 12, 3, places[0]), (TIEPOINT, 12, 6, places[1]), (KEYS, 3, 8, places[2]), (NODATA, 2, 8, places[3]),
+    several = len(places) > 1
+    long = {
+        SCALE: struct.pack("<3d", resolution, resolution, 0.0), TIEPOINT: struct.pack("<6d", 0, 0, 0, left, top, 0),
+        KEYS: struct.pack("<8H", 1, 1, 0, 1, PROJECTED, 0, 1, epsg), NODATA: text.ljust(8, b"\0"),
+        OFFSETS: struct.pack(f"<{len(places)}I", *places), COUNTS: struct.pack(f"<{len(sizes)}I", *sizes),
+    }
+    form = {"f": 3, "i": 2, "u": 1}[kind.kind]
+    entries = [
+        (WIDTH, 4, 1, width), (HEIGHT, 4, 1, height), (BITS, 3, 1, kind.itemsize * 8), (COMPRESSION, 3, 1, 8), (262, 3, 1, 1),
+        (OFFSETS, 4, len(places), None if several else places[0]), (277, 3, 1, 1), (ROWS, 4, 1, strip), (COUNTS, 4, len(sizes), None if several else sizes[0]),
+        (SAMPLE_FORMAT, 3, 1, form), (SCALE, 12, 3, None), (TIEPOINT, 12, 6, None), (KEYS, 3, 8, None), (NODATA, 2, len(long[NODATA]), None),
     ]
-    head = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", entries)
-    for tag, code, count, value in ifd:
-        head += struct.pack("<HHI", tag, code, count) + (struct.pack("<HH", value, 0) if code == 3 and count == 1 else struct.pack("<I", value))
-    return head + struct.pack("<I", 0) + b"".join(long) + b"".join(bodies)
+    out, tail, place = struct.pack("<H", len(entries)), b"", at + 2 + 12 * len(entries) + 4
+    for tag, code, count, value in entries:
+        if value is None:
+            value, tail = place + len(tail), tail + long[tag]
+        out += struct.pack("<HHI", tag, code, count) + (struct.pack("<HH", value, 0) if code == 3 and count == 1 else struct.pack("<I", value))
+    return out + struct.pack("<I", 0) + tail
+
+
+def _packed(z: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(z.astype(z.dtype.newbyteorder("<"))).tobytes())
+
+
+def encode(z: np.ndarray, left: float, top: float, resolution: float, nodata: float | None = None, epsg: int = 2961, strip: int | None = None) -> bytes:
+    """A GeoTIFF file of deflated strips of ``strip`` rows (default: one strip) of an array."""
+    strip = strip or z.shape[0]
+    bodies = [_packed(z[i : i + strip]) for i in range(0, z.shape[0], strip)]
+    places = [8 + sum(map(len, bodies[:i])) for i in range(len(bodies))]
+    at = 8 + sum(map(len, bodies))
+    return b"II*\0" + struct.pack("<I", at) + b"".join(bodies) + _directory(z.dtype, z.shape[1], z.shape[0], strip, places, list(map(len, bodies)), left, top, resolution, nodata, epsg, at)
+
+
+def write(pixels: DataFrame, column: str, path: str, shape: tuple[int, int], left: float, top: float, resolution: float, nodata: float = -9999.0, kind: str = "f4", epsg: int = 2961) -> None:
+    """One GeoTIFF of a column of a pixel table (row, col): tasks pack strips, the driver writes them in order as they come.
+
+    ``shape``: rows and columns; pixels that are missing, or null, get ``nodata``.
+    """
+    height, width = shape
+    strip = max(1, min(height, TASK_PIXELS // max(width, 1) // 16))
+    dtype = np.dtype(kind)
+
+    def one(key, part):
+        import pandas as pd
+
+        z = np.full((min(strip, height - int(key[0]) * strip), width), nodata, dtype)
+        there = part["v"].notna()
+        z[part["row"][there] - int(key[0]) * strip, part["col"][there]] = part["v"][there].astype(dtype)
+        return pd.DataFrame({"strip": [int(key[0])], "body": [_packed(z)]})
+
+    rows = pixels.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col(column).cast("double").alias("v"))
+    rows = rows.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+    strips = rows.groupBy(F.expr(f"row div {strip}").alias("strip")).applyInPandas(one, "strip long, body binary").orderBy("strip")
+    empty, places, sizes = _packed(np.full((strip, width), nodata, dtype)), [], []
+    with open(path, "wb") as out:
+        out.write(b"II*\0\0\0\0\0")
+
+        def put(body: bytes) -> None:
+            places.append(out.tell())
+            sizes.append(len(body))
+            out.write(body)
+
+        for found in strips.toLocalIterator():
+            while len(places) < found["strip"]:
+                put(empty)
+            put(bytes(found["body"]))
+        last = -(-height // strip) - 1
+        while len(places) <= last:
+            put(empty if len(places) < last else _packed(np.full((height - last * strip, width), nodata, dtype)))
+        at = out.tell()
+        if at >= 1 << 32:
+            raise ValueError(f"{path}: a classic TIFF file holds 4 GB")
+        out.write(_directory(dtype, width, height, strip, places, sizes, left, top, resolution, nodata, epsg, at))
+        out.seek(4)
+        out.write(struct.pack("<I", at))

@@ -150,6 +150,9 @@ def test_long_commands(spark, project, capsys):
     assert pipeline.score(spark, config) is None  # no grid yet
     assert cli.main(["--config", str(project), "prepare"], spark) == 0
     assert ingest.load(spark, config, "candidate_grid").count() == 16 and ingest.load(spark, config, "dem").count() == 10000
+    slopes = raster.read(spark, str(config.processed / "slope.tif")).collect()
+    assert len(slopes) == 10000 and all(r["z"] == pytest.approx(8.6156, abs=1e-3) for r in slopes)
+    assert {r["z"] for r in raster.read(spark, str(config.processed / "buildable.tif")).collect()} == {1.0}
     road = ingest.load(spark, config, "roads").where("line_id = 0").first()
     assert road["x1"] == X0 - 500  # such files are not cut
     assert cli.main(["--config", str(project), "score"], spark) == 0
@@ -308,3 +311,16 @@ def test_openstreetmap_extract(spark, tmp_path):
     row = vector.read(spark, str(path), 4326).first()
     assert row["xmin"] == pytest.approx(-64.5) and row["ymax"] == pytest.approx(45.0) and row["geom"] is None
     assert vector.read(spark, str(path)).first()["xmin"] > 300000
+
+
+@pytest.mark.parametrize("kind, nodata", [("f4", -9999.0), ("u1", 255)])
+def test_rasters_are_written_by_strips(spark, tmp_path, monkeypatch, kind, nodata):
+    monkeypatch.setattr(raster, "TASK_PIXELS", 16 * 21)  # three rows to a strip
+    z = {(i, j): float((i * 7 + j) % 200) for i in range(20) for j in range(7) if not (6 <= i < 9 or i > 17 or (i, j) == (2, 2))}
+    rows = spark.createDataFrame([(i, j, v) for (i, j), v in z.items()] + [(10, 3, None), (50, 0, 1.0)], "row long, col long, z double").dropDuplicates(["row", "col"])
+    there = {(r["row"], r["col"]): r["z"] for r in rows.collect()}
+    raster.write(rows, "z", str(tmp_path / "z.tif"), (20, 7), X0, Y0, 10.0, nodata, kind)
+    head = raster.read_header(spark, str(tmp_path / "z.tif"))
+    assert (head.width, head.height, head.nodata, head.epsg, head.left, head.top) == (7, 20, nodata, 2961, X0, Y0)
+    got = {(r["row"], r["col"]): r["z"] for r in raster.read(spark, str(tmp_path / "z.tif")).collect()}
+    assert got == {(i, j): nodata if there.get((i, j)) is None else there[i, j] for i in range(20) for j in range(7)}
