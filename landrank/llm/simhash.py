@@ -14,7 +14,7 @@ fingerprints share is dealt out again by bands over all bits, by the same rule.
 ``representatives`` (the pipeline's stage) links texts by the Jaccard similarity of their shingle sets.  Its keys are
 min-hash bands: two sets of similarity s agree on a band with probability s ** ``ROWS``, so a pair of just 0.8 shares one
 of ``BANDS`` with probability 0.9996, whatever the size of the corpus.  Tiles then leave out what the fingerprints put
-beyond the radius.  The links found only say which texts to hold against each other: each component of them is verified
+beyond the radius.  A key that very many texts share is tight, if they are near copies, or dealt out again by more keys.  The links found only say which texts to hold against each other: each component of them is verified
 on the shingle sets, where a pair is left out only if verified links join it already.  A large component is cut into
 blocks, each with a few pivots of the component: what the pivots join to its main part, as in a family of copies of any
 size, is not compared any further with that part, and only the rest is held against all other members.
@@ -397,32 +397,56 @@ def _members(rows: DataFrame, wide: int) -> DataFrame:
     return stored(found.withColumn("__member", F.monotonically_increasing_id()), "simhash-members")  # stored, so numbered once
 
 
-#: Texts of up to so many shingles are held against each other whatever their fingerprints, which are coarse for them.
-SHORT = 32
+#: Texts of up to so many shingles, whose fingerprints are coarse, are held against each other within a wider radius.
+SHORT, SHORT_RADIUS = 32, 80
+#: Times that rows of a crowded key are dealt out by further keys, and the share of a key's rows near the first that makes it tight.
+LEVELS, TIGHT = 4, 0.9
 
 
 def candidates(members: DataFrame, wide: int, radius: int, similarity: float) -> DataFrame:
-    """Rows (u, v) that join all members which share a min-hash key and lie within the radius.
+    """Rows (u, v) that join all members which share a min-hash key and lie within the radius, or that for short ones."""
+    longest = int(SHORT / similarity + 1e-9)
+    long, short = members.where(F.col("__n") > SHORT), members.where(F.col("__n") <= longest)
+    return _meetings(long, wide, radius).unionByName(_meetings(short, wide, SHORT_RADIUS))
 
-    Members that share a crowded key (over ``HOT``), and short ones that share any, are joined to the first of them
-    without a look at their fingerprints; this joins more, never less.
+
+def _meetings(members: DataFrame, wide: int, radius: int) -> DataFrame:
+    """The same of members of one radius, whatever keys are crowded.
+
+    A key of over ``HOT`` members is tight if most of them lie near its first, as copies of one text do: they are joined
+    to that, all of them, which joins more, never less.  Otherwise, as where unlike texts share a passage, its members are
+    dealt out again by each two of their keys, then by each three, and so on: similar ones share many keys, others few.
     """
-    names, longest = _names(wide), int(SHORT / similarity + 1e-9)
-    keyed = members.select(F.explode("__keys").alias("__key"), "__member", "__n", *names)
-    crowds = stored(keyed.groupBy("__key").agg(F.count("*").alias("n"), F.min("__member").alias("v")).where(F.col("n") > HOT).select("__key", "v"), "simhash-crowds")
-    few = crowds.count()
-    known = F.broadcast(crowds) if few <= SENT else crowds
-    short = keyed.where(F.col("__n") <= longest).select("__key", "__member")
-    short = short.join(known, "__key", "left_anti") if few else short
-    first = short.groupBy("__key").agg(F.min("__member").alias("v"), F.count("*").alias("n")).where("n > 1").select("__key", "v")
-    near = short.join(first, "__key").select(F.col("__member").alias("u"), "v")
-    long = keyed.where(F.col("__n") > SHORT)
-    if few:
-        near = near.unionByName(keyed.join(known, "__key").select(F.col("__member").alias("u"), "v"))
-        long = long.join(known, "__key", "left_anti")
+    names, out, last = _names(wide), None, LEVELS - 1
     pops = sum((F.bit_count(n) for n in names), F.lit(0))
-    dealt = long.select("__key", F.col("__member").alias("__node"), *names).repartition("__key").sortWithinPartitions("__key", pops)
-    return near.where("u <> v").unionByName(arrow_pass(dealt, _linked(radius, wide, ["__key"]), "u long, v long"))
+    key = F.explode("__keys").alias("__key")
+    rows = members.select(key, F.col("__member").alias("__node"), *names, "__keys").withColumn("__used", F.array("__key"))
+
+    def joined(more: DataFrame) -> DataFrame:
+        return more if out is None else out.unionByName(more)
+
+    for level in range(LEVELS):
+        first = F.min(F.struct("__node", *names)).alias("__first")
+        crowds = stored(rows.groupBy("__key").agg(F.count("*").alias("n"), first).where(F.col("n") > HOT), "simhash-crowds")
+        few = crowds.count()
+        known = F.broadcast(crowds) if few <= SENT else crowds
+        calm = rows.join(known.select("__key"), "__key", "left_anti") if few else rows
+        dealt = calm.select("__key", "__node", *names).repartition("__key").sortWithinPartitions("__key", pops)
+        out = joined(arrow_pass(dealt, _linked(radius, wide, ["__key"]), "u long, v long"))
+        if not few:
+            break
+        hot = rows.join(known.select("__key", "__first"), "__key")
+        far = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"__first.{n}"))) for n in names), F.lit(0))
+        shares = hot.groupBy("__key").agg(F.avg((far <= radius).cast("double")).alias("share"))
+        tight = stored(shares.select("__key", (F.lit(level == last) | (F.col("share") >= TIGHT)).alias("__tight")), "simhash-tight")
+        hot = hot.join(F.broadcast(tight) if few <= SENT else tight, "__key")
+        out = joined(hot.where("__tight").select(F.col("__node").alias("u"), F.col("__first.__node").alias("v")).where("u <> v"))
+        if level == last or tight.where("not __tight").isEmpty():
+            break
+        again = hot.where("not __tight").select("__key", "__node", *names, "__keys", "__used", F.explode(F.array_except("__keys", "__used")).alias("__other"))
+        again = again.withColumns({"__key": F.xxhash64("__key", "__other"), "__used": F.concat("__used", F.array("__other"))})
+        rows = stored(again.drop("__other"), "simhash-again")
+    return out
 
 
 #: Members of a candidate component, and shingles of theirs, to a block; larger components are cut into blocks.
@@ -442,7 +466,7 @@ def similar_pairs(
 
     A pair is left out only if verified pairs join it already, so no link is lost to one that fails.  ``label``: parts
     that are joined from the start; ``asks``: rows that are held against all that do not ask (default: all against all).
-    The radius does not hold where one set is short.
+    Where one set is short, the wider radius holds.
     """
     n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -459,7 +483,7 @@ def similar_pairs(
         far = np.zeros(len(todo), np.uint16)
         for w in words:
             far += np.bitwise_count(w[todo] ^ w[i])
-        near = (far <= radius) | small[todo] | small[i]
+        near = far <= np.where(small[todo] | small[i], max(radius, SHORT_RADIUS), radius)
         todo, far = todo[near], far[near]
         todo = todo[np.argsort(far, kind="stable")]
         mine, step = flat[starts[i] : starts[i + 1]], 16

@@ -236,6 +236,26 @@ def test_large_groups_are_cut(spark, words, monkeypatch, hot, blocks):
     _agree(spark, texts)
 
 
+@pytest.mark.parametrize("hot", [4096, 12])
+def test_a_passage_that_many_share_joins_no_texts(spark, words, monkeypatch, hot):
+    """Texts of which the same passage is over half share keys, crowded ones, but are no candidates; copies among them are found."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    r = random.Random(25)
+    passage = [r.choice(words) for _ in range(60)]
+    texts = [" ".join([f"own{i}x{k}" for k in range(50)] + passage) for i in range(250)]
+    texts += [t.replace("own", "own", 1).replace(" ", " changed ", 1) for t in texts[:20]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members = simhash._members(simhash.set_fingerprints(simhash._texts(simhash.placed(rows), rows), 5, 4), 4)
+    edges = [(x["u"], x["v"]) for x in simhash.candidates(members, 4, 55, 0.8).collect()]
+    root = _parts(edges)
+    sizes = {}
+    for e in edges:
+        for x in e:
+            sizes.setdefault(root(x), set()).add(x)
+    assert max(map(len, sizes.values())) < 40
+    _agree(spark, texts)
+
+
 def test_a_tight_group_is_not_compared_pair_by_pair(spark, words, monkeypatch):
     """Copies that the pivots join are held against these and their block alone."""
     monkeypatch.setattr(simhash, "BLOCK_MEMBERS", 50)
