@@ -20,11 +20,11 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_pass, id_and_text, texts_of
+from .common import arrow_pass, id_and_text, keeps, texts_of
 from .pretoken import pretokens
 
 #: Bounds of the tables that a worker keeps: pre-tokens (two generations), prefixes, pairs. What goes is worked out again.
-WORDS_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 340_000, 220_000, 250_000
+WORDS_KEPT, PREFIXES_KEPT, PAIRS_KEPT = 260_000, 100_000, 250_000
 #: Pre-tokens longer than this many bytes take a table of their own.
 LONG = 48
 
@@ -197,6 +197,9 @@ def encoder(path: str) -> Encoder:
         return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
+keeps(encoder.cache_clear)
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

@@ -45,12 +45,33 @@ def give_back() -> None:
         pass
 
 
+#: What a worker process keeps from task to task, as functions that let go of it, and the pass that it is at.
+_kept: list = []
+_pass: list[str] = [""]
+
+
+def keeps(let_go) -> None:
+    """Registers a cache of a worker process; it lasts while the worker is at one pass."""
+    _kept.append(let_go)
+
+
+def entered(name: str) -> None:
+    """A worker begins a task of a pass: what it kept for another goes, since workers outlive stages."""
+    if _pass[0] != name:
+        _pass[0] = name
+        for let_go in _kept:
+            let_go()
+        give_back()
+
+
 def arrow_pass(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` over bounded batches; a worker gives back what its batches took when the task ends."""
     bounded_batches(df.sparkSession)
     importable(df.sparkSession)
+    name = f"{function.__module__}.{function.__qualname__}"
 
     def run(batches):
+        entered(name)
         try:
             yield from function(batches)
         finally:

@@ -24,7 +24,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_pass, id_and_text, texts_of
+from .common import arrow_pass, id_and_text, keeps, texts_of
 from .pretoken import pretokens
 
 #: Nodes and terminals that a worker keeps; bytes of a pre-token beyond which it stays out of the trie.
@@ -108,6 +108,9 @@ def trie(path: str) -> SharedTrie:
         return SharedTrie({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
+keeps(trie.cache_clear)
+
+
 def counted(docs: DataFrame, path: str) -> DataFrame:
     """Per document doc_id, n_pretokens, n_tokens."""
 

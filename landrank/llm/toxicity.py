@@ -41,7 +41,7 @@ EXAMPLES, POSTINGS, BLOCK, FIRST_BLOCKS, NEAREST = 6000, 4_000_000, 128, 2, 15
 #: How much more than other words the most telling ones weigh; cosine of copies.
 BOOST, COPY = 30.0, 0.95
 #: Bounds of the words whose terms, and of the vectors whose scores, a worker keeps.
-WORDS_KEPT, VECTORS_KEPT = 150_000, 2_000
+WORDS_KEPT, VECTORS_KEPT = 100_000, 2_000
 #: Bytes of the index that hold the weights of common terms in rows.
 COMMON_BYTES = 32 << 20
 WORD = re.compile(r"\w+")
@@ -183,7 +183,7 @@ class Model:
 
     def score(self, ids: np.ndarray, counts: np.ndarray, known: dict) -> tuple[float, list[tuple[float, int]]]:
         """Score and nearest examples; equal counts (as of copies) are looked up once."""
-        key = (ids.tobytes(), counts.tobytes())
+        key = xxhash.xxh3_128_digest(ids.tobytes() + counts.tobytes())
         if key not in known:
             if len(known) >= VECTORS_KEPT:
                 known.clear()

@@ -95,3 +95,17 @@ def test_pretokens_are_the_patterns():
     pattern = regex.compile(P.PATTERN)
     for text in ("It's 12 o'clock!\n\n  Next  line ", "a b", "x_y", "été ß"):
         assert pretokens(text) == pattern.findall(text)
+
+
+def test_workers_let_go_between_passes():
+    from landrank.llm import common
+
+    gone = []
+    common.keeps(lambda: gone.append(1))
+    common.entered("a")
+    n = len(gone)
+    common.entered("a")
+    assert len(gone) == n
+    common.entered("b")
+    assert len(gone) == n + 1
+    common._kept.pop()
