@@ -46,7 +46,12 @@ def connector() -> Column:
     return F.coalesce(F.col("FEAT_CODE").startswith("WACO"), F.lit(False))
 
 
-def pairs(cells: DataFrame, segments: DataFrame, reach: float = t.STREAM_REACH) -> DataFrame:
+def pairs(cells: DataFrame, segments: DataFrame, reach: float = t.STREAM_REACH, bbox=None) -> DataFrame:
+    """cell_id, line_id of the streams in reach of a cell; ``bbox``: where the cells lie, so that what is far off is left out at the scan."""
+    if bbox is not None:
+        xmin, ymin, xmax, ymax = map(float, bbox)
+        segments = segments.where((F.greatest("x1", "x2") >= xmin - reach) & (F.least("x1", "x2") <= xmax + reach))
+        segments = segments.where((F.greatest("y1", "y2") >= ymin - reach) & (F.least("y1", "y2") <= ymax + reach))
     return spatial.lines_near_cells(cells, segments, reach)
 
 
@@ -100,7 +105,9 @@ def powers(cells: DataFrame, context) -> DataFrame:
     ends = ["x1", "y1", "x2", "y2"]
     segments = streams.select("line_id", "part", "seg", *ends, "len", "before", "length")
     lines = streams.where("part = 0 and seg = 0").select("line_id", *OPTIONAL)
-    found = stretches(pairs(cells, segments), cells, segments)
+    # the last column and row of cells may reach beyond the box by less than a cell
+    xmin, ymin, xmax, ymax = context.bbox
+    found = stretches(pairs(cells, segments, bbox=(xmin, ymin, xmax + context.size, ymax + context.size)), cells, segments)
     rows = found.join(lines, "line_id").withColumn("area", drainage_area(F.col("length"))).where(F.col("area") >= t.LEAST_DRAINAGE)
     if context.pixels is not None:
         along = heads(rows.select("cell_id", "line_id", "length", "start", "stop"), segments, context.pixels, context.origin, context.resolution, context.nodata)

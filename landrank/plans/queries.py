@@ -185,13 +185,13 @@ def _flowing(spark, sf_dir):
 
 @query
 def q_stream_cells(spark, sf_dir):
-    return hydro.pairs(v.cells(spark), _flowing(spark, sf_dir))
+    return hydro.pairs(v.cells(spark), _flowing(spark, sf_dir), bbox=v.BBOX)
 
 
 @query
 def q_head(spark, sf_dir):
     cells, lines = v.cells(spark), _flowing(spark, sf_dir)
-    found = hydro.stretches(hydro.pairs(cells, lines), cells, lines)
+    found = hydro.stretches(hydro.pairs(cells, lines, bbox=v.BBOX), cells, lines)
     return hydro.heads(found, lines, v.pixels(spark), v.ORIGIN, v.RESOLUTION, v.NODATA).select("cell_id", "line_id", _r("head"))
 
 
