@@ -292,6 +292,28 @@ def test_ranks_of_continuous_scores(spark):
         assert got[i] == (None if status == "excluded" or s is None else 1 + sum(x > s for x in scores))
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_parcels_are_not_broadcast(spark, monkeypatch, few):
+    """Cells that come out of joins look large, and parcels small whatever their number; the build side must not be theirs."""
+    monkeypatch.setattr(ranking, "FEW", few)
+    cells = grid.generate(spark, (0, 0, 10000, 10000), 250)
+    scores = spark.range(1600).select(F.col("id").alias("cell_id"), F.expr("if(id % 11 = 0, null, id * 37 % 101 / 1.0D)").alias("score"))
+    scores = scores.withColumn("status", F.expr("if(cell_id % 5 = 0, 'excluded', 'eligible')"))
+    cells = cells.join(scores, "cell_id").join(scores.select("cell_id", F.lit(1).alias("more")), "cell_id", "left")
+    layer = spark.range(300).select(F.col("id").alias("parcel_id"), F.expr("id * 433 % 9000 / 1.0D").alias("xmin"), F.expr("id * 719 % 9000 / 1.0D").alias("ymin"))
+    layer = layer.withColumns({"xmax": F.expr("xmin + parcel_id * 37 % 1301 + 20.0D"), "ymax": F.expr("ymin + parcel_id * 53 % 1301 + 20.0D")})
+    found = ranking.parcels(cells, grid.polygons_of_rectangles(layer))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join [__bx" in x]
+    assert len(joins) == 1 and ("BroadcastHashJoin" in joins[0] and "BuildLeft" in joins[0] if few else "SortMergeJoin" in joins[0])
+    points = [r for r in cells.collect() if r["status"] != "excluded" and r["score"] is not None]
+    got = {r["parcel_id"]: r["cell_score"] for r in found.collect()}
+    assert len(got) == 300
+    for p in layer.collect():
+        best = sorted((-r["score"], r["cell_id"]) for r in points if p["xmin"] < r["cx"] < p["xmax"] and p["ymin"] < r["cy"] < p["ymax"])[:3]
+        assert got[p["parcel_id"]] == (pytest.approx(-sum(s for s, _ in best) / len(best)) if best else None)
+
+
 def test_what_the_log_says(spark):
     from landrank.operators import scorers
 
