@@ -332,18 +332,16 @@ def sent_if_few(known: DataFrame) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node with a link, by alternating large and small stars.
 
-    Each round is tables in the shared folder; only three numbers of it come to the driver.
+    It ends when all that has a smaller neighbour has no other one: then what is left are stars.  Each round is tables in the
+    shared folder; only two numbers of it come to the driver.
     """
     edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        marks = F.sum(F.xxhash64(F.greatest("u", "v"), F.least("u", "v")).cast("decimal(38,0)")).alias("marks")
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"), marks), "components")
-        total, mark, crowded = least.agg(F.sum("n"), F.sum("marks"), F.count_if(F.col("n") > STAR)).first()
-        if (total, mark) == before:
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "components")
+        crowded, unlike = least.agg(F.count_if(F.col("n") > STAR), F.count_if((F.col("m") < F.col("u")) & (F.col("n") > 1))).first()
+        if not unlike:
             break
-        before = (total, mark)
         large = joined_to(both.where("v > u"), least.select("u", "m", "n"), "u", crowded)
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))

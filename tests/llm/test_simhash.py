@@ -137,6 +137,27 @@ def test_components_of_long_chains(spark, monkeypatch, star):
     assert found == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(60)} | {2000 + i: 2000 for i in range(40)}
 
 
+def test_components_of_random_links(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1000 + j) for i in range(12) for j in range(12)]
+    least = {n: n for e in edges for n in e}
+    for _ in least:
+        for u, v in edges:
+            least[u] = least[v] = min(least[u], least[v])
+    linked = {n for u, v in edges if u != v for n in (u, v)}
+    found = simhash.connected(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted((x["node"], x["component"]) for x in found) == sorted((n, least[n]) for n in linked)
+
+
+@pytest.mark.parametrize("edges", [[(0, i) for i in range(1, 40)] + [(100 + i, 100) for i in range(1, 9)], [(7, 7)]])
+def test_stars_take_no_further_round(spark, monkeypatch, edges):
+    monkeypatch.setattr(simhash, "stored", lambda *a, f=simhash.stored: tables.append(f(*a)) or tables[-1])
+    tables = []
+    found = simhash.connected(spark.createDataFrame(edges, "u long, v long"))
+    assert {x["node"]: x["component"] for x in found.collect()} == {n: min(e) for e in edges if e[0] != e[1] for n in e}
+    assert len(tables) == 2
+
+
 def test_representatives(spark, words):
     """Near copies of every fifth text go, the smallest doc_id stays, other texts stay, all columns are handed on."""
     r = random.Random(6)
