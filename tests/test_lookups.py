@@ -85,6 +85,17 @@ def test_registry(spark):
     assert {"hydro", "elevation", "access", "solar", "buildable"} <= set(scorers.names())
 
 
+def test_failed_criterion_is_logged_or_raised(spark, caplog, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    monkeypatch.setitem(scorers._known, "failing", lambda rows, context: rows.select("cell_id", F.col("no_such_column").alias("score")))
+    cells, context = spark.createDataFrame([(0, "eligible")], "cell_id long, status string"), scorers.Context((0, 0, 1, 1))
+    assert scorers.composite(cells, context, {"failing": 1}, ["failing"]).first()["score"] == 0
+    assert "Criterion failing failed; it scores 0" in caplog.text and "no_such_column" in caplog.text
+    with pytest.raises(AnalysisException, match="no_such_column"):
+        scorers.composite(cells, context, {"failing": 1}, ["failing"], strict=True)
+
+
 def test_missing_layers_score_zero(cells):
     empty = scorers.Context((0, 0, 1, 1))
     for name in ("hydro", "elevation", "access", "solar", "buildable"):

@@ -6,8 +6,11 @@ import math
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from landrank.operators import scorers
 from landrank.plans.oracle import ORACLE
 from landrank.plans.queries import QUERIES
 
@@ -47,6 +50,21 @@ def test_query(spark, db, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["hydro", "elevation", "access", "solar", "buildable"])
+def test_failed_criterion_is_no_result(spark, db, monkeypatch, name):
+    """Parcels get no scores with 0 for a criterion that could not be worked out."""
+    monkeypatch.setitem(scorers._known, name, lambda cells, context: cells.select("cell_id", F.col("no_such_column").alias("score")))
+    with pytest.raises(AnalysisException, match="no_such_column"):
+        QUERIES["q_parcel_scores"](spark, FOLDER)
+
+
+def test_lost_table_is_no_result(spark, db, monkeypatch, tmp_path):
+    """The zonal sums, of which three criteria are made, are not there when they are read again."""
+    monkeypatch.setattr(scorers, "stored", lambda df, label: spark.read.schema(df.schema).parquet(str(tmp_path / "gone")))
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        QUERIES["q_parcel_scores"](spark, FOLDER)
+
+
 def test_entry_registers_queries(spark):
     names = entry.queries()
     assert set(QUERIES) <= set(names) and set(entry.oracle_sql()) <= set(names)
